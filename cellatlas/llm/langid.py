@@ -78,7 +78,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
                         row[:BUCKETS] += np.bincount(ids, minlength=BUCKETS)
         for lang, row in sums.items():
             ids = np.flatnonzero(row)
-            yield pd.DataFrame({"lang": lang, "bucket": ids, "n": row[ids]})
+            yield pd.DataFrame({"lang": np.full(len(ids), lang, dtype=object), "bucket": ids, "n": row[ids]})
 
     counted = sample.mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     pdf = counted.toPandas()  # at most languages x (BUCKETS + 1) rows
@@ -110,7 +110,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], *
                 k = int(np.argmax(sums))
                 best.append(langs[k])
                 score.append(float(1.0 / np.exp(sums - sums[k]).sum()))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": best, "score": score})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": np.array(best, dtype=object), "score": score})
 
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), letters.alias("letters"))

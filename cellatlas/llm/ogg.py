@@ -176,9 +176,7 @@ def probe(stored_media: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in _PROBE.split(", ")]
         for b in batches:
-            out = pd.DataFrame([describe(m) for m in b["media"]], columns=names)
-            for c in ("n_bytes", "payload_bytes", "tail_crc32"):
-                out[c] = out[c].astype("Int64")
+            out = pd.DataFrame([describe(m) for m in b["media"]], columns=names, dtype=object)
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
 

@@ -72,9 +72,9 @@ def _vocabulary(rows: DataFrame) -> tuple[list[str], int]:
             for t in b["text"]:
                 sums.update((t or "").split())
                 if len(sums) > 400_000:
-                    yield pd.DataFrame({"word": list(sums), "n": list(sums.values())})
+                    yield pd.DataFrame({"word": list(sums), "n": list(sums.values())}, dtype=object)
                     sums.clear()
-        yield pd.DataFrame({"word": list(sums), "n": list(sums.values())})
+        yield pd.DataFrame({"word": list(sums), "n": list(sums.values())}, dtype=object)
 
     counts = rows.where("trust = 1").select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = stored(counts, "words")
@@ -103,7 +103,7 @@ def _chunks(rows: DataFrame, vocabulary: list[str], id_type: str) -> DataFrame:
         def chunk() -> pd.DataFrame:
             own = [None if x is None or x != x else x for x in ids]
             row = [uuid.uuid4().hex, own, list(langs), np.array(trust, dtype=np.int8).tobytes(), np.array(sizes, dtype=np.int64).tobytes(), _pack(np.concatenate(tokens))]
-            return pd.DataFrame([row], columns=["chunk", "doc_ids", "langs", "trust", "sizes", "tokens"])
+            return pd.DataFrame([row], columns=["chunk", "doc_ids", "langs", "trust", "sizes", "tokens"], dtype=object)
 
         for b in batches:
             for i, t, lang, tr in zip(b["doc_id"].tolist(), b["text"], b["lang"], b["trust"]):
@@ -227,7 +227,7 @@ def _requests(chunks: DataFrame, shards: int) -> DataFrame:
             for chunk, sizes, tokens in zip(b["chunk"], b["sizes"], b["tokens"]):
                 pairs = np.unique(_pairs(_unpack(tokens, np.uint16), np.frombuffer(sizes, dtype=np.int64)))
                 rows = [(i, 1, chunk, _pack(np.diff(pairs[at], prepend=np.uint32(0)))) for i, at in _by_shard(pairs, shards)]
-                yield pd.DataFrame(rows, columns=["shard", "kind", "chunk", "pairs"])
+                yield pd.DataFrame(rows, columns=["shard", "kind", "chunk", "pairs"], dtype=object)
 
     return chunks.select("chunk", "sizes", "tokens").mapInPandas(ask, "shard int, kind int, chunk string, pairs binary")
 
@@ -249,7 +249,7 @@ def _answers(requests: DataFrame, counts: DataFrame, shards: int) -> DataFrame:
                     i = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
                     found = np.where(keys[i] == pairs, values[i], 0).astype(np.uint32)
                 rows.append((chunk, shard, _pack(found)))
-            yield pd.DataFrame(rows, columns=["chunk", "shard", "counts"])
+            yield pd.DataFrame(rows, columns=["chunk", "shard", "counts"], dtype=object)
 
     model = counts.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("chunk"), "pairs", "counts")
     both = model.union(requests.select("shard", "kind", "chunk", "pairs", F.lit(None).cast("binary")))
@@ -285,7 +285,7 @@ def _scores(chunks: DataFrame, answers: DataFrame, model: Model, shards: int, id
             stop = np.cumsum(sizes)
             mean = (ends[stop] - ends[stop - sizes]) / np.maximum(sizes, 1)
             bits = np.where(sizes > 0, mean - SPREAD / np.sqrt(np.maximum(sizes, 1)), np.nan)
-            out = pd.DataFrame({"doc_id": list(head["doc_ids"]), "lang": list(head["langs"]), "trust": np.frombuffer(head["trust"], dtype=np.int8).astype(np.int32), "n_words": sizes})
+            out = pd.DataFrame({"doc_id": list(head["doc_ids"]), "lang": pd.Series(list(head["langs"]), dtype=object), "trust": np.frombuffer(head["trust"], dtype=np.int8).astype(np.int32), "n_words": sizes})
             out["bits"] = [None if x != x else x for x in bits.tolist()]
             return out
 

@@ -254,6 +254,6 @@ def decode(tokens: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decoder = Decoder(shared.value)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": [None if x is None else decoder.decode(x) for x in b["ids"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text": np.array([None if x is None else decoder.decode(x) for x in b["ids"]], dtype=object)})
 
     return tokens.select("doc_id", "ids").mapInPandas(run, f"doc_id {dict(tokens.dtypes)['doc_id']}, text string")

@@ -1,8 +1,8 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick over folded text, with exception phrases.
 
 Folding lower-cases, strips accents and invisible characters and maps homoglyphs and digit substitutions to Latin
-letters. The lexicon holds word beginnings and whole words of the folded training texts with their log-odds between
-toxic and clean documents; exception phrases are pairs of neighbouring words that hold a lexicon word and yet are no
+letters. The lexicon holds word beginnings and whole words of the folded training texts with the lower end of their log-odds
+between toxic and clean documents; exception phrases are pairs of neighbouring words that hold a lexicon word and yet are no
 likelier in toxic documents, and take the weight of the word inside back. The sum of weights, normalised by length,
 goes through a logistic curve fitted on the same rows.
 
@@ -22,7 +22,6 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import ahocorasick
@@ -38,7 +37,8 @@ MAX_TRAIN = 40_000
 MAX_TERMS = 4_000
 MAX_PHRASES = 4_000
 MIN_TOXIC_DOCS = 4
-MIN_WEIGHT = 2.5
+#: Least log-odds of a term, at the lower end of its 95 % interval.
+MIN_WEIGHT = 1.5
 SHORTEST, LONGEST = 4, 10
 
 # Characters that look like Latin letters, and digits and signs that stand for them.
@@ -60,22 +60,24 @@ class Model(NamedTuple):
     curve: tuple[float, float, float]  # intercept, slope of the normalised sum, slope of log length
 
 
-def _character(c: str) -> str:
-    c = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x) and unicodedata.category(x) != "Cf")
-    return "".join(HOMOGLYPHS.get(x, x) for x in c.lower())
+class _Folding(dict):
+    """Code point to its folded letters, filled as characters are met."""
 
+    def __missing__(self, code: int) -> str:
+        c = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(x) and unicodedata.category(x) != "Cf")
+        out = self[code] = "".join(HOMOGLYPHS.get(x, x) for x in c.lower())
+        return out
 
-@lru_cache(maxsize=1 << 16)
-def _folded_word(word: str) -> str:
-    word = "".join(map(_character, word)) if not word.isascii() else word.lower()
-    return _SUBSTITUTED.sub(lambda m: "".join(DIGITS[x] for x in m[0]), word)
+
+_FOLDING = _Folding()
 
 
 def fold(text: str | None) -> list[str]:
     """The words of the text as plain Latin letters."""
     if not text:
         return []
-    return _LETTERS.findall(" ".join([_folded_word(w) if len(w) < 64 else w.lower() for w in text.split()]))
+    text = text.lower() if text.isascii() else text.translate(_FOLDING).lower()
+    return _LETTERS.findall(_SUBSTITUTED.sub(lambda m: "".join([DIGITS[x] for x in m[0]]), text))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_train: int, seed: int) -> DataFrame:
@@ -97,7 +99,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"]):
                 (a if toxic else b).update({"": 1, **dict.fromkeys(fold(text), 1)})
-        yield pd.DataFrame({"word": list(a | b)}).assign(toxic=lambda x: [a[w] for w in x["word"]], clean=lambda x: [b[w] for w in x["word"]])
+        yield pd.DataFrame({"word": list(a | b)}, dtype=object).assign(toxic=lambda x: [a[w] for w in x["word"]], clean=lambda x: [b[w] for w in x["word"]])
 
     counts = rows.mapInPandas(words, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counts = counts.persist()
@@ -111,7 +113,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         terms = counts.where("word <> ''").select(F.explode(F.concat(starts, F.array(F.concat(F.lit(" "), "word", F.lit(" "))))).alias("term"), "toxic", "clean")
         terms = terms.where("term IS NOT NULL").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         weight = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-        kept = terms.withColumn("weight", weight).where(f"toxic >= {MIN_TOXIC_DOCS} AND weight >= {MIN_WEIGHT}")
+        error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+        kept = terms.withColumn("weight", weight - 1.96 * error).where(f"toxic >= {MIN_TOXIC_DOCS} AND weight >= {MIN_WEIGHT}")
         found = kept.orderBy(F.desc(F.col("weight") * F.log(F.col("toxic") + 1)), "term").limit(MAX_TERMS).collect()
     finally:
         counts.unpersist()
@@ -175,7 +178,7 @@ def _exceptions(rows: DataFrame, lexicon: dict[str, float], n_toxic: int, n_clea
                     k = starts[s]
                     seen |= {f" {folded[i]} {folded[i + 1]} " for i in (k - 1, k) if 0 <= i < len(folded) - 1}
                 (a if toxic else b).update(seen)
-        yield pd.DataFrame({"phrase": list(a | b)}).assign(toxic=lambda x: [a[w] for w in x["phrase"]], clean=lambda x: [b[w] for w in x["phrase"]])
+        yield pd.DataFrame({"phrase": list(a | b)}, dtype=object).assign(toxic=lambda x: [a[w] for w in x["phrase"]], clean=lambda x: [b[w] for w in x["phrase"]])
 
     counted = rows.mapInPandas(pairs, "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     likely = (F.col("clean") + 0.5) / (n_clean + 1) >= (F.col("toxic") + 0.5) / (n_toxic + 1)
