@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,9 @@ def release(*frames: DataFrame) -> None:
     """Deletes the files behind frames made by :func:`stored` once nothing reads them any more."""
     for df in frames:
         _delete(df.sparkSession, df._scratch_path)
+    # Spark removes the shuffle files of plans that nothing refers to any more when the driver collects its garbage.
+    gc.collect()
+    frames[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def keep(df: DataFrame) -> None:

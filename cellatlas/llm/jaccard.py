@@ -15,8 +15,8 @@ last against each other, always leaving out pairs that earlier links have joined
 limit, so no link between components is lost: the components are exact.
 
 Scale: texts are never shuffled. Counting sends 4 MB per task; the prefixes are a quarter of the shingles, counted with
-map-side sums and joined by their key (Spark splits skewed lists). Whole sets are recomputed only for documents that a
-Bloom filter of fixed size says may be candidates, and travel only for candidate pairs. Every iteration cuts its lineage
+map-side sums and joined by their key (Spark splits skewed lists). Whole sets are recomputed, in each round, only for
+documents that a Bloom filter of fixed size says may be in its candidate pairs. Every iteration cuts its lineage
 with a table in the shared folder.
 
 Edge cases: a null text, or one without words, has size 0 and no links; a text with fewer words than a shingle is one
@@ -28,7 +28,7 @@ apart by 64-bit shingle hashes and a 64-bit digest.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -48,9 +48,14 @@ COUNT_BITS, SLICES = 20, 64
 BLOOM_BITS = 23
 #: Pivots per posting list in the rounds before the last.
 PIVOTS = (1, 8, 64)
+#: Words that are hashed together.
+_TOGETHER = 1 << 16
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
+_FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)) for i in range(16)]
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
@@ -64,17 +69,36 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(27))) * _M1
 
 
-def shingle_set(text: str | None, hashes: dict[bytes, int], n: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-word shingles of the text, A-Z lower-cased."""
-    words = (text or "").encode().lower().split()  # bytes: only ASCII letters and ASCII white space count
-    if not words:
-        return np.empty(0, dtype=np.uint64)
+def shingle_sets(texts: Iterable[str | None], hashes: dict[bytes, int], n: int = WORDS) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the n-word shingles of each text, A-Z lower-cased; texts are hashed together."""
+    words: list[bytes] = []
+    sizes: list[int] = []
+    for t in texts:
+        own = (t or "").encode().lower().split()  # bytes: only ASCII letters and ASCII white space count
+        words += own
+        sizes.append(len(own))
+        if len(words) > _TOGETHER:
+            yield from _shingled(words, sizes, hashes, n)
+            words, sizes = [], []
+    yield from _shingled(words, sizes, hashes, n)
+
+
+def _shingled(words: list[bytes], sizes: list[int], hashes: dict[bytes, int], n: int) -> Iterator[np.ndarray]:
     h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    width = min(n, len(words))
-    out = np.full(len(words) - width + 1, width, dtype=np.uint64)
-    for i in range(width):
-        out = _mix(out * _M1 + h[i : i + len(out)])
-    return np.unique(out)
+    full = np.full(max(len(h) - n + 1, 0), n, dtype=np.uint64)
+    for i in range(n):
+        full += h[i : i + len(full)] * _FACTORS[i]
+    full = _mix(full)
+    at = 0
+    for size in sizes:
+        if size >= n:
+            own = np.sort(full[at : at + size - n + 1])
+        elif size:
+            own = _mix(np.array([size + sum(int(x) * int(f) for x, f in zip(h[at : at + size], _FACTORS)) & 0xFFFFFFFFFFFFFFFF], dtype=np.uint64))
+        else:
+            own = np.empty(0, dtype=np.uint64)
+        at += size
+        yield own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) > 1 else own
 
 
 def prefix_length(n: int, similarity: tuple[int, int] = SIMILARITY) -> int:
@@ -97,8 +121,9 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums, hashes = np.zeros(1 << COUNT_BITS, dtype=np.uint32), _WordHashes()
         for b in batches:
-            for t in b["text"]:
-                np.add.at(sums, _bucket(shingle_set(t, hashes)), 1)
+            part = [_bucket(s) for s in shingle_sets(b["text"], hashes)]
+            if part:
+                sums += np.bincount(np.concatenate(part), minlength=1 << COUNT_BITS).astype(np.uint32)
         yield pd.DataFrame({"slice": range(SLICES), "counts": [sums[i * width : (i + 1) * width].tobytes() for i in range(SLICES)]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,8 +150,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, id_type: str) -> DataFrame:
         order, hashes = shared.value, _WordHashes()
         for b in batches:
             sizes, keys, prefixes = [], [], []
-            for t in b["text"]:
-                s = shingle_set(t, hashes)
+            for s in shingle_sets(b["text"], hashes):
                 rank = (order[_bucket(s)].astype(np.uint64) << np.uint64(40)) | (s & np.uint64((1 << 40) - 1))
                 sizes.append(len(s))
                 keys.append(_digest(s))
@@ -160,7 +184,7 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
             there = np.ones(len(x), dtype=bool)
             for spot in (x & mask, (x >> np.uint64(32)) & mask):
                 there &= (bits[(spot >> np.uint64(5)).astype(np.int64)] >> (spot & np.uint64(31)).astype(np.uint32)) & 1 == 1
-            sets = [shingle_set(t, hashes) for t in b["text"][there]]
+            sets = list(shingle_sets(b["text"][there], hashes))
             yield pd.DataFrame({"key": [_digest(s) for s in sets], "items": [s.tobytes() for s in sets]})
 
     found = docs.select("text", h.alias("h")).mapInPandas(run, "key long, items binary")
@@ -172,8 +196,16 @@ def _fits(a: Column, b: Column) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys whose sets are similar enough."""
+def _verified(pairs: DataFrame, docs: DataFrame, smallest: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys whose sets are similar enough; only the sets of these pairs are made."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = stored(_sets(docs, smallest.join(asked, "key")), "sets")
+    links = stored(_linked(pairs, sets), "verified")
+    release(sets)
+    return links
+
+
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     num, den = SIMILARITY
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,40 +254,54 @@ def _candidates(posts: DataFrame, members: DataFrame, pivots: int | None) -> Dat
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id): class_id is the smallest id with the same set."""
-    id_type = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def _postings(rows: DataFrame, id_type: str) -> tuple[DataFrame, DataFrame]:
+    """(token, key, n) of prefix shingles that two keys or more share, and (doc_id, key, n) of every row."""
     base = stored(_prefixes(rows, bucket_counts(rows.select("text")), id_type), "prefixes")
-
     posts = base.select("key", "n", F.explode("prefix").alias("token"))
-    met = posts.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("token")
+    met = stored(posts.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("token"), "met")
+    ids = stored(base.select("doc_id", F.when(F.col("n") > 0, F.col("key")).alias("key"), "n"), "ids")
     shared = stored(posts.join(met, "token").select("token", "key", "n").distinct(), "shared")
+    release(met, base)
     several = shared.groupBy("token").agg(F.count(F.lit(1)).alias("keys")).where("keys > 1").select("token")
-    posts = stored(shared.join(several, "token").select("token", "key", "n"), "postings")
-    ids = stored(base.where("n > 0").select("doc_id", "key", "n").union(base.where("n = 0").select("doc_id", F.lit(None).cast("long"), "n")), "ids")
-    release(shared, base)
+    out = stored(shared.join(several, "token").select("token", "key", "n"), "postings")
+    release(shared)
+    return out, ids
+
 
+def _groups(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, grp, n, comp) with one group for keys of the same shared prefix and size, and the groups' postings."""
     same = posts.groupBy("key", "n").agg(F.xxhash64(F.sort_array(F.collect_list("token"))).alias("prefix"))
     same = stored(same, "effective")
     groups = same.groupBy("n", "prefix").agg(F.min("key").alias("grp"))
     members = stored(same.join(groups, ["n", "prefix"]).select("key", "grp", "n", F.col("key").alias("comp")), "members")
     posts_of = stored(posts.join(members.where("key = grp").select("grp"), F.col("key") == F.col("grp")).select("token", "grp", "n"), "group-postings")
-    smallest = ids.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    sets = stored(_sets(rows, smallest.join(members.select("key"), "key")), "sets")
-    release(posts, same)
+    release(same)
+    return members, posts_of
+
+
+def _round(members: DataFrame, posts: DataFrame, pivots: int | None, rows: DataFrame, smallest: DataFrame) -> DataFrame:
+    """The members with the components that this round's links join."""
+    pairs = stored(_candidates(posts, members, pivots), "pairs")
+    links = _verified(pairs, rows, smallest)
+    comp = members.select("key", "comp")
+    ends = links.join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b")
+    merged = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    out = members.join(merged.withColumnRenamed("node", "comp"), "comp", "left").select("key", "grp", "n", F.coalesce("label", "comp").alias("comp"))
+    out = stored(out, "members")
+    release(pairs, links, members, merged)
+    return out
+
 
+def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_id): class_id is the smallest id with the same set."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    posts, ids = _postings(rows, dict(docs.dtypes)[id_col])
+    members, posts_of = _groups(posts)
+    release(posts)
+    smallest = ids.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     for pivots in (*PIVOTS, None):
-        pairs = stored(_candidates(posts_of, members, pivots), "pairs")
-        links = stored(_verified(pairs, sets), "verified")
-        comp = members.select("key", "comp")
-        ends = links.join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b")
-        merged = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        relabelled = members.join(merged.withColumnRenamed("node", "comp"), "comp", "left").select("key", "grp", "n", F.coalesce("label", "comp").alias("comp"))
-        relabelled = stored(relabelled, "members")
-        release(pairs, links, members, merged)
-        members = relabelled
-    release(posts_of, sets)
+        members = _round(members, posts_of, pivots, rows, smallest)
+    release(posts_of)
 
     named = ids.join(smallest.withColumnRenamed("doc_id", "class_id"), "key", "left").join(members.select("key", "comp"), "key", "left")
     named = named.withColumn("comp", F.coalesce("comp", "key"))
