@@ -10,7 +10,7 @@ Rarity need not be exact for the result to be: the order uses counts of shingles
 all documents. Very common passages stand out in them at any size.
 
 A posting list may be as long as the largest family of near copies, so pairs within it are not all made. Candidates come
-in rounds: first each list's groups against one pivot, then against one pivot in each of 8, then 64 hash classes, and
+in rounds: first each list's groups against one pivot, then against one pivot in each of 16 hash classes, and
 last against each other, always leaving out pairs that earlier links have joined already. The last round has no
 limit, so no link between components is lost: the components are exact.
 
@@ -22,7 +22,7 @@ with a table in the shared folder.
 Edge cases: a null text, or one without words, has size 0 and no links; a text with fewer words than a shingle is one
 shingle. A null id takes part through its text, and is never a component's id unless all ids there are null. Rows that
 repeat, ids included, give a row each. An empty table gives an empty result. Other columns are ignored. Sets are told
-apart by 64-bit shingle hashes and a 64-bit digest.
+apart by 64-bit shingle hashes and a 64-bit digest; a pair is compared on 40 bits of each hash.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ COUNT_BITS, SLICES = 20, 64
 #: Bits of the Bloom filter of candidates, as a power of two.
 BLOOM_BITS = 23
 #: Pivots per posting list in the rounds before the last.
-PIVOTS = (1, 8, 64)
+PIVOTS = (1, 16)
 #: Words that are hashed together.
 _TOGETHER = 1 << 16
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -110,6 +110,17 @@ def _digest(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _packed(shingles: np.ndarray) -> bytes:
+    """The first 40 bits of each hash, which tell the shingles of two documents apart, in 5 bytes."""
+    return (shingles >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpacked(items: bytes) -> np.ndarray:
+    out = np.zeros((len(items) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(items, dtype=np.uint8).reshape(-1, 5)
+    return out.reshape(-1).view("<u8")
+
+
 def _bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
@@ -185,7 +196,7 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
             for spot in (x & mask, (x >> np.uint64(32)) & mask):
                 there &= (bits[(spot >> np.uint64(5)).astype(np.int64)] >> (spot & np.uint64(31)).astype(np.uint32)) & 1 == 1
             sets = list(shingle_sets(b["text"][there], hashes))
-            yield pd.DataFrame({"key": [_digest(s) for s in sets], "items": [s.tobytes() for s in sets]})
+            yield pd.DataFrame({"key": [_digest(s) for s in sets], "items": [_packed(s) for s in sets]})
 
     found = docs.select("text", h.alias("h")).mapInPandas(run, "key long, items binary")
     return found.join(needed.select("key"), "key", "left_semi").groupBy("key").agg(F.first("items").alias("items"))
@@ -212,7 +223,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for b in batches:
             keep = []
             for x, y in zip(b["x"], b["y"]):
-                u, v = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                u, v = _unpacked(x), _unpacked(y)
                 both = np.concatenate([u, v])
                 both.sort()
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
