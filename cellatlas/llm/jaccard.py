@@ -4,7 +4,8 @@ Documents with the same set are one key from the start. The shingles of a set ar
 two sets can only be similar enough if their prefixes (n - ceil(t n) + 1 shingles) meet. Shingles that only one document
 has in its prefix are dropped, and keys with the same remaining prefix and the same size are collapsed into one group.
 Groups that share a prefix shingle and whose sizes fit are candidate pairs; they are expanded into their members, and
-each pair of members is verified on the whole sets.
+each pair of members is verified on the whole sets. Before that, a bitmap of each set (2 to 4 bits a shingle) gives an
+upper bound of what a pair has in common: pairs below what similarity needs are left out, and never one that links.
 
 Rarity need not be exact for the result to be: the order uses counts of shingles in a fixed number of hash buckets, over
 all documents. Very common passages stand out in them at any size.
@@ -28,11 +29,12 @@ apart by 64-bit shingle hashes and a 64-bit digest; a pair is compared on 40 bit
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,20 +50,15 @@ COUNT_BITS, SLICES = 20, 64
 BLOOM_BITS = 23
 #: Pivots per posting list in the rounds before the last.
 PIVOTS = (1, 16)
-#: Words that are hashed together.
-_TOGETHER = 1 << 16
+#: Bits of a set's bitmap for each shingle: this many at least, less than twice as many.
+SKETCH_BITS = 2
+#: Bytes of text that are hashed together; longer words and texts take as many as they need.
+_TOGETHER = 1 << 17
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-
-
 _FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)) for i in range(16)]
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+#: The base of the words' polynomial hashes, and its inverse modulo 2 ** 64.
+_BASE = 0xD1342543DE82EF95
+_SPACE = re.compile(rb"[\t-\r ]")
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -69,22 +66,61 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(27))) * _M1
 
 
-def shingle_sets(texts: Iterable[str | None], hashes: dict[bytes, int], n: int = WORDS) -> Iterator[np.ndarray]:
-    """Sorted distinct 64-bit hashes of the n-word shingles of each text, A-Z lower-cased; texts are hashed together."""
-    words: list[bytes] = []
-    sizes: list[int] = []
-    for t in texts:
-        own = (t or "").encode().lower().split()  # bytes: only ASCII letters and ASCII white space count
-        words += own
-        sizes.append(len(own))
-        if len(words) > _TOGETHER:
-            yield from _shingled(words, sizes, hashes, n)
-            words, sizes = [], []
-    yield from _shingled(words, sizes, hashes, n)
+def _byte_values() -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit value for each byte, the same for A-Z and a-z, and which bytes are white space."""
+    lower = np.arange(256, dtype=np.uint64)
+    lower[65:91] += np.uint64(32)
+    space = np.zeros(256, dtype=bool)
+    space[[9, 10, 11, 12, 13, 32]] = True
+    return _mix((lower + np.uint64(1)) * _FACTORS[3]), space
+
 
+_VALUES, _IS_SPACE = _byte_values()
 
-def _shingled(words: list[bytes], sizes: list[int], hashes: dict[bytes, int], n: int) -> Iterator[np.ndarray]:
-    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+
+@lru_cache(maxsize=8)
+def _powers(base: int, size: int) -> np.ndarray:
+    out = np.full(size, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of ``data`` and where it starts: sums of byte values times powers, from running totals."""
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        cut = _SPACE.search(data, at + _TOGETHER)
+        end = cut.end() if cut else len(data)
+        part = np.frombuffer(data, dtype=np.uint8, count=end - at, offset=at)
+        inside = np.concatenate([[False], ~_IS_SPACE[part], [False]]).astype(np.int8)
+        edges = np.diff(inside)
+        first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        size = 1 << (len(part) + 1).bit_length()
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_VALUES[part] * _powers(_BASE, size)[: len(part)], out=total[1:])
+        hashes.append(_mix((total[last] - total[first]) * _powers(pow(_BASE, -1, 1 << 64), size)[first]))
+        starts.append(first + at)
+        at = end
+    return (np.concatenate(hashes), np.concatenate(starts)) if hashes else (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
+
+
+def shingle_sets(texts: Iterable[str | None], n: int = WORDS) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the n-word shingles of each text, A-Z lower-cased; texts are hashed together."""
+    together: list[bytes] = []
+    size = 0
+    for t in texts:
+        together.append((t or "").encode())
+        size += len(together[-1]) + 1
+        if size > _TOGETHER:
+            yield from _shingled(together, n)
+            together, size = [], 0
+    yield from _shingled(together, n)
+
+
+def _shingled(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
+    h, starts = _words(b"\n".join(texts))
+    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+    sizes = np.diff(np.searchsorted(starts, ends), prepend=0).tolist()
     full = np.full(max(len(h) - n + 1, 0), n, dtype=np.uint64)
     for i in range(n):
         full += h[i : i + len(full)] * _FACTORS[i]
@@ -94,7 +130,7 @@ def _shingled(words: list[bytes], sizes: list[int], hashes: dict[bytes, int], n:
         if size >= n:
             own = np.sort(full[at : at + size - n + 1])
         elif size:
-            own = _mix(np.array([size + sum(int(x) * int(f) for x, f in zip(h[at : at + size], _FACTORS)) & 0xFFFFFFFFFFFFFFFF], dtype=np.uint64))
+            own = _mix(np.array([(size + sum(int(x) * int(f) for x, f in zip(h[at : at + size], _FACTORS))) & 0xFFFFFFFFFFFFFFFF], dtype=np.uint64))
         else:
             own = np.empty(0, dtype=np.uint64)
         at += size
@@ -121,6 +157,23 @@ def _unpacked(items: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """A bitmap of the set, of a power of two bits: bit h mod size is set for each hash h, counted from its 40-bit end."""
+    size = max(64, 1 << (SKETCH_BITS * len(shingles) - 1).bit_length())
+    bits = np.zeros(size, dtype=bool)
+    bits[((shingles >> np.uint64(24)) & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def most_common(x: bytes, n: int, y: bytes, m: int) -> int:
+    """An upper bound of the shingles that two sets share, from their bitmaps and sizes; the larger map is folded."""
+    u, v = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
+    size = min(len(u), len(v))
+    u, v = (np.bitwise_or.reduce(a.reshape(-1, size), axis=0) for a in (u, v))
+    a, b, both = (int(np.bitwise_count(z).sum()) for z in (u, v, u & v))
+    return both + min(n - a, m - b)
+
+
 def _bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
@@ -130,9 +183,9 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
     width = (1 << COUNT_BITS) // SLICES
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, hashes = np.zeros(1 << COUNT_BITS, dtype=np.uint32), _WordHashes()
+        sums = np.zeros(1 << COUNT_BITS, dtype=np.uint32)
         for b in batches:
-            part = [_bucket(s) for s in shingle_sets(b["text"], hashes)]
+            part = [_bucket(s) for s in shingle_sets(b["text"])]
             if part:
                 sums += np.bincount(np.concatenate(part), minlength=1 << COUNT_BITS).astype(np.uint32)
         yield pd.DataFrame({"slice": range(SLICES), "counts": [sums[i * width : (i + 1) * width].tobytes() for i in range(SLICES)]})
@@ -154,21 +207,22 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, counts: np.ndarray, id_type: str) -> DataFrame:
-    """(doc_id, n, key, prefix) of every row."""
+    """(doc_id, n, key, prefix, sketch) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        order, hashes = shared.value, _WordHashes()
+        order = shared.value
         for b in batches:
-            sizes, keys, prefixes = [], [], []
-            for s in shingle_sets(b["text"], hashes):
+            sizes, keys, prefixes, maps = [], [], [], []
+            for s in shingle_sets(b["text"]):
                 rank = (order[_bucket(s)].astype(np.uint64) << np.uint64(40)) | (s & np.uint64((1 << 40) - 1))
                 sizes.append(len(s))
                 keys.append(_digest(s))
+                maps.append(sketch(s))
                 prefixes.append(s[np.argsort(rank, kind="stable")[: prefix_length(len(s))]].view(np.int64))
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "n": sizes, "key": keys, "prefix": prefixes})
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "n": sizes, "key": keys, "prefix": prefixes, "sketch": maps})
 
-    return docs.mapInPandas(run, f"doc_id {id_type}, n long, key long, prefix array<long>")
+    return docs.mapInPandas(run, f"doc_id {id_type}, n long, key long, prefix array<long>, sketch binary")
 
 
 def _bloom(ids: DataFrame) -> np.ndarray:
@@ -188,14 +242,14 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_bloom(needed.select(h.alias("h"))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, hashes = shared.value, _WordHashes()
+        bits = shared.value
         mask = np.uint64((1 << BLOOM_BITS) - 1)
         for b in batches:
             x = b["h"].to_numpy(dtype=np.int64).view(np.uint64)
             there = np.ones(len(x), dtype=bool)
             for spot in (x & mask, (x >> np.uint64(32)) & mask):
                 there &= (bits[(spot >> np.uint64(5)).astype(np.int64)] >> (spot & np.uint64(31)).astype(np.uint32)) & 1 == 1
-            sets = list(shingle_sets(b["text"][there], hashes))
+            sets = list(shingle_sets(b["text"][there]))
             yield pd.DataFrame({"key": [_digest(s) for s in sets], "items": [_packed(s) for s in sets]})
 
     found = docs.select("text", h.alias("h")).mapInPandas(run, "key long, items binary")
@@ -207,6 +261,19 @@ def _fits(a: Column, b: Column) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bitmaps do not rule out that they are similar enough."""
+    num, den = SIMILARITY
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            most = np.array([most_common(*row) for row in zip(b["x"], b["n"], b["y"], b["m"])], dtype=np.int64)
+            yield b.loc[den * most >= num * (b["n"].to_numpy() + b["m"].to_numpy() - most), ["a", "b"]]
+
+    met = pairs.join(sketches.toDF("b", "m", "y"), "b").join(sketches.toDF("a", "n", "x"), "a")
+    return met.select("a", "b", "x", "n", "y", "m").mapInPandas(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, smallest: DataFrame) -> DataFrame:
     """The pairs (a, b) of keys whose sets are similar enough; only the sets of these pairs are made."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
@@ -265,18 +332,23 @@ def _candidates(posts: DataFrame, members: DataFrame, pivots: int | None) -> Dat
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _postings(rows: DataFrame, id_type: str) -> tuple[DataFrame, DataFrame]:
-    """(token, key, n) of prefix shingles that two keys or more share, and (doc_id, key, n) of every row."""
+def _postings(rows: DataFrame, id_type: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(token, key, n) of prefix shingles that two keys or more share, (doc_id, key, n) of every row, and (key, n,
+    sketch) of the keys in the first."""
     base = stored(_prefixes(rows, bucket_counts(rows.select("text")), id_type), "prefixes")
     posts = base.select("key", "n", F.explode("prefix").alias("token"))
     met = stored(posts.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("token"), "met")
+    maps = stored(base.select("key", "n", "sketch"), "maps")
     ids = stored(base.select("doc_id", F.when(F.col("n") > 0, F.col("key")).alias("key"), "n"), "ids")
     shared = stored(posts.join(met, "token").select("token", "key", "n").distinct(), "shared")
     release(met, base)
     several = shared.groupBy("token").agg(F.count(F.lit(1)).alias("keys")).where("keys > 1").select("token")
     out = stored(shared.join(several, "token").select("token", "key", "n"), "postings")
     release(shared)
-    return out, ids
+    keys = out.select("key").distinct()
+    sketches = stored(maps.join(keys, "key", "left_semi").groupBy("key", "n").agg(F.first("sketch").alias("sketch")), "sketches")
+    release(maps)
+    return out, ids, sketches
 
 
 def _groups(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -290,9 +362,11 @@ def _groups(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, posts_of
 
 
-def _round(members: DataFrame, posts: DataFrame, pivots: int | None, rows: DataFrame, smallest: DataFrame) -> DataFrame:
+def _round(members: DataFrame, posts: DataFrame, pivots: int | None, rows: DataFrame, smallest: DataFrame, sketches: DataFrame) -> DataFrame:
     """The members with the components that this round's links join."""
-    pairs = stored(_candidates(posts, members, pivots), "pairs")
+    met = stored(_candidates(posts, members, pivots), "met-pairs")
+    pairs = stored(_possible(met, sketches), "pairs")
+    release(met)
     links = _verified(pairs, rows, smallest)
     comp = members.select("key", "comp")
     ends = links.join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b")
@@ -306,13 +380,13 @@ def _round(members: DataFrame, posts: DataFrame, pivots: int | None, rows: DataF
 def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id): class_id is the smallest id with the same set."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    posts, ids = _postings(rows, dict(docs.dtypes)[id_col])
+    posts, ids, sketches = _postings(rows, dict(docs.dtypes)[id_col])
     members, posts_of = _groups(posts)
     release(posts)
     smallest = ids.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     for pivots in (*PIVOTS, None):
-        members = _round(members, posts_of, pivots, rows, smallest)
-    release(posts_of)
+        members = _round(members, posts_of, pivots, rows, smallest, sketches)
+    release(posts_of, sketches)
 
     named = ids.join(smallest.withColumnRenamed("doc_id", "class_id"), "key", "left").join(members.select("key", "comp"), "key", "left")
     named = named.withColumn("comp", F.coalesce("comp", "key"))

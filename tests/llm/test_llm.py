@@ -49,6 +49,16 @@ def test_jaccard_chain_against_brute_force(spark):
     assert got == {i: find(i) for i in sets}
 
 
+def test_bitmaps_never_rule_out_what_is_shared():
+    r = np.random.default_rng(5)
+    for n, m, both in ((0, 3, 0), (1, 1, 1), (70, 90, 60), (1000, 1000, 30), (1030, 1020, 900), (5000, 3800, 3700)):
+        pool = r.integers(0, 1 << 64, n + m, dtype=np.uint64)
+        a, b = np.unique(pool[:n]), np.unique(pool[n - both : n - both + m])
+        most = jaccard.most_common(jaccard.sketch(a), len(a), jaccard.sketch(b), len(b))
+        assert both <= most <= min(len(a), len(b))
+        assert most < 0.7 * n or both > 0.5 * n or n < 64
+
+
 def test_mixing(docs):
     rows = mixing.mix(docs).collect()
     assert len(rows) == docs.count() and all(r.taken <= 3 * r.size and r.target <= 3 * r.source_size for r in rows)
