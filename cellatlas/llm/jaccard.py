@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stored
+from .common import release, small_batches, stored
 from .graph import components
 
 WORDS = 5
@@ -184,10 +184,16 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros(1 << COUNT_BITS, dtype=np.uint32)
+        part, size = [], 0
         for b in batches:
-            part = [_bucket(s) for s in shingle_sets(b["text"])]
-            if part:
-                sums += np.bincount(np.concatenate(part), minlength=1 << COUNT_BITS).astype(np.uint32)
+            for s in shingle_sets(b["text"]):
+                part.append(_bucket(s))
+                size += len(s)
+                if size > 1 << COUNT_BITS:
+                    sums += np.bincount(np.concatenate(part), minlength=1 << COUNT_BITS).astype(np.uint32)
+                    part, size = [], 0
+        if part:
+            sums += np.bincount(np.concatenate(part), minlength=1 << COUNT_BITS).astype(np.uint32)
         yield pd.DataFrame({"slice": range(SLICES), "counts": [sums[i * width : (i + 1) * width].tobytes() for i in range(SLICES)]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -379,8 +385,12 @@ def _round(members: DataFrame, posts: DataFrame, pivots: int | None, rows: DataF
 
 def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id): class_id is the smallest id with the same set."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    posts, ids, sketches = _postings(rows, dict(docs.dtypes)[id_col])
+    with small_batches(docs.sparkSession):
+        return _similar_components(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+
+
+def _similar_components(rows: DataFrame) -> DataFrame:
+    posts, ids, sketches = _postings(rows, dict(rows.dtypes)["doc_id"])
     members, posts_of = _groups(posts)
     release(posts)
     smallest = ids.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
