@@ -62,7 +62,7 @@ def scratch_mark() -> int:
 
 def release_until(spark: SparkSession, mark: int) -> None:
     """Deletes the scratch tables written before ``mark``; for callers that have stored what was built on them."""
-    for path in _scratch[:mark]:
+    for path in filter(None, _scratch[:mark]):
         _delete(spark, path)
 
 
