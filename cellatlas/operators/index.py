@@ -136,3 +136,9 @@ def blocks(ids: DataFrame, first: int = 8192, later: int = 8191) -> DataFrame:
     block = F.when(rank < first, F.lit(0)).otherwise(F.floor((rank - first) / later) + 1).cast("long")
     grouped = ranked.select("id", block.alias("block")).groupBy("block").agg(F.count(F.lit(1)).alias("items"), F.max("id").alias("last_id"))
     return grouped.withColumn("offset", F.coalesce(F.sum("items").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
+def union_of(results: dict[str, DataFrame]) -> DataFrame:
+    """The rows of several datasets' results, each with its dataset's name; objects in two datasets come twice."""
+    named = [df.select(F.lit(name).alias("dataset"), "*") for name, df in results.items()]
+    return reduce(DataFrame.unionByName, named)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cellatlas.functions import grid, parse, stops
 from cellatlas.functions.grid import Bounds, cell_of
 from cellatlas.operators import index, ingest
-from cellatlas.plans import style
+from cellatlas.plans import layers, style
 from cellatlas.sources import osm
 from cellatlas.sources.osm import Dataset
 
@@ -419,3 +419,138 @@ def relation_rings(ds):
     rings = ds.relation_members.where("member_type = 2 AND role IN ('outer', 'inner')")
     points = ingest.way_points(ds.way_nodes, ds.nodes).select(F.col("way_id").alias("member_id"), F.col("seq").alias("point"), "lat", "lon")
     return rings.join(points, "member_id").select(F.col("parent_id").alias("id"), "role", F.col("seq").alias("member_seq"), F.col("point").alias("seq"), "lat", "lon")
+
+
+# JSON styles
+
+STYLE = """{"layers": [
+ {"id": "background", "type": "background", "paint": {"background-color": "#ffffff"}},
+ {"id": "wood", "type": "line", "source-layer": "landcover", "minzoom": 8, "filter": ["==", "class", "wood"], "paint": {"line-color": "#0369CF", "line-width": 2}},
+ {"id": "roads", "type": "line", "source-layer": "transportation", "filter": ["all", ["==", "$type", "LineString"], ["in", "class", "motorway", "minor"], ["!=", "class", "rail"]],
+  "paint": {"line-color": {"stops": [[10, "rgb(0, 255, 0)"], [18, "rgb(255, 0, 0)"]]}, "line-width": {"base": 1, "stops": [[10, 1], [18, 5]]}}},
+ {"id": "rails", "type": "symbol", "source-layer": "transportation", "maxzoom": 13, "filter": ["==", "class", "rail"], "paint": {"line-color": "#bebebe", "line-width": 1}},
+ {"id": "late", "type": "line", "source-layer": "transportation", "minzoom": 16, "paint": {"line-color": "#000000", "line-width": 1}},
+ {"id": "places", "type": "symbol", "source-layer": "place", "filter": ["in", "class", "town", "city"], "paint": {"text-color": "#333333"}, "layout": {"text-size": {"stops": [[10, 8], [18, 15]]}}}
+]}"""
+_LAYERS = layers.read_style(STYLE)
+_TAGGED = "SELECT object_id FROM tags WHERE object_type = 2 AND"
+_WOOD = "((key = 'natural' AND value = 'wood') OR (key = 'landuse' AND value = 'forest') OR (key = 'landcover' AND value = 'trees'))"
+_ROAD = "key = 'highway' AND value IN ('motorway', 'residential', 'unclassified')"
+
+
+def _shown(ds: Dataset, rule: list, source: str) -> DataFrame:
+    return ds.ways.where(layers.condition(rule, source, osm.WAY, F.col("tags"))).select("id")
+
+
+@query(f"SELECT id FROM ways WHERE id IN ({_TAGGED} {_WOOD})")
+def style_class_match(ds):
+    return _shown(ds, ["==", "class", "wood"], "landcover")
+
+
+@query(f"SELECT id FROM ways WHERE id NOT IN ({_TAGGED} ((key = 'natural' AND value = 'glacier') OR (key = 'glacier:type' AND value = 'shelf')))")
+def style_subclass_match(ds):
+    return _shown(ds, ["!in", "subclass", "ice_shelf", "glacier"], "landcover")
+
+
+@query("SELECT 2 AS object_type, id FROM ways")
+def style_type_match(ds):
+    objects = [df.select(F.lit(kind).alias("object_type"), "id", "tags") for kind, df in ((osm.NODE, ds.nodes), (osm.WAY, ds.ways), (osm.RELATION, ds.relations))]
+    rule = layers.condition(["in", "$type", "LineString", "Polygon"], "transportation", F.col("object_type"), F.col("tags"))
+    return objects[0].union(objects[1]).union(objects[2]).where(rule).select("object_type", "id")
+
+
+@query(f"SELECT id FROM ways WHERE id IN ({_TAGGED} {_ROAD}) AND id NOT IN ({_TAGGED} key = 'railway' AND value = 'rail')")
+def style_filter_all(ds):
+    return _shown(ds, _LAYERS[2].filter, "transportation")
+
+
+@values(
+    "SELECT CAST(z AS INT) AS zoom, layer FROM range(0, 21) r(z), (VALUES ('wood', 8, 99), ('roads', 0, 99), ('rails', 0, 13), ('late', 16, 99), ('places', 0, 99)) l(layer, lo, hi) WHERE z BETWEEN lo AND hi"
+)
+def layers_at_zoom(spark):
+    return spark.createDataFrame([(z, x.id) for z in range(21) for x in _LAYERS if x.visible(z)], "zoom int, layer string")
+
+
+@query(
+    f"""SELECT id, CAST(CASE WHEN wood THEN 1 ELSE 2 END AS INT) AS z_index, CASE WHEN wood THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END AS line_width,
+ CASE WHEN wood THEN 3 ELSE 127 END AS r, CASE WHEN wood THEN 105 ELSE 127 END AS g, CASE WHEN wood THEN 207 ELSE 0 END AS b
+ FROM (SELECT id, id IN ({_TAGGED} {_WOOD}) AND id IN ({_TAGGED} key IN ('landcover', 'landuse')) AS wood,
+ id IN ({_TAGGED} {_ROAD}) AND id NOT IN ({_TAGGED} key = 'railway' AND value = 'rail') AS road FROM ways) WHERE wood OR road"""
+)
+def style_first_layer(ds):
+    return layers.way_layers(ds.ways, _LAYERS, ZOOM).select("id", "z_index", "line_width", "line_colour.r", "line_colour.g", "line_colour.b")
+
+
+@query("SELECT id, 5 AS z_index, 11 AS text_size FROM nodes WHERE place IN ('town', 'city')")
+def style_place_labels(ds):
+    return layers.node_layers(ds.nodes, _LAYERS, ZOOM).select("id", "z_index", "text_size")
+
+
+# Datasets, order and geometry
+
+
+@query("SELECT 'orders' AS name, min(lat) AS min_lat, max(lat) AS max_lat, min(lon) AS min_lon, max(lon) AS max_lon, count(*) AS nodes FROM nodes")
+def dataset_info(ds):
+    return osm.info(ds, "orders")
+
+
+@query(f"SELECT 'north' AS dataset, id FROM nodes WHERE {_B} AND lat >= 51.03::DOUBLE UNION ALL SELECT 'south', id FROM nodes WHERE {_B} AND lat < 51.04::DOUBLE")
+def multi_dataset_union(ds):
+    parts = {"north": ds.nodes.where(F.col("lat") >= 51.03), "south": ds.nodes.where(F.col("lat") < 51.04)}
+    return index.union_of({name: df.where(grid.contains(F.col("lat"), F.col("lon"), BOUNDS)).select("id") for name, df in parts.items()})
+
+
+@query("SELECT * FROM tag_index")
+def tag_index_sorted(ds):
+    return _index(ds).orderBy("lat_cell", "lon_cell", "object_type", "tag_key", "id")
+
+
+@values(
+    "SELECT CAST(z AS INT) AS z, CAST(x AS INT) AS x, CAST(y AS INT) AS y, round(x / power(2.0::DOUBLE, z) * 360 - 180, 9) AS min_lon, round((x + 1) / power(2.0::DOUBLE, z) * 360 - 180, 9) AS max_lon, "
+    "round(degrees(atan(sinh(pi() * (1 - 2.0::DOUBLE * (y + 1) / power(2.0::DOUBLE, z))))), 9) AS min_lat, round(degrees(atan(sinh(pi() * (1 - 2.0::DOUBLE * y / power(2.0::DOUBLE, z))))), 9) AS max_lat "
+    "FROM range(0, 6) a(z), range(0, 32) b(x), range(0, 32) c(y) WHERE x < power(2, z) AND y < power(2, z)"
+)
+def tile_bounds(spark):
+    side = F.sequence(F.lit(0), F.shiftleft(F.lit(1), 5) - 1)
+    t = spark.range(6).select(F.col("id").cast("int").alias("z"), F.explode(side).alias("x")).select("z", "x", F.explode(side).alias("y")).where("x < pow(2, z) AND y < pow(2, z)")
+    z, x, y = F.col("z"), F.col("x"), F.col("y")
+    edges = {"min_lon": grid.corner_lon(x, z), "max_lon": grid.corner_lon(x + 1, z), "min_lat": grid.corner_lat(y + 1, z), "max_lat": grid.corner_lat(y, z)}
+    return t.select("z", "x", "y", *[F.round(c, 9).alias(n) for n, c in edges.items()])
+
+
+@values(
+    "SELECT base, zoom, round(CASE WHEN base = 1 THEN (zoom - 5) / 10 ELSE (power(base, zoom - 5) - 1) / (power(base, 10.0::DOUBLE) - 1) END, 9) AS share "
+    "FROM (SELECT CAST(i AS DOUBLE) / 4 + 5 AS zoom FROM range(0, 41) r(i)), (VALUES (1.0::DOUBLE), (1.2::DOUBLE), (2.0::DOUBLE)) b(base)"
+)
+def exp_interpolation(spark):
+    t = spark.range(41).select((F.col("id").cast("double") / 4 + 5).alias("zoom"), F.explode(F.array(F.lit(1.0), F.lit(1.2), F.lit(2.0))).alias("base"))
+    return t.select("base", "zoom", F.round(stops.share(F.col("zoom"), F.lit(5.0), F.lit(15.0), F.col("base")), 9).alias("share"))
+
+
+@values(
+    "SELECT 'c' AS fn, z AS zoom, CASE WHEN z < 2 THEN NULL WHEN z >= 6 THEN 255 ELSE CAST(floor(255 * (z - 2) / 4) AS INT) END AS r, CASE WHEN z < 2 THEN NULL WHEN z >= 6 THEN 0 ELSE CAST(floor(-255 * (z - 2) / 4) AS INT) + 255 END AS g, "
+    "CASE WHEN z >= 2 THEN 7 END AS b, CASE WHEN z >= 2 THEN 255 END AS a FROM (SELECT CAST(i AS DOUBLE) / 2 AS z FROM range(0, 17) t(i))"
+)
+def color_stop_values(spark):
+    s = spark.createDataFrame([("c", 1.0, 2.0, 0, 255, 7, 255), ("c", 1.0, 6.0, 255, 0, 7, 255)], "fn string, base double, zoom double, r int, g int, b int, a int")
+    return stops.colour_values(s, spark.range(17).select((F.col("id").cast("double") / 2).alias("zoom")))
+
+
+_ENDS = [(1, 0.5, 0.5, 1.5, 0.5), (2, 0.5, 0.5, -0.5, 1.0), (3, 0.25, 0.5, 0.25, 3.0), (4, 0.75, 0.25, 1.25, -0.75)]
+
+
+@values("SELECT * FROM (VALUES (1, 1.0::DOUBLE, 0.5::DOUBLE), (2, 0.0, 0.75), (3, 0.25, 1.0), (4, 0.875, 0.0)) t(id, x, y)")
+def clip_segment(spark):
+    t = spark.createDataFrame(_ENDS, "id int, ix double, iy double, ox double, oy double")
+    part = F.least(grid.clip_share(F.col("ix"), F.col("ox")), grid.clip_share(F.col("iy"), F.col("oy")))
+    return t.select("id", (F.col("ix") + (F.col("ox") - F.col("ix")) * part).alias("x"), (F.col("iy") + (F.col("oy") - F.col("iy")) * part).alias("y"))
+
+
+@query(
+    f"SELECT way_id, seq, round((lon - {BOUNDS.min_lon}::DOUBLE) / {BOUNDS.max_lon - BOUNDS.min_lon}::DOUBLE * 256, 6) AS px, round((1 - (lat - {BOUNDS.min_lat}::DOUBLE) / {BOUNDS.max_lat - BOUNDS.min_lat}::DOUBLE) * 256, 6) AS py FROM way_points"
+)
+def way_pixels(ds):
+    points = ingest.way_points(ds.way_nodes, ds.nodes)
+    x = (F.col("lon") - BOUNDS.min_lon) / (BOUNDS.max_lon - BOUNDS.min_lon)
+    y = 1 - (F.col("lat") - BOUNDS.min_lat) / (BOUNDS.max_lat - BOUNDS.min_lat)
+    return points.select("way_id", "seq", F.round(x * 256, 6).alias("px"), F.round(y * 256, 6).alias("py"))

@@ -120,6 +120,12 @@ def flat_tags(ds: Dataset) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
+def info(ds: Dataset, name: str) -> DataFrame:
+    """One row: the dataset's name, its extent and how many nodes it has."""
+    lat, lon = F.col("lat"), F.col("lon")
+    return ds.nodes.agg(F.min(lat).alias("min_lat"), F.max(lat).alias("max_lat"), F.min(lon).alias("min_lon"), F.max(lon).alias("max_lon"), F.count(F.lit(1)).alias("nodes")).select(F.lit(name).alias("name"), "*")
+
+
 def write(ds: Dataset, path: str, partitions: int) -> None:
     """Writes a dataset as Parquet, each table ranged and sorted by id, nodes by cell, so that row groups can be skipped."""
     by = {"ways": ["id"], "way_nodes": ["way_id", "seq"], "relations": ["id"], "relation_members": ["parent_id", "seq"]}

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from cellatlas.functions import grid, parse, stops
 from cellatlas.operators import index, ingest
-from cellatlas.plans import style
+from cellatlas.plans import layers, style
 
 
 def cells(spark, *points):
@@ -56,3 +56,23 @@ def test_last_write_wins(spark):
 def test_first_known_tag_decides(spark):
     df = spark.createDataFrame([(1, [("surface", "x"), ("landuse", "forest"), ("highway", "path")]), (2, [("highway", "odd")]), (3, [])], "id long, tags array<struct<key:string,value:string>>")
     assert [(r.id, r.z_index) for r in style.way_styles(df).collect()] == [(1, 1)]
+
+
+def test_layer_filters(spark):
+    tags = "id long, tags array<struct<key:string,value:string>>"
+    df = spark.createDataFrame([(1, [("highway", "footway")]), (2, [("railway", "tram"), ("landuse", "x")]), (3, []), (4, None)], tags)
+
+    def shown(rule, source="transportation", kind=2):
+        return [r.id for r in df.where(layers.condition(rule, source, kind, F.col("tags"))).orderBy("id").collect()]
+
+    assert shown(["==", "class", "path"]) == [1] and shown(["in", "class", "path", "transit"]) == [1, 2]
+    assert shown(["!=", "class", "path"]) == [2, 3, 4] and shown(["!in", "class", "path", "transit"]) == [3, 4]
+    assert shown(None) == shown(["all"]) == shown(["!=", "odd", "x"]) == shown(["==", "$type", "Polygon"]) == [1, 2, 3, 4]
+    assert shown(["==", "odd", "x"]) == shown(["~", "class", "path"]) == shown(["==", "$type", "Point"]) == []
+    assert shown(["all", ["==", "$type", "LineString"], ["in", "class", "transit"]]) == [2]
+    assert [r.id for r in df.where(layers.in_source("landcover", F.col("tags"))).collect()] == [2]
+
+
+def test_values_at_zoom():
+    assert layers.number_at({"base": 1.2, "stops": [[14, 1], [20, 10]]}, 13) == 0 and layers.number_at(None, 3) == 0
+    assert layers.number_at({"stops": [[10, 8], [18, 2]]}, 14) == 11 and layers.number_at({"stops": [[10, 8], [18, 2]]}, 30) == 2
