@@ -161,3 +161,29 @@ def test_neighbours(spark):
         s[q] = -9
         assert [v for _, v in sorted(got[q])] == np.lexsort((np.arange(120), -s))[:5].tolist()
     assert set(got) == {0, 50, 100}
+
+
+def recall(got, x, queries, k=5):
+    """Share of the k nearest by brute force that are among the found (query_id, vec_id)."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in queries:
+        s = u @ u[q]
+        s[q] = -9
+        hits += len({(q, int(i)) for i in np.argsort(-s)[:k]} & got)
+    return hits / (k * len(queries))
+
+
+def test_neighbours_rounds_and_beam_follow_the_table(spark, monkeypatch):
+    """From small blocks and a narrow first beam, lists and search must still become good."""
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    monkeypatch.setattr(neighbours, "BEAM", 10)
+    x = np.random.default_rng(8).normal(size=(4000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    nodes = neighbours._nodes(neighbours._valid(df, "vec_id", "embedding"))[0]
+    nodes = nodes.persist()
+    lists = {(r.node, r.other) for r in neighbours.build(nodes, 4000).collect()}
+    nodes.unpersist()
+    assert recall(lists, x, range(0, 4000, 20)) >= 0.9
+    found = neighbours.nearest(df, df.where("vec_id % 100 = 0")).collect()
+    assert recall({(r.query_id, r.vec_id) for r in found}, x, range(0, 4000, 100)) >= 0.9
