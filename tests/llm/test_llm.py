@@ -187,3 +187,14 @@ def test_neighbours_rounds_and_beam_follow_the_table(spark, monkeypatch):
     assert recall(lists, x, range(0, 4000, 20)) >= 0.9
     found = neighbours.nearest(df, df.where("vec_id % 100 = 0")).collect()
     assert recall({(r.query_id, r.vec_id) for r in found}, x, range(0, 4000, 100)) >= 0.9
+
+
+@pytest.mark.parametrize("spread, n", [(0.004, 1000), (1e-4, 300)])
+def test_neighbours_in_tight_clusters(spark, spread, n):
+    """Vectors closer to one another than the rounding to 8 bits, the second ones mostly of equal codes."""
+    r = np.random.default_rng(9)
+    centre = r.normal(size=64)
+    x = centre / np.linalg.norm(centre) + r.normal(size=(n, 64)) * spread
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = neighbours.nearest(df, df.where("vec_id % 25 = 0")).collect()
+    assert recall({(g.query_id, g.vec_id) for g in found}, x, range(0, n, 25)) >= 0.99
