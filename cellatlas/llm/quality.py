@@ -1,15 +1,15 @@
 """Quality classifier: an interpolated modified Kneser-Ney bigram model of trusted text, joined by sharded counts.
 
-Trusted documents (label 1) outside the held-out fold train the model: a vocabulary of the ``VOCABULARY`` most frequent
-words, one class for all others, and the counts of all word pairs. A document's bits per word come from the counts of
-its pairs; a word outside the vocabulary also pays for being one of so many. Short texts vary more, so ``SPREAD``
+Trusted documents (label 1) outside the held-out fold train the model: the counts of all their words and word pairs, known
+by 64-bit hashes. A document's bits per word come from the counts of its pairs and words; words never met share what the
+lower order leaves them. Short texts vary more, so ``SPREAD``
 bits over the root of their length are taken off. Trusted documents of the held-out fold give each language its limit, the ``QUANTILE`` of
 their bits; documents above the limit of their language are rejected.
 
-Scale: texts are read twice (words, then tokens) and never shuffled. Tokens of 13 bits, compressed, are kept in chunks of
-a bounded number of words. Each chunk asks for the counts of its distinct pairs only, packed by shard; model rows and
-requests of a shard meet in one streaming merge, and the answers meet the chunk in another, so a task holds one shard of
-the model and one chunk, whatever the number of chunks. Only vectors of the vocabulary's size and one limit per language
+Scale: texts are read once and never shuffled. Their words, numbered within a chunk and compressed, are kept in chunks of
+a bounded number of words. Each chunk asks for the counts of its distinct pairs and words only, packed by shard; model rows
+and requests of a shard meet in one streaming merge, and the answers meet the chunk in another, so a task holds one shard
+of the model and one chunk; shards grow in number with the words. Only sums of counts and one limit per language
 reach the driver. The ids of trusted documents are broadcast while there are at most ``MAX_BROADCAST`` of them and joined
 otherwise.
 
@@ -21,10 +21,9 @@ table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-import math
+import hashlib
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -35,10 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import held_out, partitions, release, stored
 
-VOCABULARY = 8190
-BITS = 13
-UNKNOWN, START = VOCABULARY, VOCABULARY + 1
+START = np.uint64(0)
 CHUNK = 1 << 20
+#: Words of all texts for each shard.
+SHARD = 1 << 24
 QUANTILE = 0.995
 #: Bits, divided by the root of the number of words, that a short text may be above its limit: two standard errors.
 SPREAD = 12.0
@@ -47,11 +46,20 @@ MAX_BROADCAST = 2_000_000
 
 
 class Model(NamedTuple):
-    discount: np.ndarray  # by count: 0, 1, 2, 3 or more
-    total: np.ndarray  # of pairs that begin with a word
-    backoff: np.ndarray  # mass left to the lower order
-    lower: np.ndarray  # lower-order probability of a word
-    unknown_bits: float
+    discount: np.ndarray  # of pairs by count: 0, 1, 2, 3 or more
+    cut: np.ndarray  # of words by the number of words before them: 0, 1, 2, 3 or more
+    before: int  # distinct pairs
+    unseen: float  # lower-order probability of a word never met
+
+
+class _Hashes(dict):
+    """Word to its 64-bit hash, filled as words are met."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        out = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") or 1
+        return out
 
 
 def _trusted(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -63,27 +71,6 @@ def _trusted(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.select("doc_id", "text", "lang", F.coalesce("trust", F.lit(0)).alias("trust"))
 
 
-def _vocabulary(rows: DataFrame) -> tuple[list[str], int]:
-    """The most frequent words of the training texts, and how many other words these hold."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: Counter = Counter()
-        for b in batches:
-            for t in b["text"]:
-                sums.update((t or "").split())
-                if len(sums) > 400_000:
-                    yield pd.DataFrame({"word": list(sums), "n": list(sums.values())}, dtype=object)
-                    sums.clear()
-        yield pd.DataFrame({"word": list(sums), "n": list(sums.values())}, dtype=object)
-
-    counts = rows.where("trust = 1").select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = stored(counts, "words")
-    top = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
-    others = counts.count() - len(top)
-    release(counts)
-    return top, others
-
-
 def _pack(a: np.ndarray) -> bytes:
     return zlib.compress(a.tobytes(), 1)
 
@@ -92,18 +79,28 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), dtype=kind)
 
 
-def _chunks(rows: DataFrame, vocabulary: list[str], id_type: str) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = f"chunk string, doc_ids array<{id_type}>, langs array<string>, trust binary, sizes binary, tokens binary"
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted hashes: their differences byte by byte, the high bytes of which are mostly zero."""
+    return zlib.compress(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _chunks(rows: DataFrame, id_type: str) -> DataFrame:
+    schema = f"chunk string, doc_ids array<{id_type}>, langs array<string>, trust binary, sizes binary, words binary, tokens binary, n long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = {w: i for i, w in enumerate(shared.value)}
+        known = _Hashes()
         ids, langs, trust, sizes, tokens, n = [], [], [], [], [], 0
 
         def chunk() -> pd.DataFrame:
             own = [None if x is None or x != x else x for x in ids]
-            row = [uuid.uuid4().hex, own, list(langs), np.array(trust, dtype=np.int8).tobytes(), np.array(sizes, dtype=np.int64).tobytes(), _pack(np.concatenate(tokens))]
-            return pd.DataFrame([row], columns=["chunk", "doc_ids", "langs", "trust", "sizes", "tokens"], dtype=object)
+            distinct, where = np.unique(np.concatenate(tokens), return_inverse=True)
+            row = [uuid.uuid4().hex, own, list(langs), np.array(trust, dtype=np.int8).tobytes(), np.array(sizes, dtype=np.int64).tobytes(), _pack(distinct), _pack(where.astype(np.uint32)), n]
+            return pd.DataFrame([row], columns=["chunk", "doc_ids", "langs", "trust", "sizes", "words", "tokens", "n"], dtype=object)
 
         for b in batches:
             for i, t, lang, tr in zip(b["doc_id"].tolist(), b["text"], b["lang"], b["trust"]):
@@ -112,7 +109,7 @@ def _chunks(rows: DataFrame, vocabulary: list[str], id_type: str) -> DataFrame:
                 langs.append(lang)
                 trust.append(tr)
                 sizes.append(len(words))
-                tokens.append(np.fromiter((known.get(w, UNKNOWN) for w in words), dtype=np.uint16, count=len(words)))
+                tokens.append(np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words)))
                 n += len(words)
                 if n >= CHUNK or len(ids) >= 50_000:
                     yield chunk()
@@ -123,61 +120,136 @@ def _chunks(rows: DataFrame, vocabulary: list[str], id_type: str) -> DataFrame:
     return rows.mapInPandas(run, schema)
 
 
-def _pairs(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A number for each word with the word before it, or the start of its document."""
-    before = np.empty(len(tokens), dtype=np.uint32)
+def _pairs(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each word, or the start of its document, and a hash of both."""
+    before = np.empty(len(tokens), dtype=np.uint64)
     before[1:] = tokens[:-1]
     starts = (np.cumsum(sizes) - sizes)[sizes > 0]
     before[starts] = START
-    return (before << np.uint32(BITS)) | tokens
-
+    h = (before ^ (before >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + tokens * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return before, h ^ (h >> np.uint64(32))
 
-def _shard(pairs: np.ndarray, shards: int) -> np.ndarray:
-    return ((pairs * np.uint32(2654435761)) >> np.uint32(8)) % np.uint32(shards)
 
-
-def _by_shard(pairs: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(shard, positions) of sorted distinct pairs."""
-    s = _shard(pairs, shards)
-    order = np.argsort(s, kind="stable")
-    ends = np.searchsorted(s[order], np.arange(shards + 1))
+def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, positions) of sorted distinct hashes."""
+    s = ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    ends = np.searchsorted(s, np.arange(shards + 1, dtype=np.uint64))
     for i in range(shards):
         if ends[i] < ends[i + 1]:
-            yield i, order[ends[i] : ends[i + 1]]
+            yield i, np.arange(ends[i], ends[i + 1])
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their sums of the rows of values."""
+    distinct, where = np.unique(keys, return_inverse=True)
+    out = np.zeros((len(values), len(distinct)), dtype=np.int64)
+    for i, row in enumerate(values):
+        np.add.at(out[i], where, row)
+    return distinct, out
+
+
+_MODEL = "shard int, keys binary, values binary"
+
+
+def _parted(keys: np.ndarray, values: np.ndarray, shards: int) -> pd.DataFrame:
+    rows = [(i, _pack_keys(keys[at]), _pack(values[:, at])) for i, at in _by_shard(keys, shards)]
+    return pd.DataFrame(rows, columns=["shard", "keys", "values"])
+
+
+def _merged(parts: DataFrame, shards: int, kinds: int) -> DataFrame:
+    """One row for each shard, with the sums of ``kinds`` values for each key."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            for i, k, v in zip(b["shard"], b["keys"], b["values"]):
+                keys, values = _unpack_keys(k), _unpack(v, np.int64).reshape(kinds, -1)
+                if i in sums:
+                    keys, values = _summed(np.concatenate([sums[i][0], keys]), np.concatenate([sums[i][1], values], axis=1))
+                sums[i] = keys, values
+        for i, (keys, values) in sums.items():
+            yield pd.DataFrame({"shard": [i], "keys": [_pack_keys(keys)], "values": [_pack(values)]})
+
+    return parts.repartition(shards, "shard").mapInPandas(add, _MODEL)
 
 
 def _counts(chunks: DataFrame, shards: int) -> DataFrame:
-    """(shard, pairs, counts) of the training documents, one row for each shard."""
-    schema = "shard int, pairs binary, counts binary"
+    """The pairs of the training documents with their counts, by shard."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for sizes, trust, tokens in zip(b["sizes"], b["trust"], b["tokens"]):
+            for sizes, trust, words, tokens in zip(b["sizes"], b["trust"], b["words"], b["tokens"]):
                 n = np.frombuffer(sizes, dtype=np.int64)
                 use = np.frombuffer(trust, dtype=np.int8) == 1
-                words = _unpack(tokens, np.uint16)[np.repeat(use, n)]
-                if len(words):
-                    pairs, k = np.unique(_pairs(words, n[use]), return_counts=True)
-                    rows = [(i, _pack(np.diff(pairs[at], prepend=np.uint32(0))), _pack(k[at].astype(np.int64))) for i, at in _by_shard(pairs, shards)]
-                    yield pd.DataFrame(rows, columns=["shard", "pairs", "counts"])
+                w = _unpack(words, np.uint64)[_unpack(tokens, np.uint32)[np.repeat(use, n)]]
+                if len(w):
+                    keys, k = np.unique(_pairs(w, n[use])[1], return_counts=True)
+                    yield _parted(keys, k[None, :].astype(np.int64), shards)
+
+    return _merged(chunks.select("trust", "sizes", "words", "tokens").mapInPandas(count, _MODEL), shards, 1)
+
+
+class _Chunk:
+    """A chunk with the answers to it."""
+
+    def __init__(self, head: dict, got: list[tuple], shards: int):
+        self.head, self.shards, self.answered = head, shards, {(what, i): v for what, i, v in got}
+        self.sizes = np.frombuffer(head["sizes"], dtype=np.int64)
+        self.words = np.append(START, _unpack(head["words"], np.uint64))
+        tokens = self.words[1:][_unpack(head["tokens"], np.uint32)]
+        before, hashes = _pairs(tokens, self.sizes)
+        pairs, first, self.where = np.unique(hashes, return_index=True, return_inverse=True)
+        self.before, self.after = before[first], tokens[first]
+        told = self._values("pairs", pairs, 1)[0]
+        self.counts, self.owned = told >> 1, (told & 1) == 1
+
+    def _values(self, what: str, keys: np.ndarray, kinds: int) -> np.ndarray:
+        out = np.zeros((kinds, len(keys)), dtype=np.int64)
+        for i, at in _by_shard(keys, self.shards):
+            out[:, at] = _unpack(self.answered[what, i], np.int64).reshape(kinds, -1)
+        return out
+
+    def of_words(self) -> tuple[np.ndarray, np.ndarray]:
+        """What the model has of the first and of the second word of each pair."""
+        stats = self._values("words", self.words, 5)
+        return stats[:, np.searchsorted(self.words, self.before)], stats[:, np.searchsorted(self.words, self.after)]
+
+
+def _met(batches: Iterator[pd.DataFrame], shards: int) -> Iterator[_Chunk]:
+    head, got = None, []
+    for b in batches:
+        for row in b.to_dict("records"):
+            if row["kind"] == 0:
+                if head is not None:
+                    yield _Chunk(head, got, shards)
+                head, got = row, []
+            else:
+                got.append((row["what"], row["shard"], row["values"]))
+    if head is not None:
+        yield _Chunk(head, got, shards)
+
+
+def _answered(chunks: DataFrame, answers: DataFrame, shards: int) -> DataFrame:
+    """A chunk comes first, then its answers."""
+    heads = chunks.withColumns({"kind": F.lit(0), "shard": F.lit(-1), "what": F.lit(None).cast("string"), "values": F.lit(None).cast("binary")})
+    both = heads.unionByName(answers.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    return both.repartition(shards, "chunk").sortWithinPartitions("chunk", "kind")
+
+
+def _words(chunks: DataFrame, answers: DataFrame, shards: int) -> DataFrame:
+    """For each word, by shard: pairs that begin with it, its followers met once, twice, more often, and the words before it.
+
+    Each pair counts in the one chunk that owns it, as only chunks know the words of a pair."""
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for b in batches:
-            for i, p, k in zip(b["shard"], b["pairs"], b["counts"]):
-                pairs, counts = np.cumsum(_unpack(p, np.uint32), dtype=np.uint32), _unpack(k, np.int64)
-                if i in sums:
-                    both, where = np.unique(np.concatenate([sums[i][0], pairs]), return_inverse=True)
-                    total = np.zeros(len(both), dtype=np.int64)
-                    np.add.at(total, where, np.concatenate([sums[i][1], counts]))
-                    sums[i] = both, total
-                else:
-                    sums[i] = pairs, counts
-        for i, (pairs, counts) in sums.items():
-            yield pd.DataFrame({"shard": [i], "pairs": [_pack(np.diff(pairs, prepend=np.uint32(0)))], "counts": [_pack(counts)]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for c in _met(batches, shards):
+            n, u, w = c.counts[c.owned], c.before[c.owned], c.after[c.owned]
+            one, none = np.ones_like(n), np.zeros_like(n)
+            stats = np.stack([np.concatenate([x, y]) for x, y in ((n, none), (n == 1, none), (n == 2, none), (n > 2, none), (none, one))])
+            yield _parted(*_summed(np.concatenate([u, w]), stats), shards)
 
-    parts = chunks.select("trust", "sizes", "tokens").mapInPandas(count, schema)
-    return parts.repartition(shards, "shard").mapInPandas(add, schema)
+    return _merged(_answered(chunks.select("chunk", "sizes", "words", "tokens"), answers, shards).mapInPandas(run, _MODEL), shards, 5)
 
 
 def _discounts(of: dict[int, int]) -> np.ndarray:
@@ -189,80 +261,80 @@ def _discounts(of: dict[int, int]) -> np.ndarray:
     return np.array([0.0, *np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.05, [0.95, 1.95, 2.95])])
 
 
-def _fit(counts: DataFrame, others: int) -> Model | None:
-    """Discounts and the vectors of the vocabulary's size from the sharded counts."""
-    size = 1 << BITS
+def _times(model: DataFrame, kind: int, kinds: int) -> dict[int, int]:
+    """How many keys have 0, 1, 2, 3, 4 of a kind of value, and under -1 the sum of all values."""
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = np.zeros((6, size), dtype=np.int64)  # total, kinds seen once, twice, more, words before; counts of counts
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for p, k in zip(b["pairs"], b["counts"]):
-                pairs, n = np.cumsum(_unpack(p, np.uint32), dtype=np.uint32), _unpack(k, np.int64)
-                u, w = (pairs >> np.uint32(BITS)).astype(np.int64), (pairs & np.uint32(size - 1)).astype(np.int64)
-                out[0] += np.bincount(u, weights=n, minlength=size).astype(np.int64)
-                for i in (1, 2, 3):
-                    out[i] += np.bincount(u[np.minimum(n, 3) == i], minlength=size)
-                out[4] += np.bincount(w, minlength=size)
-                out[5, :5] += np.bincount(np.minimum(n, 5), minlength=6)[:5]
-        yield pd.DataFrame({"i": range(size), **{f"c{k}": out[k] for k in range(6)}})
-
-    added = counts.select("pairs", "counts").mapInPandas(sums, "i int, " + ", ".join(f"c{k} long" for k in range(6))).groupBy("i").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(6)])
-    pdf = added.toPandas().sort_values("i")  # 2 ** BITS rows
-    if pdf.empty or not pdf["c0"].sum():
+            for v in b["values"]:
+                n = _unpack(v, np.int64).reshape(kinds, -1)[kind]
+                yield pd.DataFrame({"i": range(-1, 6), "n": [int(n.sum()), *np.bincount(np.minimum(n, 5), minlength=6).tolist()]})
+
+    return dict(model.mapInPandas(run, "i int, n long").groupBy("i").agg(F.sum("n")).collect())
+
+
+def _fit(counts: DataFrame, words: DataFrame) -> Model | None:
+    of, kinds = _times(counts, 0, 1), _times(words, 4, 5)
+    if not of:
         return None
-    total, once, twice, more, before, of = (pdf[f"c{k}"].to_numpy(dtype=np.int64) for k in range(6))
-    d = _discounts(dict(enumerate(of[:5].tolist())))
-    kinds, times = np.unique(before, return_counts=True)
-    e = _discounts(dict(zip(kinds.tolist(), times.tolist())))
-    cut = e[np.minimum(before, 3)]
-    all_before = before.sum()
-    lower = (before - cut) / all_before + cut.sum() / all_before / size
-    left = d[1] * once + d[2] * twice + d[3] * more
-    return Model(d, total, left / np.maximum(total, 1), lower, math.log2(others + 1) if others > 0 else 0.0)
-
-
-def _requests(chunks: DataFrame, shards: int) -> DataFrame:
+    cut, before = _discounts(kinds), kinds[-1]
+    left = float(cut[1] * kinds[1] + cut[2] * kinds[2] + cut[3] * (kinds[3] + kinds[4] + kinds[5]))
+    met = sum(kinds[i] for i in range(1, 6))
+    return Model(_discounts(of), cut, before, left / before / (met + 1))
+
+
+def _requests(chunks: DataFrame, shards: int, what: str) -> DataFrame:
+    """(shard, chunk, keys): the distinct pairs or words of every chunk."""
+
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for chunk, sizes, tokens in zip(b["chunk"], b["sizes"], b["tokens"]):
-                pairs = np.unique(_pairs(_unpack(tokens, np.uint16), np.frombuffer(sizes, dtype=np.int64)))
-                rows = [(i, 1, chunk, _pack(np.diff(pairs[at], prepend=np.uint32(0)))) for i, at in _by_shard(pairs, shards)]
-                yield pd.DataFrame(rows, columns=["shard", "kind", "chunk", "pairs"], dtype=object)
+            for chunk, sizes, words, tokens in zip(b["chunk"], b["sizes"], b["words"], b["tokens"]):
+                keys = np.append(START, _unpack(words, np.uint64))
+                if what == "pairs":
+                    keys = np.unique(_pairs(keys[1:][_unpack(tokens, np.uint32)], np.frombuffer(sizes, dtype=np.int64))[1])
+                rows = [(i, chunk, _pack_keys(keys[at])) for i, at in _by_shard(keys, shards)]
+                yield pd.DataFrame(rows, columns=["shard", "chunk", "keys"], dtype=object)
+
+    return chunks.select("chunk", "sizes", "words", "tokens").mapInPandas(ask, "shard int, chunk string, keys binary")
 
-    return chunks.select("chunk", "sizes", "tokens").mapInPandas(ask, "shard int, kind int, chunk string, pairs binary")
 
+def _answers(chunks: DataFrame, table: DataFrame, shards: int, what: str, kinds: int) -> DataFrame:
+    """(chunk, what, shard, values): in each shard the model's row comes first and the requests stream past it.
 
-def _answers(requests: DataFrame, counts: DataFrame, shards: int) -> DataFrame:
-    """(chunk, shard, counts): in each shard the model's row comes first and the requests stream past it."""
+    Of a pair comes twice its count, and one more to the first chunk that asks: it owns the pair."""
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, keys, values = -1, np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64)
+        at, own, values = -1, np.empty(0, dtype=np.uint64), np.empty((kinds, 0), dtype=np.int64)
         for b in batches:
             rows = []
-            for shard, kind, chunk, p, k in zip(b["shard"], b["kind"], b["chunk"], b["pairs"], b["counts"]):
-                pairs = np.cumsum(_unpack(p, np.uint32), dtype=np.uint32)
+            for shard, kind, chunk, k, v in zip(b["shard"], b["kind"], b["chunk"], b["keys"], b["values"]):
                 if kind == 0:
-                    at, keys, values = shard, pairs, _unpack(k, np.int64)
+                    at, own, values = shard, _unpack_keys(k), _unpack(v, np.int64).reshape(kinds, -1)
+                    values = 2 * values + 1 if what == "pairs" else values
                     continue
-                found = np.zeros(len(pairs), dtype=np.uint32)
+                keys = _unpack_keys(k)
+                found = np.zeros((kinds, len(keys)), dtype=np.int64)
                 if at == shard:
-                    i = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
-                    found = np.where(keys[i] == pairs, values[i], 0).astype(np.uint32)
-                rows.append((chunk, shard, _pack(found)))
-            yield pd.DataFrame(rows, columns=["chunk", "shard", "counts"], dtype=object)
+                    i = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                    found = np.where(own[i] == keys, values[:, i], 0)
+                    if what == "pairs":
+                        values[0, i[own[i] == keys]] &= ~1
+                rows.append((chunk, what, shard, _pack(found)))
+            yield pd.DataFrame(rows, columns=["chunk", "what", "shard", "values"], dtype=object)
 
-    model = counts.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("chunk"), "pairs", "counts")
-    both = model.union(requests.select("shard", "kind", "chunk", "pairs", F.lit(None).cast("binary")))
-    return both.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInPandas(answer, "chunk string, shard int, counts binary")
+    model = table.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("chunk"), "keys", "values")
+    both = model.union(_requests(chunks, shards, what).select("shard", F.lit(1), "chunk", "keys", F.lit(None).cast("binary")))
+    return both.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInPandas(answer, "chunk string, what string, shard int, values binary")
 
 
-def _bits(model: Model, pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Bits of each word: pairs and the count of each in the model."""
-    u, w = pairs >> np.uint32(BITS), pairs & np.uint32((1 << BITS) - 1)
-    c = counts.astype(np.int64)
-    total = model.total[u]
-    high = (c - model.discount[np.minimum(c, 3)]) / np.maximum(total, 1) + model.backoff[u] * model.lower[w]
-    return -np.log2(np.where(total > 0, high, model.lower[w])) + np.where(w == UNKNOWN, model.unknown_bits, 0.0)
+def _bits(model: Model, counts: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Bits of each pair: its count, and what the model has of its two words."""
+    n = word[4]
+    lower = (n - model.cut[np.minimum(n, 3)]) / model.before + model.unseen
+    total = np.maximum(before[0], 1)
+    left = (model.discount[1:, None] * before[1:4]).sum(axis=0) / total
+    high = (counts - model.discount[np.minimum(counts, 3)]) / total + left * lower
+    return -np.log2(np.where(before[0] > 0, high, lower))
 
 
 def _scores(chunks: DataFrame, answers: DataFrame, model: Model, shards: int, id_type: str) -> DataFrame:
@@ -271,39 +343,19 @@ def _scores(chunks: DataFrame, answers: DataFrame, model: Model, shards: int, id
     schema = f"doc_id {id_type}, lang string, trust int, n_words long, bits double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, head, got = shared.value, None, []
-
-        def done() -> pd.DataFrame:
-            sizes = np.frombuffer(head["sizes"], dtype=np.int64)
-            pairs, where = np.unique(_pairs(_unpack(head["tokens"], np.uint16), sizes), return_inverse=True)
-            counts = np.zeros(len(pairs), dtype=np.uint32)
-            answered = dict(got)
-            for i, at in _by_shard(pairs, shards):
-                counts[at] = _unpack(answered[i], np.uint32)
-            each = _bits(m, pairs, counts)[where]
+        m = shared.value
+        for c in _met(batches, shards):
+            sizes = c.sizes
+            each = _bits(m, c.counts, *c.of_words())[c.where]
             ends = np.concatenate([[0.0], np.cumsum(each)])
             stop = np.cumsum(sizes)
             mean = (ends[stop] - ends[stop - sizes]) / np.maximum(sizes, 1)
             bits = np.where(sizes > 0, mean - SPREAD / np.sqrt(np.maximum(sizes, 1)), np.nan)
-            out = pd.DataFrame({"doc_id": list(head["doc_ids"]), "lang": pd.Series(list(head["langs"]), dtype=object), "trust": np.frombuffer(head["trust"], dtype=np.int8).astype(np.int32), "n_words": sizes})
+            out = pd.DataFrame({"doc_id": list(c.head["doc_ids"]), "lang": pd.Series(list(c.head["langs"]), dtype=object), "trust": np.frombuffer(c.head["trust"], dtype=np.int8).astype(np.int32), "n_words": sizes})
             out["bits"] = [None if x != x else x for x in bits.tolist()]
-            return out
+            yield out
 
-        for b in batches:
-            for row in b.to_dict("records"):
-                if row["kind"] == 0:
-                    if head is not None:
-                        yield done()
-                    head, got = row, []
-                else:
-                    got.append((row["shard"], row["counts"]))
-        if head is not None:
-            yield done()
-
-    heads = chunks.select("chunk", F.lit(0).alias("kind"), F.lit(-1).alias("shard"), "doc_ids", "langs", "trust", "sizes", "tokens", F.lit(None).cast("binary").alias("counts"))
-    tails = answers.select("chunk", F.lit(1).alias("kind"), "shard", "counts")
-    both = heads.unionByName(tails, allowMissingColumns=True)
-    return both.repartition(shards, "chunk").sortWithinPartitions("chunk", "kind", "shard").mapInPandas(run, schema)
+    return _answered(chunks.drop("n"), answers, shards).mapInPandas(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
@@ -311,17 +363,19 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     id_type = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = _trusted(rows, labels)
-    vocabulary, others = _vocabulary(rows)
-    chunks = stored(_chunks(rows, vocabulary, id_type), "chunks")
-    shards = partitions(docs.sparkSession)
+    chunks = stored(_chunks(rows, id_type), "chunks")
+    shards = max(partitions(docs.sparkSession), (chunks.agg(F.sum("n")).first()[0] or 0) // SHARD)
     counts = stored(_counts(chunks, shards), "counts")
-    model = _fit(counts, others)
+    told = stored(_answers(chunks, counts, shards, "pairs", 1), "told")
+    words = stored(_words(chunks, told, shards), "words")
+    model = _fit(counts, words)
     if model is None:
         nothing = F.lit(None).cast("double")
         return rows.select("doc_id", "lang", F.lit(None).cast("long").alias("n_words"), nothing.alias("perplexity"), nothing.alias("bits"), nothing.alias("limit"), F.lit(True).alias("kept"))
-    answers = _answers(_requests(chunks, shards), counts, shards)
+    release(counts)
+    answers = told.union(_answers(chunks, words, shards, "words", 5))
     scores = stored(_scores(chunks, answers, model, shards, id_type), "scores")
-    release(chunks, counts)
+    release(chunks, told, words)
     fair = scores.where("trust = 2 AND bits IS NOT NULL")
     accuracy = 10_000
     limits = fair.groupBy("lang").agg(F.percentile_approx("bits", quantile, accuracy).alias("own"), F.count(F.lit(1)).alias("n")).where(f"n >= {LEAST}")

@@ -1,4 +1,6 @@
 import datetime as dt
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -146,6 +148,42 @@ def test_quality(docs, spark):
     assert quality.keep_good(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_quality_knows_every_word(spark):
+    """More words than any fixed vocabulary held: documents of known rare words must cost less than those of unknown ones."""
+    known = [f"w{i}" for i in range(12_000)]
+    rows = [(i, " ".join(known[40 * i : 40 * i + 40]), "en", "s", 1) for i in range(300)]
+    rows += [(1000 + i, " ".join(known[40 * i + k] for k in (3, 1, 4, 15, 9, 2, 6, 5)), "en", "s", 1) for i in range(300)]
+    rows += [(2000 + i, " ".join(f"x{40 * i + k}" for k in (3, 1, 4, 15, 9, 2, 6, 5)), "en", "s", 1) for i in range(300)]
+    df = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    bits = {r.doc_id: r.bits for r in quality.classify(df, labels).collect()}
+    trained = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
+    assert max(bits[1000 + i] for i in trained) < min(bits[2000 + i] for i in range(300))
+
+
+def test_quality_counts_against_brute_force(spark):
+    """Bits of every document by the same model counted in plain dictionaries."""
+    r = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{int(x)}" for x in r.zipf(1.4, 30) % 500), "en", "s", 1) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    got = {g.doc_id: g.bits for g in quality.classify(spark.createDataFrame(rows, DOCS), labels).collect()}
+    pairs = Counter(p for i, t, *_ in rows if i < 150 and zlib.crc32(str(i).encode()) % 5 for p in zip(["", *t.split()], t.split()))
+    before, total = Counter(w for _, w in pairs), Counter()
+    for (u, _), n in pairs.items():
+        total[u] += n
+    d, e = quality._discounts(Counter(pairs.values())), quality._discounts(Counter(before.values()))
+    unseen = sum(e[min(n, 3)] for n in before.values()) / len(pairs) / (len(before) + 1)
+    left = Counter()
+    for (u, _), n in pairs.items():
+        left[u] += d[min(n, 3)]
+    for i, t, *_ in rows:
+        bits = []
+        for u, w in zip(["", *t.split()], t.split()):
+            low = (before[w] - e[min(before[w], 3)]) / len(pairs) + unseen
+            bits.append(-np.log2((pairs[u, w] - d[min(pairs[u, w], 3)] + left[u] * low) / total[u] if total[u] else low))
+        assert got[i] == pytest.approx(np.mean(bits) - quality.SPREAD / 30**0.5)
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(5)
     x = r.normal(size=(120, 8)).round(3)
