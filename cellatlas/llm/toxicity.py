@@ -1,7 +1,7 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick over folded text, with exception phrases.
 
 Folding lower-cases, strips accents and invisible characters and maps homoglyphs and digit substitutions to Latin
-letters. The lexicon holds word beginnings and whole words of the folded training texts with the lower end of their log-odds
+letters, at either end of a word too. The lexicon holds word beginnings and whole words of the folded training texts with the lower end of their log-odds
 between toxic and clean documents; exception phrases are pairs of neighbouring words that hold a lexicon word and yet are no
 likelier in toxic documents, and take the weight of the word inside back. The sum of weights, normalised by length,
 goes through a logistic curve fitted on the same rows.
@@ -51,7 +51,10 @@ HOMOGLYPHS = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"}
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_SUBSTITUTED = re.compile(r"(?<=[^\W\d_])[0134578@$!|€]+(?=[^\W\d_])|(?<![\w@$!|€])[013457@$€]+(?=[^\W\d_]{2})")
+#: Letters and the signs for them; digits only as a whole number, so that none that stands for no letter is next to them.
+_RUN = re.compile(r"(?:[^\W\d_]+|(?<!\d)[0134578]+(?!\d)|[@$!|€])+")
+_CLOSING = "!|"
+_SIGNS = str.maketrans(DIGITS)
 
 
 class Model(NamedTuple):
@@ -72,12 +75,20 @@ class _Folding(dict):
 _FOLDING = _Folding()
 
 
+def _plain(run: str) -> str:
+    """The run as letters, without closing punctuation and what opens with it."""
+    if run.isalpha():
+        return run
+    bare = run.rstrip(_CLOSING)
+    return (bare.lstrip(_CLOSING) if bare != run and run[0] in _CLOSING else bare).translate(_SIGNS)
+
+
 def fold(text: str | None) -> list[str]:
     """The words of the text as plain Latin letters."""
     if not text:
         return []
     text = text.lower() if text.isascii() else text.translate(_FOLDING).lower()
-    return _LETTERS.findall(_SUBSTITUTED.sub(lambda m: "".join([DIGITS[x] for x in m[0]]), text))
+    return [_plain(w) for w in _RUN.findall(text) if _LETTERS.search(w)]
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_train: int, seed: int) -> DataFrame:

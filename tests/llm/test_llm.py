@@ -142,6 +142,11 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(df, toxicity.learn(df, labels.limit(0))).collect()} == {0.0}
 
 
+def test_folding_of_substitutions_at_either_end():
+    assert toxicity.fold("1d10t w0rthl355 7r45h a$$ !d10t |oser 8ad") == ["idiot", "worthless", "trash", "ass", "idiot", "loser", "bad"]
+    assert toxicity.fold("idiot! |cell| 100 12:30 $5 covid19 !!!") == ["idiot", "cell", "covid"]
+
+
 def test_quality(docs, spark):
     labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.classify(docs, labels).count() == docs.count()
