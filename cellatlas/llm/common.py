@@ -1,31 +1,37 @@
-"""Shared helpers: scratch tables in the cluster's shared folder, column names, hashed samples."""
+"""Shared helpers: scratch tables in the cluster's shared folder, Arrow batches, hashed samples."""
 
 from __future__ import annotations
 
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: One word, as a regular expression that Java and RE2 read alike.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words whose CRC-32 of the id leaves 0 here are held out of all training.
 FOLDS = 5
 
-_scratch: list[str] = []
+#: Scratch paths that still exist, with the name of the table over each, if it has one.
+_scratch: dict[str, str | None] = {}
 _local_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where that is unset and one machine runs all (tests)."""
     global _local_dir
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="checkpoints-")
     return _local_dir
@@ -36,54 +42,88 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cellatlas-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
-    _scratch.append(path)
+    _scratch[path] = None
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch_path = path
     return back
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like :func:`stored`, dealt into buckets by ``key``: joins on it do not move these rows again."""
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    path, table_name = f"{shared_dir(spark)}/cellatlas-{mark}-{name}", f"cellatlas_{mark}"
+    df.repartition(buckets, key).write.option("path", path).bucketBy(buckets, key).saveAsTable(table_name)
+    _scratch[path] = table_name
+    back = spark.table(table_name)
+    back._scratch_path = path
+    return back
+
+
 def release(*frames: DataFrame) -> None:
     """Deletes the files behind frames made by :func:`stored` once nothing reads them any more."""
     for df in frames:
         _delete(df.sparkSession, df._scratch_path)
-    # Spark removes the shuffle files of plans that nothing refers to any more when the driver collects its garbage.
-    gc.collect()
-    frames[0].sparkSession.sparkContext._jvm.System.gc()
 
 
-def keep(df: DataFrame) -> None:
-    """Leaves the table behind a stored frame to its reader: :func:`release_until` no longer deletes it."""
-    _scratch.remove(df._scratch_path)
+def collect_garbage(spark: SparkSession) -> None:
+    """Spark removes the shuffle files of plans that nothing refers to any more when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
-def scratch_mark() -> int:
-    return len(_scratch)
+def scratch_paths() -> set[str]:
+    return set(_scratch)
 
 
-def release_until(spark: SparkSession, mark: int) -> None:
-    """Deletes the scratch tables written before ``mark``; for callers that have stored what was built on them."""
-    for path in filter(None, _scratch[:mark]):
+def release_paths(spark: SparkSession, paths: set[str]) -> None:
+    """Deletes these scratch tables; for callers that have stored what was built on them."""
+    for path in paths:
         _delete(spark, path)
+    collect_garbage(spark)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
     if path in _scratch:
+        name = _scratch.pop(path)
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        _scratch[_scratch.index(path)] = ""
+
+
+def with_columns(df: DataFrame, run: Callable[[dict[str, list]], dict[str, list]], added: str, keep: tuple[str, ...] = ("doc_id",), start: Callable | None = None) -> DataFrame:
+    """The ``keep`` columns of ``df`` as they are, and new ones that ``run`` makes from lists of the others, row by row.
+
+    Kept columns stay in Arrow, so that ids of any type, nulls among them, come out unchanged. ``start`` makes, once a
+    task, what ``run`` gets as its second argument."""
+    schema = StructType([df.schema[c] for c in keep] + StructType.fromDDL(added).fields)
+    arrow = to_arrow_schema(schema)
+    names = [f.name for f in schema.fields[len(keep) :]]
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = (start(),) if start else ()
+        for b in rows:
+            given = {c: b.column(c).to_pylist() for c in b.schema.names if c not in keep}
+            made = run(given, *state)
+            columns = [b.column(c).cast(arrow.field(c).type) for c in keep] + [pa.array(made[c], arrow.field(c).type) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return df.mapInArrow(batches, schema)
 
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Python workers get so many rows at a time from the plans run inside, which bounds their memory over long texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
+    """Python workers get so many rows, and about 8 MB, at a time from the plans run inside, which bounds their memory over long texts."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -18,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
     both = stored(both.union(both.select("b", "a")).distinct(), "links")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
-    while True:
+    while labels.limit(1).count():
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         low = labels.join(near, "node").select("node", F.least("label", "near").alias("low"), "label")
         up = labels.select(F.col("node").alias("low"), F.col("label").alias("up"))
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         release(labels)
         labels = jumped
         if not labels.where("changed").limit(1).count():
-            release(both)
-            out = labels.select("node", "label")
-            out._scratch_path = labels._scratch_path
-            return out
+            break
+    release(both)
+    out = labels.select("node", "label")
+    out._scratch_path = labels._scratch_path
+    return out

@@ -1,44 +1,57 @@
 """N-gram Jaccard join: a grouped prefix join over sets of word shingles, and the components of its links.
 
 Documents with the same set are one key from the start. The shingles of a set are put in one global order, rarest first;
-two sets can only be similar enough if their prefixes (n - ceil(t n) + 1 shingles) meet. Shingles that only one document
-has in its prefix are dropped, and keys with the same remaining prefix and the same size are collapsed into one group.
-Groups that share a prefix shingle and whose sizes fit are candidate pairs; they are expanded into their members, and
-each pair of members is verified on the whole sets. Before that, a bitmap of each set (2 to 4 bits a shingle) gives an
-upper bound of what a pair has in common: pairs below what similarity needs are left out, and never one that links.
-
-Rarity need not be exact for the result to be: the order uses counts of shingles in a fixed number of hash buckets, over
-all documents. Very common passages stand out in them at any size.
-
-A posting list may be as long as the largest family of near copies, so pairs within it are not all made. Candidates come
-in rounds: first each list's groups against one pivot, then against one pivot in each of 16 hash classes, and
-last against each other, always leaving out pairs that earlier links have joined already. The last round has no
-limit, so no link between components is lost: the components are exact.
-
-Scale: texts are never shuffled. Counting sends 4 MB per task; the prefixes are a quarter of the shingles, counted with
-map-side sums and joined by their key (Spark splits skewed lists). Whole sets are recomputed, in each round, only for
-documents that a Bloom filter of fixed size says may be in its candidate pairs. Every iteration cuts its lineage
-with a table in the shared folder.
+two sets can only be similar enough if their prefixes (n - ceil(t n) + 1 shingles) meet. Shingles that only one key has in
+its prefix are dropped, and keys with the same remaining prefix and the same size are collapsed into one group. Two groups
+are a candidate pair if they share a prefix shingle, their sizes fit, and at that shingle both have enough shingles left to
+reach the similarity (the positional filter). Candidate pairs of groups are expanded into members, and pairs of members
+are verified on whole texts.
+
+The work does not grow with the square of a family of near copies, and nothing is capped:
+
+* Members of a group are compared with its smallest key only. Those that are not similar to it leave for a group of their own,
+  so that a group is linked within itself and the similarity of each member to the group's key is known.
+* Then come rounds in which every group is compared with one other, of another component: the one that most of its lists
+  propose, where a list proposes a group of the component that it holds most of (to this component itself, one that it holds
+  least of). Components merge between rounds, and lists that hold one component only drop out. The rounds end when under
+  ``SETTLED`` of the comparisons find a link.
+* The last round compares all pairs of groups that are left: those that share a list, can be similar by size and position,
+  and are in different components still. It has no limit, so the components are exact. Pairs of members beyond the
+  groups' keys follow only where the triangle inequality of the Jaccard distance leaves room: d(x, y) >= d(p, q) - d(x, p) -
+  d(y, q).
+
+Passages that many unlike documents share stand at the end of the global order. There the positional filter lets through
+just the pairs whose common passage makes them similar, so such lists don't give all their pairs either.
+
+The order needs only counts of shingles in a fixed number of hash buckets over all documents; the result is exact for any order.
+
+Scale: counting sends 4 MB a task. The prefixes are a quarter of the shingles, counted with map-side sums and joined by
+their key (Spark splits skewed lists). The texts of keys that share a prefix shingle are stored once, bucketed by key, and
+a comparison moves the text of one side, and of the other once for ``SPLIT`` comparisons with it. A Bloom filter of at most
+2 ** ``MAX_BLOOM_BITS`` bits picks these texts before they are shuffled; beyond that size a join does. Every iteration cuts
+its lineage with a table in the shared folder.
 
 Edge cases: a null text, or one without words, has size 0 and no links; a text with fewer words than a shingle is one
 shingle. A null id takes part through its text, and is never a component's id unless all ids there are null. Rows that
-repeat, ids included, give a row each. An empty table gives an empty result. Other columns are ignored. Sets are told
-apart by 64-bit shingle hashes and a 64-bit digest; a pair is compared on 40 bits of each hash.
+repeat, ids included, give a row each. An empty table gives an empty result. Other columns are ignored. Shingles and
+whole sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, small_batches, stored
+from .common import bucketed, collect_garbage, partitions, release, small_batches, stored, with_columns
 from .graph import components
 
 WORDS = 5
@@ -46,12 +59,12 @@ WORDS = 5
 SIMILARITY = (75, 100)
 #: Hash buckets in which shingles are counted to order them, as a power of two, and the slices that tasks exchange.
 COUNT_BITS, SLICES = 20, 64
-#: Bits of the Bloom filter of candidates, as a power of two.
-BLOOM_BITS = 23
-#: Pivots per posting list in the rounds before the last.
-PIVOTS = (1, 16)
-#: Bits of a set's bitmap for each shingle: this many at least, less than twice as many.
-SKETCH_BITS = 2
+#: Bits of the Bloom filter of texts that are compared, as a power of two: 16 for each at least, and these at most.
+MAX_BLOOM_BITS = 27
+#: Comparisons with one key that are made in one task.
+SPLIT = 1024
+#: The rounds of single comparisons end when a smaller share of them finds a link.
+SETTLED = 0.02
 #: Bytes of text that are hashed together; longer words and texts take as many as they need.
 _TOGETHER = 1 << 17
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -146,34 +159,6 @@ def _digest(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _packed(shingles: np.ndarray) -> bytes:
-    """The first 40 bits of each hash, which tell the shingles of two documents apart, in 5 bytes."""
-    return (shingles >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _unpacked(items: bytes) -> np.ndarray:
-    out = np.zeros((len(items) // 5, 8), dtype=np.uint8)
-    out[:, :5] = np.frombuffer(items, dtype=np.uint8).reshape(-1, 5)
-    return out.reshape(-1).view("<u8")
-
-
-def sketch(shingles: np.ndarray) -> bytes:
-    """A bitmap of the set, of a power of two bits: bit h mod size is set for each hash h, counted from its 40-bit end."""
-    size = max(64, 1 << (SKETCH_BITS * len(shingles) - 1).bit_length())
-    bits = np.zeros(size, dtype=bool)
-    bits[((shingles >> np.uint64(24)) & np.uint64(size - 1)).astype(np.int64)] = True
-    return np.packbits(bits).tobytes()
-
-
-def most_common(x: bytes, n: int, y: bytes, m: int) -> int:
-    """An upper bound of the shingles that two sets share, from their bitmaps and sizes; the larger map is folded."""
-    u, v = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
-    size = min(len(u), len(v))
-    u, v = (np.bitwise_or.reduce(a.reshape(-1, size), axis=0) for a in (u, v))
-    a, b, both = (int(np.bitwise_count(z).sum()) for z in (u, v, u & v))
-    return both + min(n - a, m - b)
-
-
 def _bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
@@ -212,204 +197,297 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
     return np.minimum(out, np.uint64((1 << 24) - 1)).astype(np.uint32)
 
 
-def _prefixes(docs: DataFrame, counts: np.ndarray, id_type: str) -> DataFrame:
-    """(doc_id, n, key, prefix, sketch) of every row."""
+def _prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(doc_id, h, n, key, prefix) of every row; ``prefix`` in the global order."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        order = shared.value
-        for b in batches:
-            sizes, keys, prefixes, maps = [], [], [], []
-            for s in shingle_sets(b["text"]):
-                rank = (order[_bucket(s)].astype(np.uint64) << np.uint64(40)) | (s & np.uint64((1 << 40) - 1))
-                sizes.append(len(s))
-                keys.append(_digest(s))
-                maps.append(sketch(s))
-                prefixes.append(s[np.argsort(rank, kind="stable")[: prefix_length(len(s))]].view(np.int64))
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "n": sizes, "key": keys, "prefix": prefixes, "sketch": maps})
+    def run(given: dict[str, list]) -> dict[str, list]:
+        order, out = shared.value, {"n": [], "key": [], "prefix": []}
+        for s in shingle_sets(given["text"]):
+            rank = (order[_bucket(s)].astype(np.uint64) << np.uint64(40)) | (s & np.uint64((1 << 40) - 1))
+            out["n"].append(len(s))
+            out["key"].append(_digest(s))
+            out["prefix"].append(s[np.argsort(rank, kind="stable")[: prefix_length(len(s))]].view(np.int64))
+        return out
 
-    return docs.mapInPandas(run, f"doc_id {id_type}, n long, key long, prefix array<long>, sketch binary")
+    return with_columns(docs, run, "n long, key long, prefix array<long>", keep=("doc_id", "h"))
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """Bits of a Bloom filter over a column ``h`` of 64-bit hashes; at most 2 ** BLOOM_BITS bits reach the driver."""
-    mask = (1 << BLOOM_BITS) - 1
+def _bloom(hashes: DataFrame) -> np.ndarray | None:
+    """Bits of a Bloom filter over a column ``h`` of 64-bit hashes; None where it would be too large."""
+    bits = max(16 * hashes.count(), 1 << 10).bit_length()
+    if bits > MAX_BLOOM_BITS:
+        return None
+    mask = (1 << bits) - 1
     spots = F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 32).bitwiseAND(mask))
-    words = ids.select(F.explode(spots).alias("p")).select(F.shiftright("p", 5).alias("word"), F.expr("shiftleft(1L, cast(p & 31 as int))").alias("bit"))
-    pdf = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(1 << (BLOOM_BITS - 5), dtype=np.uint32)
+    words = hashes.select(F.explode(spots).alias("p")).select(F.shiftright("p", 5).alias("word"), F.expr("shiftleft(1L, cast(p & 31 as int))").alias("bit"))
+    pdf = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most 2 ** (MAX_BLOOM_BITS - 5) rows
+    out = np.zeros(1 << (bits - 5), dtype=np.uint32)
     out[pdf["word"].to_numpy(dtype=np.int64)] = pdf["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
     return out
 
 
-def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(key, items) for the needed (key, doc_id): whole sets, computed again from the texts."""
-    h = F.xxhash64("doc_id")
-    shared = docs.sparkSession.sparkContext.broadcast(_bloom(needed.select(h.alias("h"))))
+def _likely(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """(h, text) of the rows that may be needed, each text at most once a task."""
+    found = _bloom(needed)
+    if found is None:
+        return texts
+    shared = texts.sparkSession.sparkContext.broadcast(found)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = shared.value
-        mask = np.uint64((1 << BLOOM_BITS) - 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = shared.value, set()
+        mask = np.uint64(32 * len(bits) - 1)
         for b in batches:
-            x = b["h"].to_numpy(dtype=np.int64).view(np.uint64)
+            h = b.column("h").to_numpy(zero_copy_only=False).astype(np.int64)
+            x = h.view(np.uint64)
             there = np.ones(len(x), dtype=bool)
             for spot in (x & mask, (x >> np.uint64(32)) & mask):
                 there &= (bits[(spot >> np.uint64(5)).astype(np.int64)] >> (spot & np.uint64(31)).astype(np.uint32)) & 1 == 1
-            sets = list(shingle_sets(b["text"][there]))
-            yield pd.DataFrame({"key": [_digest(s) for s in sets], "items": [_packed(s) for s in sets]})
+            rows = []
+            for i in np.flatnonzero(there).tolist():
+                if h[i] not in seen:
+                    seen.add(h[i])
+                    rows.append(i)
+            yield b.take(pa.array(rows, pa.int64()))
+
+    return texts.mapInArrow(run, "h long, text string")
+
+
+def _texts(rows: DataFrame, ids: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, text) of the keys, bucketed by key; any text of a key will do."""
+    needed = stored(ids.join(keys, "key", "left_semi").groupBy("key").agg(F.min("h").alias("h")), "needed")
+    found = _likely(rows.where("text IS NOT NULL").select("h", "text"), needed.select("h"))
+    out = bucketed(found.join(needed, "h").select("key", "text").dropDuplicates(["key"]), "texts", "key", partitions(rows.sparkSession))
+    release(needed)
+    return out
 
-    found = docs.select("text", h.alias("h")).mapInPandas(run, "key long, items binary")
-    return found.join(needed.select("key"), "key", "left_semi").groupBy("key").agg(F.first("items").alias("items"))
 
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (x, p, and columns of longs) with ``common``, the number of shingles in both keys' sets.
 
-def _fits(a: Column, b: Column) -> Column:
-    num, den = SIMILARITY
-    return F.least(a, b) * den >= F.greatest(a, b) * num
+    A key may stand in any number of pairs as ``p``: its text goes to one task for each ``SPLIT`` of them."""
+    columns = pairs.columns
+    often = pairs.groupBy("p").agg((F.floor(F.count(F.lit(1)) / SPLIT) + 1).alias("tasks"))
+    of_p = often.select(F.col("p").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("part")).join(texts, "key")
+    of_x = pairs.join(often, "p").withColumn("part", F.pmod(F.xxhash64("x"), F.col("tasks"))).join(texts.toDF("x", "text_x"), "x")
+    both = of_x.join(of_p.toDF("p", "part", "text_p"), ["p", "part"]).select(*columns, "text_x", "text_p")
+    schema = ", ".join(f"{c} long" for c in [*columns, "common"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        for b in batches:
+            p, text_p = b.column("p").to_pylist(), b.column("text_p")
+            new = {k: i for i, k in enumerate(p) if k not in known}
+            known = {k: known[k] for k in set(p) - new.keys()}
+            known.update(zip(new, shingle_sets(text_p[i].as_py() for i in new.values())))
+            common = []
+            for k, own in zip(p, shingle_sets(b.column("text_x").to_pylist())):
+                met = np.concatenate([own, known[k]])
+                met.sort()
+                common.append(int(np.count_nonzero(met[1:] == met[:-1])))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(common, pa.int64())], names=[*columns, "common"])
 
-def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose bitmaps do not rule out that they are similar enough."""
-    num, den = SIMILARITY
+    return both.mapInArrow(run, schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            most = np.array([most_common(*row) for row in zip(b["x"], b["n"], b["y"], b["m"])], dtype=np.int64)
-            yield b.loc[den * most >= num * (b["n"].to_numpy() + b["m"].to_numpy() - most), ["a", "b"]]
 
-    met = pairs.join(sketches.toDF("b", "m", "y"), "b").join(sketches.toDF("a", "n", "x"), "a")
-    return met.select("a", "b", "x", "n", "y", "m").mapInPandas(run, "a long, b long")
+def _fits(n: Column, m: Column) -> Column:
+    num, den = SIMILARITY
+    return F.least(n, m) * den >= F.greatest(n, m) * num
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, smallest: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys whose sets are similar enough; only the sets of these pairs are made."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = stored(_sets(docs, smallest.join(asked, "key")), "sets")
-    links = stored(_linked(pairs, sets), "verified")
-    release(sets)
-    return links
+def _reaches(left: Column, left2: Column, n: Column, m: Column) -> Column:
+    """Both have as many shingles, from the shared one on, as two sets of these sizes must have in common."""
+    num, den = SIMILARITY
+    return F.least(left, left2) * (num + den) >= (n + m) * num
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _similar(common: Column, n: Column, m: Column) -> Column:
     num, den = SIMILARITY
+    return common * den >= (n + m - common) * num
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b["x"], b["y"]):
-                u, v = _unpacked(x), _unpacked(y)
-                both = np.concatenate([u, v])
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(den * common >= num * (len(both) - common))
-            yield b.loc[keep, ["a", "b"]]
-
-    with_y = pairs.join(sets.select(F.col("key").alias("b"), F.col("items").alias("y")), "b")
-    both = with_y.join(sets.select(F.col("key").alias("a"), F.col("items").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
-
-
-def _candidates(posts: DataFrame, members: DataFrame, pivots: int | None) -> DataFrame:
-    """Pairs (a, b) of keys in different components, from group pairs that share a prefix shingle.
-
-    posts: (token, grp, n); members: (key, grp, n, comp). pivots: hash classes that send one pivot each, or None for all.
-    """
-    kind = F.pmod(F.xxhash64("key"), F.lit(pivots or 1))
-    pivot_of = members.groupBy("grp", kind.alias("kind")).agg(F.min("key").alias("key")).select("key", F.lit(True).alias("pivot"))
-    members = members.join(pivot_of, "key", "left").withColumn("pivot", F.coalesce("pivot", F.lit(False))) if pivots else members.withColumn("pivot", F.lit(True))
-    spans = members.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    lists = posts.join(spans, "grp")
-    live = lists.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h").select("token")
-    lists = lists.join(live, "token").select("token", "grp", "n", "lo", "hi")
-    if pivots:
-        one = lists.groupBy("token", F.pmod(F.xxhash64("grp"), F.lit(pivots)).alias("kind")).agg(F.min(F.struct("grp", "n", "lo", "hi")).alias("o"))
-        other = one.select(F.col("token").alias("t2"), F.col("o.grp").alias("g2"), F.col("o.n").alias("n2"), F.col("o.lo").alias("lo2"), F.col("o.hi").alias("hi2"))
-        distinct = F.col("grp") != F.col("g2")
-    else:
-        other = lists.toDF("t2", "g2", "n2", "lo2", "hi2")
-        distinct = F.col("grp") < F.col("g2")
-    apart = F.least("lo", "lo2") < F.greatest("hi", "hi2")
-    met = lists.join(other, (F.col("token") == F.col("t2")) & distinct & _fits(F.col("n"), F.col("n2")) & apart)
-    group_pairs = met.select(F.least("grp", "g2").alias("ga"), F.greatest("grp", "g2").alias("gb"))
-    group_pairs = group_pairs.union(spans.where("lo < hi").select("grp", "grp")).distinct()
-    left = members.select(F.col("grp").alias("ga"), F.col("key").alias("x"), F.col("comp").alias("cx"), F.col("pivot").alias("px"))
-    right = members.select(F.col("grp").alias("gb2"), F.col("key").alias("y"), F.col("comp").alias("cy"), F.col("pivot").alias("py"))
-    met = group_pairs.join(left, "ga")
-    pairs = met.join(right, (F.col("gb") == F.col("gb2")) & (F.col("cx") != F.col("cy")) & (F.col("px") | F.col("py")) & ((F.col("ga") != F.col("gb")) | (F.col("x") < F.col("y"))))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def _postings(rows: DataFrame, id_type: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(token, key, n) of prefix shingles that two keys or more share, (doc_id, key, n) of every row, and (key, n,
-    sketch) of the keys in the first."""
-    base = stored(_prefixes(rows, bucket_counts(rows.select("text")), id_type), "prefixes")
-    posts = base.select("key", "n", F.explode("prefix").alias("token"))
+
+def _postings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(token, key, n, left) of prefix shingles that two keys or more share, and (doc_id, h, key, n) of every row.
+
+    left: how many shingles of the set the order has from this one on."""
+    base = stored(_prefixes(rows, bucket_counts(rows.select("text"))), "prefixes")
+    posts = base.select("key", "n", F.posexplode("prefix").alias("at", "token"))
     met = stored(posts.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("token"), "met")
-    maps = stored(base.select("key", "n", "sketch"), "maps")
-    ids = stored(base.select("doc_id", F.when(F.col("n") > 0, F.col("key")).alias("key"), "n"), "ids")
-    shared = stored(posts.join(met, "token").select("token", "key", "n").distinct(), "shared")
+    ids = stored(base.select("doc_id", "h", F.when(F.col("n") > 0, F.col("key")).alias("key"), "n"), "ids")
+    shared = stored(posts.join(met, "token").select("token", "key", "n", (F.col("n") - F.col("at")).alias("left")).distinct(), "shared")
     release(met, base)
     several = shared.groupBy("token").agg(F.count(F.lit(1)).alias("keys")).where("keys > 1").select("token")
-    out = stored(shared.join(several, "token").select("token", "key", "n"), "postings")
+    out = stored(shared.join(several, "token").select("token", "key", "n", "left"), "postings")
     release(shared)
-    keys = out.select("key").distinct()
-    sketches = stored(maps.join(keys, "key", "left_semi").groupBy("key", "n").agg(F.first("sketch").alias("sketch")), "sketches")
-    release(maps)
-    return out, ids, sketches
+    collect_garbage(rows.sparkSession)
+    return out, ids
+
 
+def _groups(posts: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, grp, n, common) of every key that shares a shingle, and the lists (token, grp, n, left, comp) of the groups.
 
-def _groups(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, grp, n, comp) with one group for keys of the same shared prefix and size, and the groups' postings."""
+    A group's members have the same size and the same remaining prefix and are similar to its key ``grp``, with which they
+    have ``common`` shingles. Who is not similar to the smallest key is tried once more with the smallest of those left,
+    and else stands alone."""
     same = posts.groupBy("key", "n").agg(F.xxhash64(F.sort_array(F.collect_list("token"))).alias("prefix"))
     same = stored(same, "effective")
-    groups = same.groupBy("n", "prefix").agg(F.min("key").alias("grp"))
-    members = stored(same.join(groups, ["n", "prefix"]).select("key", "grp", "n", F.col("key").alias("comp")), "members")
-    posts_of = stored(posts.join(members.where("key = grp").select("grp"), F.col("key") == F.col("grp")).select("token", "grp", "n"), "group-postings")
+    loose = stored(same.join(same.groupBy("n", "prefix").agg(F.min("key").alias("grp")), ["n", "prefix"]).select("key", "grp", "n"), "loose")
     release(same)
-    return members, posts_of
-
-
-def _round(members: DataFrame, posts: DataFrame, pivots: int | None, rows: DataFrame, smallest: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The members with the components that this round's links join."""
-    met = stored(_candidates(posts, members, pivots), "met-pairs")
-    pairs = stored(_possible(met, sketches), "pairs")
-    release(met)
-    links = _verified(pairs, rows, smallest)
-    comp = members.select("key", "comp")
-    ends = links.join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b")
-    merged = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    out = members.join(merged.withColumnRenamed("node", "comp"), "comp", "left").select("key", "grp", "n", F.coalesce("label", "comp").alias("comp"))
-    out = stored(out, "members")
-    release(pairs, links, members, merged)
+    settled, done = [], [loose]
+    for _ in range(2):
+        pairs = loose.where("key <> grp").select(F.col("key").alias("x"), F.col("grp").alias("p"), "n")
+        found = stored(_compared(pairs, texts), "in-groups")
+        good = _similar(F.col("common"), F.col("n"), F.col("n"))
+        settled += [loose.where("key = grp").select("key", "grp", "n", F.col("n").alias("common")), found.where(good).select(F.col("x").alias("key"), F.col("p").alias("grp"), "n", "common")]
+        rest = found.where(~good)
+        again = rest.groupBy("p").agg(F.min("x").alias("grp"))
+        loose = stored(rest.join(again, "p").select(F.col("x").alias("key"), "grp", "n"), "loose")
+        done += [found, loose]
+        if not loose.limit(1).count():
+            break
+    settled.append(loose.select("key", F.col("key").alias("grp"), "n", F.col("n").alias("common")))
+    members = stored(reduce(DataFrame.union, settled), "members")
+    release(*done)
+    lists = posts.join(members.select("key", "grp"), "key").groupBy("token", "grp").agg(F.first("n").alias("n"), F.max("left").alias("left"))
+    return members, stored(lists.withColumn("comp", F.col("grp")), "lists")
+
+
+def _ends(lists: DataFrame, seed: int) -> DataFrame:
+    """For every list with two components or more: a group of the one with most groups in it, and one of another with fewest."""
+    each = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("grp", F.lit(seed)).alias("h"), "grp", "n", "left")).alias("g"))
+    by = F.struct("c", F.xxhash64("comp", F.lit(seed)).alias("h"), "comp", "g")
+    return each.groupBy("token").agg(F.max(by).alias("most"), F.min(by).alias("least")).where("most.comp <> least.comp")
+
+
+def _proposed(lists: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The lists that hold several components, and one pair (x, p, n, m, comp, comp2) at most for every group in them."""
+    other = F.when(F.col("comp") == F.col("most.comp"), F.col("least")).otherwise(F.col("most"))
+    met = lists.join(_ends(lists, seed), "token").select("token", "grp", "n", "left", "comp", other.alias("o"))
+    live = stored(met.select("token", "grp", "n", "left", "comp", F.col("o.g.grp").alias("grp2"), F.col("o.g.n").alias("n2"), F.col("o.g.left").alias("left2"), F.col("o.comp").alias("comp2")), "lists")
+    able = live.where(_fits(F.col("n"), F.col("n2")) & _reaches(F.col("left"), F.col("left2"), F.col("n"), F.col("n2")))
+    each = able.groupBy("grp", "grp2").agg(F.count(F.lit(1)).alias("c"), F.first(F.struct("n", F.col("n2").alias("m"), "comp", "comp2")).alias("o"))
+    best = each.groupBy("grp").agg(F.max(F.struct("c", F.xxhash64("grp2", F.lit(seed)).alias("h"), F.col("grp2").alias("p"), "o")).alias("b"))
+    pairs = best.select(F.col("grp").alias("x"), "b.p", "b.o.n", "b.o.m", "b.o.comp", "b.o.comp2")
+    once = pairs.groupBy(F.least("x", "p"), F.greatest("x", "p")).agg(F.min(F.struct(*pairs.columns)).alias("s")).select("s.*")
+    return live, stored(once, "pairs")
+
+
+def _renamed(df: DataFrame, labels: DataFrame, name: str = "comp") -> DataFrame:
+    """``df`` with the component in ``name`` replaced by its label, where it has one."""
+    named = labels.select(F.col("node").alias("was"), F.col("label").alias("now"))
+    return df.join(named, F.col(name) == F.col("was"), "left").withColumn(name, F.coalesce("now", name)).drop("was", "now")
+
+
+def _links(found: DataFrame) -> DataFrame:
+    """(a, b): components that a link joins."""
+    return found.where(_similar(F.col("common"), F.col("n"), F.col("m"))).select(F.col("comp").alias("a"), F.col("comp2").alias("b"))
+
+
+def _met(lists: DataFrame, tested: list[DataFrame]) -> DataFrame:
+    """All pairs (x, p, n, m, comp, comp2) of groups of different components that can be similar and have not been compared."""
+    live = lists.join(_ends(lists, 0).select("token"), "token", "left_semi")
+    other = live.toDF("t2", "p", "m", "left2", "comp2")
+    able = _fits(F.col("n"), F.col("m")) & _reaches(F.col("left"), F.col("left2"), F.col("n"), F.col("m"))
+    met = live.join(other, (F.col("token") == F.col("t2")) & (F.col("grp") < F.col("p")) & (F.col("comp") != F.col("comp2")) & able)
+    pairs = met.select(F.col("grp").alias("x"), "p", "n", "m", "comp", "comp2").distinct()
+    if tested:
+        before = reduce(DataFrame.union, [t.select(F.least("x", "p").alias("u"), F.greatest("x", "p").alias("v")) for t in tested])
+        pairs = pairs.join(before, (F.col("x") == F.col("u")) & (F.col("p") == F.col("v")), "left_anti")
+    return pairs
+
+
+def _expanded(tested: list[DataFrame], links: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (x, p, n, m, comp, comp2) of members of compared groups, of different components, that can still be similar."""
+    num, den = SIMILARITY
+    many = members.groupBy("grp").agg(F.max(1 - F.col("common") / (2 * F.col("n") - F.col("common"))).alias("radius"), F.count(F.lit(1)).alias("size"))
+    room = F.lit(1 - num / den + 1e-9)
+    failed = reduce(DataFrame.union, tested).where(~_similar(F.col("common"), F.col("n"), F.col("m")))
+    failed = failed.withColumn("d", 1 - F.col("common") / (F.col("n") + F.col("m") - F.col("common")))
+    of = lambda c: many.select(F.col("grp").alias(c), F.col("radius").alias(f"r_{c}"), F.col("size").alias(f"s_{c}"))
+    open_pairs = failed.join(of("x"), "x").join(of("p"), "p").where((F.col("s_x") + F.col("s_p") > 2) & (F.col("d") <= room + F.col("r_x") + F.col("r_p")))
+    merged = components(links)
+    apart = _renamed(_renamed(open_pairs.select("x", "p", "n", "m", "comp", "comp2", "d"), merged), merged, "comp2").where("comp <> comp2")
+    far = members.select("key", "grp", (1 - F.col("common") / (2 * F.col("n") - F.col("common"))).alias("far"))
+    with_x = apart.join(far.toDF("kx", "x", "fx"), "x")
+    pairs = with_x.join(far.toDF("kp", "p", "fp"), "p").where((F.col("d") <= room + F.col("fx") + F.col("fp")) & ((F.col("kx") != F.col("x")) | (F.col("kp") != F.col("p"))))
+    return pairs.select(F.col("kx").alias("x"), F.col("kp").alias("p"), "n", "m", "comp", "comp2").distinct()
+
+
+def _group_components(members: DataFrame, lists: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, label) of the groups that are linked with others."""
+    spark, tested, seed = lists.sparkSession, [], 0
+    links = []
+    while True:
+        seed += 1
+        live, pairs = _proposed(lists, seed)
+        found = stored(_compared(pairs, texts), "compared")
+        made = stored(_links(found).distinct(), "links")
+        merged = components(made)
+        tested.append(found)
+        links.append(made)
+        n_pairs, n_links = found.agg(F.count(F.lit(1)), F.count(F.when(_similar(F.col("common"), F.col("n"), F.col("m")), 1))).first()
+        release(lists, pairs)
+        lists = stored(_renamed(live.select("token", "grp", "n", "left", "comp"), merged), "lists")
+        release(live, merged)
+        collect_garbage(spark)
+        if n_links <= SETTLED * n_pairs:
+            break
+    rest = stored(_met(lists, tested), "pairs")
+    found = stored(_compared(rest, texts), "compared")
+    tested.append(found)
+    links.append(_links(found))
+    all_links = stored(reduce(DataFrame.union, links).distinct(), "links")
+    inside = stored(_expanded(tested, all_links, members), "pairs")
+    more = stored(_compared(inside, texts), "compared")
+    out = components(all_links.union(_links(more)))
+    release(lists, rest, all_links, inside, more, *tested, *links[:-1])
+    collect_garbage(spark)
     return out
 
 
 def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id): class_id is the smallest id with the same set."""
-    with small_batches(docs.sparkSession):
-        return _similar_components(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    return _components(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
-def _similar_components(rows: DataFrame) -> DataFrame:
-    posts, ids, sketches = _postings(rows, dict(rows.dtypes)["doc_id"])
-    members, posts_of = _groups(posts)
-    release(posts)
-    smallest = ids.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    for pivots in (*PIVOTS, None):
-        members = _round(members, posts_of, pivots, rows, smallest, sketches)
-    release(posts_of, sketches)
-
-    named = ids.join(smallest.withColumnRenamed("doc_id", "class_id"), "key", "left").join(members.select("key", "comp"), "key", "left")
-    named = named.withColumn("comp", F.coalesce("comp", "key"))
-    low = smallest.join(members.select("key", "comp"), "key", "left").groupBy(F.coalesce("comp", "key").alias("comp")).agg(F.min("doc_id").alias("low"))
-    return named.join(low, "comp", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id")
-    )
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of :func:`similar_components` with ``h``, a hash of the text, and ``comp``, which is null without shingles."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("h", F.xxhash64("text"))
+    with small_batches(docs.sparkSession):
+        posts, ids = _postings(rows)
+        texts = _texts(rows, ids, posts.select("key").distinct())
+        members, lists = _groups(posts, texts)
+        release(posts)
+        merged = _group_components(members, lists, texts)
+        comps = stored(_renamed(members.select("key", F.col("grp").alias("comp")), merged), "components")
+        release(texts, members, merged)
+    smallest = ids.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("class_id")).join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    smallest = stored(smallest, "classes")
+    low = smallest.groupBy("comp").agg(F.min("class_id").alias("low"))
+    named = ids.join(smallest, "key", "left").join(low, "comp", "left")
+    return named.select("doc_id", "h", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), "comp")
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component: one document of each group stays.
-
-    Rows with a null id stay."""
-    found = similar_components(docs, id_col=id_col, text_col=text_col)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    """One row of ``docs`` for each component, and all rows without shingles, which are linked with nothing.
+
+    The row with the smallest id stays (a null id is the largest); of several texts under that id, one; of rows alike in
+    both, the one whose other columns are smallest. Columns of any name are kept; where rows are alike in id and text,
+    their types must have an order."""
+    mark = uuid.uuid4().hex
+    i, t, h = f"`{id_col}`", f"`{text_col}`", f"h_{mark}"
+    each = _components(docs, id_col, text_col).where("comp IS NOT NULL").groupBy("comp", "doc_id", "h").agg(F.count(F.lit(1)).alias("rows"))
+    each = stored(each, "rows")
+    first = each.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("f"))
+    chosen = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("h") == F.col("f.h"))
+    marked = each.join(first, "comp").select(F.col("doc_id").alias(f"i_{mark}"), F.col("h").alias(f"t_{mark}"), chosen.alias(f"c_{mark}"), "rows")
+    marked = stored(marked.where(f"NOT c_{mark} OR rows > 1").drop("rows"), "gone")
+    release(each)
+    rows = docs.withColumn(h, F.xxhash64(F.col(t)))
+    same = lambda other: F.col(i).eqNullSafe(other[f"i_{mark}"]) & F.col(h).eqNullSafe(other[f"t_{mark}"])
+    kept = rows.join(marked, same(marked), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    twice = marked.where(f"c_{mark}")
+    if not twice.limit(1).count():
+        return kept
+    one = rows.join(twice, same(twice), "left_semi").groupBy(F.col(i).alias(f"i_{mark}"), F.col(h).alias(f"t_{mark}")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    return kept.union(one.select("row.*"))
