@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,10 +50,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """Like :func:`stored`, dealt into buckets by ``key``: joins on it do not move these rows again."""
+    """Like :func:`stored`, dealt into buckets by ``key``: joins on it do not move these rows again.
+
+    The rows should be dealt by the key already, or else every task writes a file for every bucket."""
     spark, mark = df.sparkSession, uuid.uuid4().hex
     path, table_name = f"{shared_dir(spark)}/cellatlas-{mark}-{name}", f"cellatlas_{mark}"
-    df.repartition(buckets, key).write.option("path", path).bucketBy(buckets, key).saveAsTable(table_name)
+    df.write.option("path", path).bucketBy(buckets, key).saveAsTable(table_name)
     _scratch[path] = table_name
     back = spark.table(table_name)
     back._scratch_path = path
@@ -92,6 +95,19 @@ def _delete(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over the batches of a task; what it has freed goes back to the machine, as idle Python workers stay for a while."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def with_columns(df: DataFrame, run: Callable[[dict[str, list]], dict[str, list]], added: str, keep: tuple[str, ...] = ("doc_id",), start: Callable | None = None) -> DataFrame:
     """The ``keep`` columns of ``df`` as they are, and new ones that ``run`` makes from lists of the others, row by row.
 
@@ -109,7 +125,7 @@ def with_columns(df: DataFrame, run: Callable[[dict[str, list]], dict[str, list]
             columns = [b.column(c).cast(arrow.field(c).type) for c in keep] + [pa.array(made[c], arrow.field(c).type) for c in names]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return df.mapInArrow(batches, schema)
+    return df.mapInArrow(trimmed(batches), schema)
 
 
 @contextmanager
@@ -126,6 +142,16 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
             spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
 
 
+#: Bytes that are broadcast at most.
+MAX_BROADCAST = 32 << 20
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df`` marked for a broadcast if its measured size allows it; beyond, joins shuffle it."""
+    width = sum((F.coalesce(F.length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= MAX_BROADCAST else df
+
+
 def held_out(doc_id: Column) -> Column:
     """True for documents that no model may learn from; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS == 0

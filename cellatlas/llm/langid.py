@@ -2,14 +2,16 @@
 
 Character n-grams of orders 1 to 3 of the lower-cased text are hashed into a fixed number of buckets. Counts per
 (language, bucket) of the training rows give a smoothed log-probability matrix of bounded size (languages x buckets),
-which is broadcast; scoring gathers one matrix row per n-gram occurrence and sums per document in numpy.
+which is broadcast; scoring hashes the n-grams of many documents at once, gathers one matrix row per occurrence and sums
+the rows of each document, all in numpy.
 
 Scale: training reads a seeded hash sample of about ``MAX_TRAIN`` labelled rows, whole texts (a documented bound); its
-counts are summed inside each partition before the shuffle. Scoring is one pass without a shuffle; a batch is cut into
-pieces of bounded length, so memory does not grow with the length of a text.
+counts are summed inside each partition before the shuffle. Scoring is one pass without a shuffle; texts are joined, and
+long ones cut, into stretches of bounded length, so memory does not grow with the length of a text.
 
 Edge cases: text null, empty or without a letter: lang_pred ``und``, score 0. Without training rows every prediction is
-``und``. Ties go to the smaller language code. Null languages are never learned. Other columns are ignored.
+``und``. Ties go to the smaller language code. Null languages are never learned. Ids of any type come out unchanged; rows
+that repeat give a row each. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, share_below
+from .common import held_out, share_below, with_columns
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 14
@@ -89,29 +91,54 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     return langs, np.log(table / table.sum(axis=0)).astype(np.float32), np.log((priors + 1) / (priors.sum() + max(len(langs), 1)))
 
 
+def _stretches(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(code points, lengths, owners) of pieces of texts that are scored together; owners: positions in ``texts``."""
+    codes, owners, size = [], [], 0
+    for i, t in enumerate(texts):
+        for piece in _pieces(t):
+            codes.append(piece)
+            owners.append(i)
+            size += len(piece)
+            if size >= _PIECE:
+                yield np.concatenate(codes), np.array([len(c) for c in codes]), np.array(owners)
+                codes, owners, size = [], [], 0
+    if codes:
+        yield np.concatenate(codes), np.array([len(c) for c in codes]), np.array(owners)
+
+
+def log_likelihoods(matrix: np.ndarray, texts: list[str]) -> np.ndarray:
+    """For each text, the sum of the matrix rows of its n-grams."""
+    out = np.zeros((len(texts), matrix.shape[1]))
+    for codes, sizes, owners in _stretches(texts):
+        starts = np.cumsum(sizes) - sizes
+        inside = np.arange(len(codes)) - np.repeat(starts, sizes)
+        for order in ORDERS:
+            own = np.clip(sizes - order + 1, 0, _PIECE)  # n-grams that start in a piece and belong to it
+            ids = ngrams(codes, order)
+            ids = ids[(inside < np.repeat(own, sizes))[: len(ids)]]
+            some = own > 0
+            if len(ids):
+                ends = np.cumsum(own[some])
+                np.add.at(out, owners[some], np.add.reduceat(matrix[ids], ends - own[some], axis=0, dtype=np.float64))
+    return out
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score): the most likely language and its posterior probability."""
     langs, logp, priors = model
     shared = docs.sparkSession.sparkContext.broadcast(logp)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matrix = shared.value
-        for b in batches:
-            best, score = [], []
-            for text, letters in zip(b["text"], b["letters"]):
-                if not letters or not langs:
-                    best.append("und")
-                    score.append(0.0)
-                    continue
-                sums = priors.copy()
-                for piece in _pieces(text):
-                    for ids in _ids(piece):
-                        sums += matrix[ids].sum(axis=0, dtype=np.float64)
-                k = int(np.argmax(sums))
-                best.append(langs[k])
-                score.append(float(1.0 / np.exp(sums - sums[k]).sum()))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": np.array(best, dtype=object), "score": score})
-
-    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), letters.alias("letters"))
-    return rows.mapInPandas(run, f"doc_id {dict(docs.dtypes)[id_col]}, lang_pred string, score double")
+    def run(given: dict[str, list]) -> dict[str, list]:
+        best, score = ["und"] * len(given["text"]), [0.0] * len(given["text"])
+        rows = [i for i, letters in enumerate(given["letters"]) if letters] if langs else []
+        if rows:
+            sums = priors + log_likelihoods(shared.value, [given["text"][i] for i in rows])
+            k = np.argmax(sums, axis=1)
+            p = 1.0 / np.exp(sums - sums[np.arange(len(k)), k][:, None]).sum(axis=1)
+            for i, j, x in zip(rows, k.tolist(), p.tolist()):
+                best[i], score[i] = langs[j], x
+        return {"lang_pred": best, "score": score}
+
+    letters = F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), letters.alias("letters"))
+    return with_columns(rows, run, "lang_pred string, score double")

@@ -10,8 +10,8 @@ a time, and nothing depends on other rows.
 
 Edge cases: a null text counts as empty; an empty payload is one block of 64 zero bytes; a text of any length is whole
 (pages hold at most 255 segments, packets may span pages). Equal texts give equal bytes. A damaged stream raises
-``OggError`` in :func:`demux`; :func:`probe` reports it in a column instead. An empty table gives an empty result; other
-columns are ignored.
+``OggError`` in :func:`demux`; :func:`probe` reports it in a column instead, as it does a null media value. Ids of any type
+come out unchanged; rows that repeat give a row each. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_columns
+
 RATE = 8000
 PACKET = 4096
 BLOCK = 64
@@ -149,18 +150,17 @@ def restore(media: bytes) -> tuple[bytes, int, dict[int, dict]]:
 def media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, media): the stored bytes of each whole text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "media": [store(t) for t in b["text"]]})
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {dict(docs.dtypes)[id_col]}, media binary")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return with_columns(rows, lambda given: {"media": [store(t) for t in given["text"]]}, "media binary")
 
 
 _PROBE = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 
 
-def describe(stored_bytes: bytes) -> tuple:
+def describe(stored_bytes: bytes | None) -> tuple:
     """The columns of ``_PROBE``, all from the stored bytes as they were read back."""
+    if stored_bytes is None:
+        return (*[None] * 7, "no media")
     try:
         data, n, streams = restore(stored_bytes)
     except (OggError, KeyError, IndexError, ValueError, struct.error) as e:
@@ -173,11 +173,10 @@ def describe(stored_bytes: bytes) -> tuple:
 def probe(stored_media: DataFrame) -> DataFrame:
     """(doc_id, media) to the features of each media value; ``error`` says why one can't be read."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in _PROBE.split(", ")]
-        for b in batches:
-            out = pd.DataFrame([describe(m) for m in b["media"]], columns=names, dtype=object)
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out
+    names = [x.split()[0] for x in _PROBE.split(", ")]
+
+    def run(given: dict[str, list]) -> dict[str, list]:
+        rows = [describe(m) for m in given["media"]]
+        return {name: [r[i] for r in rows] for i, name in enumerate(names)}
 
-    return stored_media.select("doc_id", "media").mapInPandas(run, f"doc_id {dict(stored_media.dtypes)['doc_id']}, {_PROBE}")
+    return with_columns(stored_media.select("doc_id", "media"), run, _PROBE)

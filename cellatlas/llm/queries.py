@@ -22,7 +22,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.train())
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.train(), path_col="source")
     real = F.filter("findings", lambda x: x["secret"])
     spans = F.array_join(F.transform(real, lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
     return found.select("doc_id", F.size("findings").alias("n_candidates"), F.size(real).alias("n_secrets"), spans.alias("secret_spans"), F.array_max(F.transform("findings", lambda x: x["score"])).alias("max_score"))

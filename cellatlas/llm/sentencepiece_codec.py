@@ -8,29 +8,33 @@ all words at once and stored as a backpointer. Characters that no piece covers b
 
 The library writes a space as U+2581; a text that holds this character itself gets its bytes here, so that it is kept.
 
-Ties go to the longer last piece, as in the library's own unigram search. The model file given in the box names its
-merges by rank; this operator maximises the sum of those scores, which is the library's result for the same pieces with
-the unigram model type, not that of its merge order. Decoding is exact in either case.
+Ties go to the longer last piece, as in the library's own unigram search. A unigram model's scores are log-probabilities and
+are used as they are. The scores of a merge-order (BPE) model are ranks, whose sums mean nothing; in their place stand
+the log-probabilities of Zipf's law over the ranks, log(1 / (rank + 2.7)) up to a constant. No tokenizer is trained. The
+result is the library's own for a unigram model of these pieces and scores; it is not the merge order's result, though mostly
+equal to it (README). Decoding is exact in either case.
 
 Scale: one pass over the documents without a shuffle. A worker keeps the segmentations of at most ``CACHE`` distinct
-words; words that are equal are segmented once per batch at most. The model (bounded: its vocabulary) is broadcast, read
-from a local path on the driver.
+words; words that are equal are segmented once per batch at most. Of a long word, only the best piece that ends at each
+character is kept, and ``_BLOCK`` characters are worked on at a time. The model (bounded: its vocabulary) is broadcast,
+read from a local path on the driver.
 
 Edge cases: a null text has null ids, an empty text no ids. A text of any length and any characters decodes to itself.
-An empty table gives an empty result; other columns are ignored.
+Ids of any type come out unchanged; rows that repeat give a row each. An empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_columns
+
 #: Path of the model that the registered query uses.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 CACHE = 500_000
@@ -38,6 +42,10 @@ CACHE = 500_000
 LONGEST_CACHED = 64
 #: Code points of the words that are segmented in one go.
 _BATCH = 1 << 13
+#: Characters of a long word that are worked on at a time.
+_BLOCK = 1 << 13
+#: Zipf's law, as Mandelbrot shifted it, for the scores of models that only rank their pieces.
+ZIPF_SHIFT = 2.7
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -55,6 +63,7 @@ class Model(NamedTuple):
     longest: int
     unknown: float  # score of a character without a piece
     prefix: bool  # a space is put before the text
+    joined: np.ndarray  # neighbouring characters within pieces (first << 32 | second), sorted
 
 
 def load(path: str = MODEL_PATH) -> Model:
@@ -84,11 +93,15 @@ def load(path: str = MODEL_PATH) -> Model:
     if (byte_ids < 0).any():
         raise ValueError("the model has no byte fallback")
     scores = np.array([s for _, _, s in normal])
+    if proto.trainer_spec.model_type == 2:  # ranks: the pieces in the order of their merges, then the single characters
+        ranks = np.argsort(np.argsort(-scores, kind="stable"), kind="stable")
+        scores = -np.log(ranks + ZIPF_SHIFT).astype(np.float32).astype(np.float64)  # their sums are exact, so that ties are ties
     seen = np.zeros(1 << 20, dtype=bool)
     seen[hashes >> np.uint64(44)] = True
     return Model(
         pieces, hashes[order], seen, np.array([i for i, _, _ in normal])[order], scores[order], byte_ids,
         max(len(p) for _, p, _ in normal), float(scores.min()) - UNKNOWN_PENALTY, spec.add_dummy_prefix,
+        np.array(sorted({ord(a) << 32 | ord(b) for _, p, _ in normal for a, b in zip(p, p[1:])}), dtype=np.uint64),
     )
 
 
@@ -104,37 +117,48 @@ def _hash(piece: str) -> np.uint64:
     return _finish(h, len(piece))[0]
 
 
-def _segment_equal(model: Model, codes: np.ndarray) -> list[bytes]:
-    """Ids (the bytes of int32) for words of one length, given as rows of code points."""
+def _pieces_ending(model: Model, codes: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, ids) of the pieces that end at each position but the first ``reach - 1``, by their length less 1."""
     n, size = codes.shape
-    reach = min(model.longest, size)
-    score = np.full((reach, size, n), -np.inf)  # of the piece that ends at a position, by its length less 1
-    piece = np.full((reach, size, n), -1, dtype=np.int32)
-    plain = np.ascontiguousarray(codes.T).astype(np.uint64) + np.uint64(1)
+    wanted = size - reach + 1
+    score = np.full((reach, wanted, n), -np.inf)
+    piece = np.full((reach, wanted, n), -1, dtype=np.int32)
+    plain = np.ascontiguousarray(codes.T).astype(np.uint64)
     h = np.zeros((size + 1, n), dtype=np.uint64)
     for k in range(reach):
         # The hash of the k + 1 characters that end at each position, from that of k characters one position before.
         h = h[:-1] * _BASE + plain[k:]
-        probe = _finish(h, k + 1)
+        probe = _finish(h[reach - 1 - k :], k + 1)
         likely = np.flatnonzero(model.seen[probe >> np.uint64(44)])
         probe = probe.ravel()[likely]
         at = np.minimum(np.searchsorted(model.hashes, probe), len(model.hashes) - 1)
         hit = model.hashes[at] == probe
         likely, at = likely[hit], at[hit]
-        score[k, k:].reshape(-1)[likely] = model.scores[at]
-        piece[k, k:].reshape(-1)[likely] = model.ids[at]
-    unknown = piece[0] < 0
-    score[0][unknown] = model.unknown
-    best = np.empty((size + 1, n))
-    best[0] = 0.0
-    back = np.empty((size, n), dtype=np.int64)
+        score[k].reshape(-1)[likely] = model.scores[at]
+        piece[k].reshape(-1)[likely] = model.ids[at]
+    score[0][piece[0] < 0] = model.unknown
+    return score, piece
+
+
+def _segment_equal(model: Model, codes: np.ndarray) -> list[bytes]:
+    """Ids (the bytes of int32) for words of one length, given as rows of code points."""
+    n, size = codes.shape
+    reach = min(model.longest, size)
+    plain = np.concatenate([np.zeros((n, reach - 1), dtype=np.uint64), codes.astype(np.uint64) + np.uint64(1)], axis=1)  # no piece holds a 0
+    best = np.full((size + reach, n), -np.inf)
+    best[reach - 1] = 0.0  # the position before the first; those before it cannot be reached
+    back, chosen = np.empty((size, n), dtype=np.int8 if reach < 128 else np.int64), np.empty((size, n), dtype=np.int32)
     words = np.arange(n)
-    for i in range(size):
-        r = min(reach, i + 1)
-        total = best[i + 1 - r : i + 1] + score[r - 1 :: -1, i] if r < reach else best[i + 1 - r : i + 1] + score[::-1, i]
-        k = r - 1 - np.argmax(total, axis=0)  # the longest first
-        back[i] = k
-        best[i + 1] = total[r - 1 - k, words]
+    for start in range(0, size, _BLOCK):
+        end = min(start + _BLOCK, size)
+        score, piece = _pieces_ending(model, plain[:, start : end + reach - 1], reach)
+        score, piece = score[::-1], piece[::-1]  # the longest first
+        for i in range(start, end):
+            total = best[i : i + reach] + score[:, i - start]
+            k = np.argmax(total, axis=0)
+            best[i + reach] = total[k, words]
+            back[i] = reach - 1 - k
+            chosen[i] = piece[k, i - start, words]
     # All words walk back together; a step's pieces are written from the right.
     ids = np.full((n, size), -1, dtype=np.int32)
     active, position, column = words, np.full(n, size - 1), size
@@ -142,12 +166,11 @@ def _segment_equal(model: Model, codes: np.ndarray) -> list[bytes]:
     starts = np.full(n, size)
     while len(active):
         column -= 1
-        k = back[position, active]
-        found = piece[k, position, active]
+        found = chosen[position, active]
         ids[active, column] = found
         lost[active[found < 0]] = True
         starts[active] = column
-        position = position - k - 1
+        position = position - back[position, active] - 1
         going = position >= 0
         active, position = active[going], position[going]
     flat, row = ids.tobytes(), 4 * size
@@ -155,10 +178,9 @@ def _segment_equal(model: Model, codes: np.ndarray) -> list[bytes]:
     for w in np.flatnonzero(lost):
         parts, i = [], size - 1
         while i >= 0:
-            k = back[i, w]
-            p = piece[k, i, w]
+            p = chosen[i, w]
             parts.append([p] if p >= 0 else model.byte_ids[list(chr(codes[w, i]).encode())])
-            i -= k + 1
+            i -= int(back[i, w]) + 1
         out[w] = np.concatenate(parts[::-1]).astype(np.int32).tobytes()
     return out
 
@@ -181,7 +203,16 @@ def segment(model: Model, words: list[str]) -> dict[str, bytes]:
 def split(model: Model, text: str) -> list[str]:
     if not text:
         return []
-    return [w for w in _WORD.findall(" " * model.prefix + text) if w]
+    return [part for w in _WORD.findall(" " * model.prefix + text) if w for part in ([w] if len(w) <= LONGEST_CACHED else _cut(model, w))]
+
+
+def _cut(model: Model, word: str) -> list[str]:
+    """The word cut wherever no piece holds the two neighbouring characters: the best path has an end there."""
+    codes = np.frombuffer(word.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    pairs = codes[:-1] << np.uint64(32) | codes[1:]
+    at = np.minimum(np.searchsorted(model.joined, pairs), len(model.joined) - 1)
+    ends = [0, *(np.flatnonzero(model.joined[at] != pairs) + 1).tolist(), len(word)]
+    return [word[a:b] for a, b in zip(ends, ends[1:])]
 
 
 class Encoder:
@@ -228,32 +259,25 @@ def encode(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
     """(doc_id, ids, n_tokens, round_trip) for every whole text; round_trip: the ids decode to the text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
-        for b in batches:
-            texts = [t or "" for t in b["text"]]
-            for i in range(0, len(texts), 1024):
-                part = texts[i : i + 1024]
-                null = b["text"].iloc[i : i + 1024].isna().to_numpy()
-                ids = encoder.encode(part)
-                yield pd.DataFrame({
-                    "doc_id": b["doc_id"].iloc[i : i + 1024].to_numpy(),
-                    "ids": [None if z else x for x, z in zip(ids, null)],
-                    "n_tokens": [len(x) for x in ids],
-                    "round_trip": [decoder.decode(x.tolist()) == t for x, t in zip(ids, part)],
-                })
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {dict(docs.dtypes)[id_col]}, ids array<int>, n_tokens long, round_trip boolean")
+    def start() -> tuple[Encoder, Decoder]:
+        return Encoder(shared.value), Decoder(shared.value)
+
+    def run(given: dict[str, list], state: tuple[Encoder, Decoder]) -> dict[str, list]:
+        encoder, decoder = state
+        texts = [t or "" for t in given["text"]]
+        ids = encoder.encode(texts)
+        same = [decoder.decode(x.tolist()) == t for x, t in zip(ids, texts)]
+        return {"ids": [None if t is None else x for x, t in zip(ids, given["text"])], "n_tokens": [len(x) for x in ids], "round_trip": same}
+
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return with_columns(rows, run, "ids array<int>, n_tokens long, round_trip boolean", start=start)
 
 
 def decode(tokens: DataFrame, model: Model) -> DataFrame:
     """(doc_id, ids) to (doc_id, text)."""
     shared = tokens.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder = Decoder(shared.value)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": np.array([None if x is None else decoder.decode(x) for x in b["ids"]], dtype=object)})
+    def run(given: dict[str, list], decoder: Decoder) -> dict[str, list]:
+        return {"text": [None if x is None else decoder.decode(x) for x in given["ids"]]}
 
-    return tokens.select("doc_id", "ids").mapInPandas(run, f"doc_id {dict(tokens.dtypes)['doc_id']}, text string")
+    return with_columns(tokens.select("doc_id", "ids"), run, "text string", start=lambda: Decoder(shared.value))

@@ -7,12 +7,13 @@ likelier in toxic documents, and take the weight of the word inside back. The su
 goes through a logistic curve fitted on the same rows.
 
 Scale: learning reads a seeded hash sample of about ``MAX_TRAIN`` labelled rows (their ids, bounded, are broadcast, so
-texts are not shuffled); word counts are summed inside each partition first. The lexicon has at most ``MAX_TERMS`` terms
-and is broadcast. Scoring is one pass without a shuffle over whole texts.
+texts are not shuffled, unless the ids are too large for that); word counts are summed inside each partition first. Lexicon
+and phrases hold every term that passes the tests, so the bounded sample bounds them too; they are broadcast. Scoring is one pass
+without a shuffle over whole texts.
 
 Edge cases: null and empty texts score as texts without a hit. Contradictory labels of an id count as toxic. Without
-labels of both kinds nothing is learned and every score is 0. Null ids are scored but never learned from. Other columns
-are ignored.
+labels of both kinds nothing is learned and every score is 0. Null ids are scored but never learned from. Ids of any type
+come out unchanged; rows that repeat give a row each. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +31,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, share_below
+from .common import broadcast_if_small, held_out, share_below, with_columns
 
 #: Expected number of labelled rows that learning reads at most.
 MAX_TRAIN = 40_000
-MAX_TERMS = 4_000
-MAX_PHRASES = 4_000
 MIN_TOXIC_DOCS = 4
 #: Least log-odds of a term, at the lower end of its 95 % interval.
 MIN_WEIGHT = 1.5
@@ -97,7 +96,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_
     share = max_train / max(marks.count(), 1)
     chosen = marks.where(share_below(F.col("doc_id").cast("string"), share, seed)).toDF("id", "toxic")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("text", (F.col("toxic") > 0).alias("toxic"))
+    return rows.join(broadcast_if_small(chosen), F.col("doc_id") == F.col("id")).select("text", (F.col("toxic") > 0).alias("toxic"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN, seed: int = 12) -> Model:
@@ -126,7 +125,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         weight = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
         error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
         kept = terms.withColumn("weight", weight - 1.96 * error).where(f"toxic >= {MIN_TOXIC_DOCS} AND weight >= {MIN_WEIGHT}")
-        found = kept.orderBy(F.desc(F.col("weight") * F.log(F.col("toxic") + 1)), "term").limit(MAX_TERMS).collect()
+        found = kept.collect()  # bounded by the words of the sample
     finally:
         counts.unpersist()
     lexicon = _lexicon({r["term"]: (r["weight"], r["toxic"]) for r in found})
@@ -205,8 +204,8 @@ def _exceptions(rows: DataFrame, lexicon: dict[str, float], n_toxic: int, n_clea
 
     counted = rows.mapInPandas(pairs, "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     likely = (F.col("clean") + 0.5) / (n_clean + 1) >= (F.col("toxic") + 0.5) / (n_toxic + 1)
-    best = counted.where(likely & (F.col("clean") >= 3)).orderBy(F.desc("clean"), "phrase").limit(MAX_PHRASES).collect()
-    return {r["phrase"]: 0.0 for r in best}
+    best = counted.where(likely & (F.col("clean") >= 3)).collect()  # bounded by the pairs of words in the sample
+    return {r["phrase"]: 0.0 for r in sorted(best)}
 
 
 def normalised(total: float, n_words: int) -> float:
@@ -219,14 +218,17 @@ def _curve(rows: DataFrame, lexicon: dict[str, float], phrases: dict[str, float]
         found = automaton(lexicon, phrases)
         for batch in batches:
             folded = [fold(t) for t in batch["text"]]
-            yield pd.DataFrame({"x": [normalised(hits(found, f)[0], len(f)) for f in folded], "n": [math.log1p(len(f)) for f in folded], "y": batch["toxic"].astype(float)})
-
-    pdf = rows.mapInPandas(features, "x double, n double, y double").toPandas().sort_values(["x", "n", "y"])  # one row per sampled document
-    X = np.column_stack([np.ones(len(pdf)), np.minimum(pdf["x"], 20.0), pdf["n"]])
-    y, beta = pdf["y"].to_numpy(), np.zeros(3)
+            x = [round(min(normalised(hits(found, f)[0], len(f)), 20.0), 2) for f in folded]
+            yield pd.DataFrame({"x": x, "n": [round(math.log1p(len(f)), 1) for f in folded], "y": batch["toxic"].astype(float)})
+
+    # Rounded as they are, the features take a bounded number of values, however many rows there are.
+    counted = rows.mapInPandas(features, "x double, n double, y double").groupBy("x", "n", "y").agg(F.count(F.lit(1)).alias("rows"))
+    pdf = counted.toPandas().sort_values(["x", "n", "y"])
+    X = np.column_stack([np.ones(len(pdf)), pdf["x"], pdf["n"]])
+    y, weight, beta = pdf["y"].to_numpy(), pdf["rows"].to_numpy(dtype=float), np.zeros(3)
     for _ in range(50):  # Newton steps with a small ridge
         p = 1 / (1 + np.exp(-np.clip(X @ beta, -30, 30)))
-        step = np.linalg.solve((X * (p * (1 - p))[:, None]).T @ X + 1e-2 * np.eye(3), X.T @ (y - p) - 1e-2 * beta)
+        step = np.linalg.solve((X * (weight * p * (1 - p))[:, None]).T @ X + 1e-2 * np.eye(3), X.T @ (weight * (y - p)) - 1e-2 * beta)
         beta += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
@@ -246,13 +248,12 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     """(doc_id, score, hits, words) for every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        found = automaton(m.terms, m.phrases)
-        for b in batches:
-            out = pd.DataFrame([score_text(m, found, t) for t in b["text"]], columns=["score", "hits", "words"])
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out
+    def start() -> tuple[Model, ahocorasick.Automaton | None]:
+        return shared.value, automaton(shared.value.terms, shared.value.phrases)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {dict(docs.dtypes)[id_col]}, score double, hits long, words long")
+    def run(given: dict[str, list], state: tuple) -> dict[str, list]:
+        rows = [score_text(*state, t) for t in given["text"]]
+        return {name: [r[i] for r in rows] for i, name in enumerate(("score", "hits", "words"))}
+
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return with_columns(rows, run, "score double, hits long, words long", start=start)
