@@ -1,8 +1,8 @@
 """The inverted index (lat_cell, lon_cell, object_type, tag_key) -> ids, and queries by bounds and tags over it.
 
 The index is an exploded table, one row per entry, so that building it is an explode and a distinct with map-side
-aggregation, a lookup is a range predicate on cells that reaches the scan, and no list of ids is ever gathered for a hot
-cell or key.
+aggregation, a lookup in a written index is a range predicate on cells that reaches the scan, and no list of ids is ever
+gathered for a hot cell or key.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellatlas.functions.grid import Bounds, cell, in_cells
-from cellatlas.operators.ingest import closure, way_points
+from cellatlas.operators.ingest import spread, way_points
 from cellatlas.sources.osm import NODE, RELATION, WAY, Dataset, flat_tags
+from cellatlas.sources.scratch import written
 
 COLUMNS = ["lat_cell", "lon_cell", "object_type", "tag_key", "id"]
 
@@ -58,16 +59,14 @@ def way_index(ds: Dataset) -> DataFrame:
 
 
 def relation_index(ds: Dataset) -> DataFrame:
-    """A relation under its own tags in the cells of everything below it."""
-    below = closure(ds.relation_members)
-    reach = below.select("root", "id").union(ds.relations.select(F.col("id").alias("root"), "id"))
+    """A relation under its own tags in the cells of everything below it: cells spread from members to parents."""
     leaves = ds.relation_members.where(F.col("member_type") != RELATION).select(F.col("parent_id").alias("id"), "member_type", "member_id")
     direct = node_cells(ds.nodes).select(F.lit(NODE).alias("member_type"), F.col("id").alias("member_id"), "lat_cell", "lon_cell")
     ways = way_cells(way_points(ds.way_nodes, ds.nodes)).select(F.lit(WAY).alias("member_type"), F.col("way_id").alias("member_id"), "lat_cell", "lon_cell")
-    own = leaves.join(direct.union(ways), ["member_type", "member_id"]).select("id", "lat_cell", "lon_cell").distinct()
-    cells = reach.join(own, "id").select("root", "lat_cell", "lon_cell").distinct()
-    keys = ds.relations.select(F.col("id").alias("root"), F.explode(F.array_distinct(F.transform("tags", lambda t: t["key"]))).alias("tag_key"))
-    return cells.join(keys, "root").select("lat_cell", "lon_cell", F.lit(RELATION).alias("object_type"), "tag_key", F.col("root").alias("id"))
+    own = leaves.join(direct.union(ways), ["member_type", "member_id"]).select("id", "lat_cell", "lon_cell")
+    up = ds.relation_members.where(F.col("member_type") == RELATION).select(F.col("member_id").alias("id"), F.col("parent_id").alias("to"))
+    keys = ds.relations.select("id", F.explode(F.array_distinct(F.transform("tags", lambda t: t["key"]))).alias("tag_key"))
+    return spread(own, up).join(keys, "id").select("lat_cell", "lon_cell", F.lit(RELATION).alias("object_type"), "tag_key", "id")
 
 
 def tag_index(ds: Dataset) -> DataFrame:
@@ -76,7 +75,7 @@ def tag_index(ds: Dataset) -> DataFrame:
 
 def write_index(index: DataFrame, path: str, partitions: int) -> None:
     """Sorted by cell, so that a query by bounds reads only the row groups of its cells."""
-    index.repartitionByRange(partitions, *COLUMNS[:4]).sortWithinPartitions(*COLUMNS).write.mode("overwrite").parquet(path)
+    index.repartitionByRange(partitions, *COLUMNS[:4]).sortWithinPartitions(*COLUMNS).write.parquet(path)
 
 
 def wanted(spark: SparkSession, pairs: list[tuple[int, str]]) -> DataFrame:
@@ -89,19 +88,19 @@ def lookup(index: DataFrame, b: Bounds, pairs: DataFrame) -> DataFrame:
     return near.join(F.broadcast(pairs.distinct()), ["object_type", "tag_key"], "left_semi").select("object_type", "tag_key", "id").distinct()
 
 
-def get_in_bounds(ds: Dataset, index: DataFrame, b: Bounds, pairs: DataFrame) -> DataFrame:
+def get_in_bounds(ds: Dataset, index: DataFrame, b: Bounds, pairs: DataFrame, tags: DataFrame | None = None) -> DataFrame:
     """(object_type, tag_key, id): the objects found by the bounds and tags, grouped by key.
 
     Objects that are fetched only because a found relation needs them, at any depth, come out under each of their own
-    wanted keys too, wherever they lie. An object with several wanted keys comes out once for each.
+    wanted keys too, wherever they lie. An object with several wanted keys comes out once for each. ``tags``: the flat tags,
+    if they are at hand. Only members of the relations that were found are followed.
     """
-    hits = lookup(index, b, pairs)
-    roots = hits.where(F.col("object_type") == RELATION).select("id").distinct()
-    nested = closure(ds.relation_members).join(roots.withColumnRenamed("id", "root"), "root", "left_semi").select("id")
-    fetched = roots.union(nested).distinct()
+    hits = written(lookup(index, b, pairs), "hits")
+    down = ds.relation_members.where(F.col("member_type") == RELATION).select(F.col("parent_id").alias("id"), F.col("member_id").alias("to"))
+    fetched = spread(hits.where(F.col("object_type") == RELATION).select("id"), down)
     needed = ds.relation_members.join(fetched.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select(F.col("member_type").alias("object_type"), F.col("member_id").alias("id"))
     ids = hits.select("object_type", "id").union(needed).union(fetched.select(F.lit(RELATION), "id")).distinct()
-    keyed = flat_tags(ds).select("object_type", F.col("object_id").alias("id"), F.col("key").alias("tag_key"))
+    keyed = (flat_tags(ds) if tags is None else tags).select("object_type", F.col("object_id").alias("id"), F.col("key").alias("tag_key"))
     keyed = keyed.join(F.broadcast(pairs.distinct()), ["object_type", "tag_key"], "left_semi").distinct()
     return keyed.join(ids, ["object_type", "id"], "left_semi").select("object_type", "tag_key", "id")
 
@@ -112,6 +111,22 @@ def members_resolved(ds: Dataset) -> DataFrame:
     return ds.relation_members.join(keys, ["member_type", "member_id"], "left").select("parent_id", "seq", "member_type", "member_id", "role", "member_key")
 
 
+def relations_assembled(ds: Dataset, points: DataFrame, ids: DataFrame) -> DataFrame:
+    """(parent_id, seq, member_type, member_id, role, tags, points): the whole members of the relations in ``ids``.
+
+    points: array<struct<seq, lat, lon>> in a way's own order, one point for a node, null for a relation. Members that are
+    missing are left out. One row for each member: a relation of any size is never gathered in one place.
+    """
+    members = ds.relation_members.join(ids.select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_semi")
+    wanted_ways = members.where(F.col("member_type") == WAY).select(F.col("member_id").alias("way_id")).distinct()
+    lines = points.join(wanted_ways, "way_id", "left_semi").groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon"))).alias("points"))
+    none = F.lit(None).cast("array<struct<seq:int,lat:double,lon:double>>")
+    objects = ds.nodes.select(F.lit(NODE).alias("member_type"), F.col("id").alias("member_id"), "tags", F.array(F.struct(F.lit(0).alias("seq"), "lat", "lon")).alias("points"))
+    ways = ds.ways.join(lines, F.col("id") == F.col("way_id")).select(F.lit(WAY), "id", "tags", "points")
+    relations = ds.relations.select(F.lit(RELATION), "id", "tags", none)
+    return members.join(objects.union(ways).union(relations), ["member_type", "member_id"]).select("parent_id", "seq", "member_type", "member_id", "role", "tags", "points")
+
+
 def datasets_for_bounds(info: DataFrame, b: Bounds) -> DataFrame:
     """Dataset descriptions with match level none, partial or full."""
     from cellatlas.functions.grid import covers, overlaps

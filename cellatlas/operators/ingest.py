@@ -1,18 +1,20 @@
 """Import: clip nodes, resolve way points and relation members, close over relations of relations.
 
-All resolution is by joins on ids; the one loop is the closure over relation members, whose rounds grow with the depth
-of nesting and are cut off with a written table. Missing nodes drop out of a way; a relation stays if at least one member
+All resolution is by joins on ids; the one loop spreads rows along relation members, whose rounds grow with the depth of nesting
+and are cut off with a written table, of which only the result stays. Missing nodes drop out of a way; a relation stays if at least one member
 resolves, or in the strict variant if no way or relation member is missing.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellatlas.functions.grid import Bounds, contains, overlaps
 from cellatlas.sources.osm import NODE, RELATION, WAY, Dataset
-from cellatlas.sources.scratch import written
+from cellatlas.sources.scratch import release, written
 
 
 def import_nodes(ds: Dataset, b: Bounds) -> DataFrame:
@@ -45,14 +47,14 @@ def member_resolution(members: DataFrame, nodes: DataFrame, ways: DataFrame, rel
 def import_relations(ds: Dataset, b: Bounds, strict: bool = False) -> DataFrame:
     """(id, members, resolved_members) of the relations kept for the bounds.
 
-    A nested relation counts as there when some node or way below it is; the closure says which.
+    A nested relation counts as there when some node or way below it is: what is there spreads to the parents.
     """
     nodes = import_nodes(ds, b)
     ways = import_ways(ds, b).select(F.col("way_id").alias("id"))
     direct = member_resolution(ds.relation_members.where(F.col("member_type") != RELATION), nodes, ways, ds.relations.limit(0))
     fed = direct.where("resolved").select(F.col("parent_id").alias("id")).distinct()
-    above = closure(ds.relation_members).join(fed, "id", "left_semi").select(F.col("root").alias("id"))
-    kept = fed.union(above).distinct().join(ds.relations.select("id"), "id", "left_semi")
+    up = ds.relation_members.where(F.col("member_type") == RELATION).select(F.col("member_id").alias("id"), F.col("parent_id").alias("to"))
+    kept = spread(fed, up).join(ds.relations.select("id"), "id", "left_semi")
     seen = member_resolution(ds.relation_members, nodes, ways, kept)
     lost = F.max((~F.col("resolved") & (F.col("member_type") != NODE)).cast("int"))
     summed = seen.groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("members"), F.sum(F.col("resolved").cast("long")).alias("resolved_members"), lost.alias("lost"))
@@ -60,21 +62,25 @@ def import_relations(ds: Dataset, b: Bounds, strict: bool = False) -> DataFrame:
     return (summed.where("lost = 0") if strict else summed).drop("lost")
 
 
-def closure(members: DataFrame) -> DataFrame:
-    """(root, id, depth): every relation reachable from a relation through members, with the least depth; cycles end.
+def spread(rows: DataFrame, steps: DataFrame) -> DataFrame:
+    """Distinct ``rows`` (id, ...) and what ``steps`` (id, to) lead to from them, with the rows' other columns; cycles end.
 
-    Each round joins the newest pairs with the direct members and keeps what is new, until nothing is.
-    """
-    edges = written(members.where(F.col("member_type") == RELATION).select(F.col("parent_id").alias("root"), F.col("member_id").alias("id")).distinct(), "edges")
-    found = written(edges.where("root <> id").withColumn("depth", F.lit(1)), "closure")
-    newest, depth = found, 1
-    down = edges.select(F.col("root").alias("id"), F.col("id").alias("below"))
-    while newest.limit(1).count():
-        depth += 1
-        step = newest.select("root", "id").join(down, "id").select("root", F.col("below").alias("id")).where("root <> id").distinct()
-        newest = written(step.join(found, ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
-        found = found.union(newest)
-    return found
+    Each round moves only what the round before has found anew."""
+    steps, columns = written(steps.distinct(), "steps"), rows.columns
+    found = [written(rows.distinct(), "spread")]
+    while found[-1].limit(1).count():
+        moved = found[-1].join(steps, "id").drop("id").withColumnRenamed("to", "id").select(*columns).distinct()
+        found.append(written(moved.join(reduce(DataFrame.union, found), columns, "left_anti"), "spread"))
+    out = written(reduce(DataFrame.union, found), "spread")
+    release(steps, *found)
+    return out
+
+
+def closure(members: DataFrame) -> DataFrame:
+    """(root, id): every other relation that can be reached from a relation through members."""
+    edges = members.where(F.col("member_type") == RELATION).select(F.col("parent_id").alias("id"), F.col("member_id").alias("to"))
+    direct = edges.select(F.col("id").alias("root"), F.col("to").alias("id"))
+    return spread(direct, edges).where("root <> id")
 
 
 def dangling(members: DataFrame, nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> DataFrame:

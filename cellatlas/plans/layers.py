@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellatlas.functions import parse, stops
-from cellatlas.sources.osm import NODE, WAY
+from cellatlas.sources.osm import NODE, RELATION, WAY
 
 # The tags that a class stands for in a source layer; * is any value.
 CLASSES = {
@@ -182,7 +182,7 @@ def _first(choices: list[tuple[Column, Column]], schema: str) -> Column:
 
 
 def way_layers(objects: DataFrame, layers: list[Layer], zoom: float) -> DataFrame:
-    """(id, z_index, line_width, line_colour, fill_colour) from the first line or symbol layer that shows a way.
+    """(id, z_index, line_width, line_colour, dash, fill_colour) from the first line or symbol layer that shows a way.
 
     A layer without a fill, and without a line colour or width, shows nothing. Objects that no layer shows are left out.
     """
@@ -195,10 +195,11 @@ def way_layers(objects: DataFrame, layers: list[Layer], zoom: float) -> DataFram
             continue
         empty = F.lit(None).cast(_NO_COLOUR)
         look = F.struct(
-            F.lit(x.index).alias("z_index"), F.lit(width).alias("line_width"), (empty if line is None else line).alias("line_colour"), (empty if fill is None else fill).alias("fill_colour"),
+            F.lit(x.index).alias("z_index"), F.lit(width).alias("line_width"), (empty if line is None else line).alias("line_colour"),
+            F.array(*[F.lit(float(d)) for d in x.paint.get("line-dasharray", [])]).cast("array<double>").alias("dash"), (empty if fill is None else fill).alias("fill_colour"),
         )
         choices.append((in_source(x.source, F.col("tags")) & condition(x.filter, x.source, WAY, F.col("tags")), look))
-    schema = f"struct<z_index:int,line_width:double,line_colour:{_NO_COLOUR},fill_colour:{_NO_COLOUR}>"
+    schema = f"struct<z_index:int,line_width:double,line_colour:{_NO_COLOUR},dash:array<double>,fill_colour:{_NO_COLOUR}>"
     return objects.select("id", _first(choices, schema).alias("s")).where("s IS NOT NULL").select("id", "s.*")
 
 
@@ -214,3 +215,58 @@ def node_layers(nodes: DataFrame, layers: list[Layer], zoom: float) -> DataFrame
             )
             choices.append((condition(x.filter, x.source, NODE, F.col("tags")), look))
     return nodes.select("id", _first(choices, f"struct<z_index:int,text_size:int,text_colour:{_NO_COLOUR}>").alias("s")).where("s IS NOT NULL").select("id", "s.*")
+
+
+def _keys(rule: list | None, source: str) -> list[str]:
+    """Tag keys of the classes and subclasses that a filter names, whatever its operators; a null filter names none."""
+    if rule is None:
+        return []
+    rest = rule[1:]
+    if all(isinstance(x, list) for x in rest):
+        return [k for x in rest for k in _keys(x, source)]
+    category, *operands = rest
+    if category == "class":
+        return [k for x in operands for k, _ in tags_of_class(x, source)]
+    if category == "subclass":
+        return [k for x in operands for k, _ in SUBCLASSES.get(source, {}).get(x, [])]
+    return []
+
+
+def wanted_objects(layers: list[Layer], zoom: float) -> list[tuple[int, str]]:
+    """(object type, tag key) of everything that the layers at a zoom may show, in order and without repeats."""
+    keys = dict.fromkeys(k for x in layers if x.visible(zoom) for k in _keys(x.filter, x.source))
+    return [(kind, key) for key in keys for kind in (NODE, WAY, RELATION)]
+
+
+def background(layers: list[Layer]) -> Column:
+    """struct<r,g,b,a> of the first layer if it is the background, and white else."""
+    first = layers[0] if layers and layers[0].id == BACKGROUND else None
+    found = colour_at(first.paint.get("background-color"), 0) if first else None
+    return parse.colour(F.lit("#ffffff")) if found is None else found
+
+
+class Styles:
+    """Styles by id; one of them is the default."""
+
+    def __init__(self, styles: list[tuple[str, list[Layer] | None]], default: str):
+        self.by_id: dict[str, list[Layer] | None] = {}
+        for name, layers in styles:
+            if name in self.by_id:
+                raise ValueError(f"two styles are called {name!r}")
+            self.by_id[name] = layers
+        if default not in self.by_id:
+            raise ValueError(f"no style is called {default!r}")
+        self.default = default
+
+    def get(self, name: str | None = None) -> list[Layer] | None:
+        """The layers of a style, None for the built-in one; without a name, of the default."""
+        return self.by_id[self.default if name is None else name]
+
+    def ids(self) -> list[str]:
+        return sorted(self.by_id)
+
+    @classmethod
+    def of_files(cls, files: DataFrame, built_in: str, default: str) -> Styles:
+        """Styles from a frame of (id, text) of JSON files, few and small, beside the built-in one."""
+        rows = files.select("id", "text").orderBy("id").collect()
+        return cls([(built_in, None), *[(r["id"], read_style(r["text"])) for r in rows]], default)

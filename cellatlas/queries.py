@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellatlas.functions import grid, parse, stops
 from cellatlas.functions.grid import Bounds, cell_of
-from cellatlas.operators import index, ingest
+from cellatlas.operators import index, ingest, raster, store
+from cellatlas.operators.store import Store
 from cellatlas.plans import layers, style
-from cellatlas.sources import osm
+from cellatlas.sources import osm, scratch
 from cellatlas.sources.osm import Dataset
 
 BOUNDS = Bounds(51.020, 51.050, -0.980, -0.950)
 ZOOM = 14
+REPLICATED = "2024-05-06 07:08:09.010"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 _B = f"lat BETWEEN {BOUNDS.min_lat}::DOUBLE AND {BOUNDS.max_lat}::DOUBLE AND lon BETWEEN {BOUNDS.min_lon}::DOUBLE AND {BOUNDS.max_lon}::DOUBLE"
@@ -57,6 +60,28 @@ def query(sql: str | None, name: str | None = None):
     return register
 
 
+def stored(spark: SparkSession, sf_dir: str) -> Store:
+    """The dataset as a store, imported once for each application and folder."""
+    mark = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
+    path = f"{scratch.folder(spark)}/cellatlas-store-{spark.sparkContext.applicationId}-{mark}"
+    if store.exists(spark, path):
+        return Store(spark, path)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return store.import_dataset(osm.from_orders(spark, sf_dir), path, name="orders", replicated=REPLICATED, partitions=partitions)
+
+
+def store_query(sql: str | None):
+    """Registers a function of the stored dataset, with SQL over the common table expressions above."""
+
+    def register(f: Callable[[Store], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(stored(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[f.__name__] = f"{_CTE} {sql}"
+        return f
+
+    return register
+
+
 def values(sql: str):
     """Registers a function of the session alone."""
 
@@ -227,12 +252,18 @@ def import_dedupe(ds):
     return ds.way_nodes.select(F.col("node_id").alias("id")).dropDuplicates(["id"])
 
 
+@query("SELECT DISTINCT node_id AS id FROM way_nodes WHERE node_id NOT IN (SELECT id FROM imported)")
+def import_outstanding(ds):
+    asked = ds.way_nodes.select(F.col("node_id").alias("id")).dropDuplicates(["id"])
+    return asked.join(ingest.import_nodes(ds, BOUNDS).select("id"), "id", "left_anti")
+
+
 # Queries by bounds and tags
 
 
-@query("SELECT object_type, tag_key, id FROM hits")
-def tag_index_lookup(ds):
-    return index.lookup(_index(ds), BOUNDS, _wanted(ds))
+@store_query("SELECT object_type, tag_key, id FROM hits")
+def tag_index_lookup(st):
+    return st.lookup(BOUNDS, index.wanted(st.spark, style.WANTED))
 
 
 @query("SELECT root, id FROM closure")
@@ -245,14 +276,67 @@ def relation_members_resolved(ds):
     return index.members_resolved(ds)
 
 
-@query("SELECT * FROM in_bounds")
-def get_in_bounds(ds):
-    return index.get_in_bounds(ds, _index(ds), BOUNDS, _wanted(ds))
+@store_query("SELECT * FROM in_bounds")
+def get_in_bounds(st):
+    return st.get_in_bounds(BOUNDS, index.wanted(st.spark, style.WANTED))
+
 
+@store_query("SELECT object_type, tag_key, count(*) AS objects FROM in_bounds GROUP BY ALL")
+def get_in_bounds_counts(st):
+    return get_in_bounds(st).groupBy("object_type", "tag_key").agg(F.count(F.lit(1)).alias("objects"))
 
-@query("SELECT object_type, tag_key, count(*) AS objects FROM in_bounds GROUP BY ALL")
-def get_in_bounds_counts(ds):
-    return get_in_bounds(ds).groupBy("object_type", "tag_key").agg(F.count(F.lit(1)).alias("objects"))
+
+_STRIPS = store.strips(BOUNDS, 0.01)
+_IN_STRIPS = " OR ".join(f"(lat_cell BETWEEN {cell_of(b.min_lat)} AND {cell_of(b.max_lat)} AND lon_cell BETWEEN {cell_of(b.min_lon)} AND {cell_of(b.max_lon)})" for b in _STRIPS)
+
+
+@store_query(f"SELECT DISTINCT object_type, tag_key, id FROM tag_index WHERE object_type = 1 AND tag_key = 'place' AND ({_IN_STRIPS})")
+def nearby_strips(st):
+    known = store.Registry(st.spark)
+    known.add(st)
+    return known.nearby(BOUNDS, index.wanted(st.spark, [(osm.NODE, "place")])).drop("dataset")
+
+
+@store_query("SELECT 'orders' AS dataset, object_type, tag_key, id FROM in_bounds")
+def registry_get_in_bounds(st):
+    known = store.Registry(st.spark)
+    known.add(st)
+    return known.get_in_bounds(BOUNDS, index.wanted(st.spark, style.WANTED))
+
+
+@store_query(
+    f"SELECT 'orders' AS name, min(lat) AS min_lat, max(lat) AS max_lat, min(lon) AS min_lon, max(lon) AS max_lon, count(*) AS nodes, epoch_ms(TIMESTAMP '{REPLICATED}') AS replicated_ms, "
+    "(SELECT count(*) FROM ways) AS ways, (SELECT count(*) FROM relations) AS relations, (SELECT count(*) FROM tag_index) AS index_rows FROM nodes"
+)
+def import_dataset(st):
+    return st.info
+
+
+_ASSEMBLED = "SELECT m.parent_id, m.seq, m.member_type, m.member_id, m.role, CAST((SELECT count(*) FROM tags t WHERE t.object_type = m.member_type AND t.object_id = m.member_id) AS INT) AS tags"
+
+
+@store_query(
+    f"""{_ASSEMBLED}, CAST(coalesce(p.n, CASE m.member_type WHEN 1 THEN 1 END) AS INT) AS points FROM relation_members m JOIN present o ON o.t = m.member_type AND o.id = m.member_id
+    LEFT JOIN (SELECT way_id, count(*) AS n FROM way_points GROUP BY way_id) p ON m.member_type = 2 AND p.way_id = m.member_id WHERE (m.parent_id <= 50 OR m.parent_id >= 1000000) AND (m.member_type <> 2 OR p.n > 0)"""
+)
+def relations_with_members(st):
+    ids = st.dataset.relations.where("id <= 50 OR id >= 1000000").select("id")
+    found = index.relations_assembled(st.dataset, st.points, ids)
+    return found.select("parent_id", "seq", "member_type", "member_id", "role", F.size("tags").alias("tags"), F.when(F.col("points").isNotNull(), F.size("points")).alias("points"))
+
+
+@store_query("SELECT object_id, object_type, key, value FROM tags WHERE object_type = 2 AND object_id IN (SELECT member_id FROM relation_members WHERE parent_id = 3 AND member_type = 2)")
+def tags_for_ids(st):
+    ids = st.dataset.relation_members.where("parent_id = 3 AND member_type = 2").select(F.col("member_id").alias("object_id"))
+    return st.tags.where("object_type = 2").join(ids, "object_id", "left_semi").select("object_id", "object_type", "key", "value")
+
+
+_TILES = [*((x, y) for x in (8147, 8148) for y in (5481, 5482, 5483)), (8000, 5400)]  # the last is empty
+_TILE_SQL = "(VALUES " + ", ".join(f"({x}, {y}, {cell_of(b.min_lat)}, {cell_of(b.max_lat)}, {cell_of(b.min_lon)}, {cell_of(b.max_lon)})" for x, y in _TILES for b in [grid.tile_bounds(x, y, ZOOM)]) + ") g(x, y, a, b, c, d)"
+
+
+def _tiles(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_TILES, "x int, y int")
 
 
 @query(f"SELECT id FROM nodes WHERE lat > {BOUNDS.min_lat}::DOUBLE AND lat < {BOUNDS.max_lat}::DOUBLE AND lon > {BOUNDS.min_lon}::DOUBLE AND lon < {BOUNDS.max_lon}::DOUBLE")
@@ -381,6 +465,22 @@ def draw_list(ds):
     return style.draw_list(ds, ZOOM)
 
 
+_DRAWN = f"""(SELECT DISTINCT x, y, z_index, object_type, id FROM tag_index JOIN {_WANTED} USING (object_type, tag_key) JOIN {_TILE_SQL} ON lat_cell BETWEEN a AND b AND lon_cell BETWEEN c AND d
+ JOIN (SELECT z_index, object_type, id FROM {_STYLED} UNION ALL SELECT 5, 1, id FROM nodes WHERE name <> '' AND {_PLACE_SQL} <= {ZOOM}) USING (object_type, id))"""
+_SHAPED = "(SELECT 1 AS object_type, id FROM nodes UNION SELECT 2, way_id FROM way_points UNION SELECT 3, m.parent_id FROM relation_members m JOIN way_points p ON p.way_id = m.member_id WHERE m.member_type = 2 AND m.role IN ('outer', 'inner'))"
+
+
+@store_query(f"SELECT x, y, z_index, object_type, id FROM {_DRAWN}")
+def tile_draw_list(st):
+    return raster.draw_list(st, _tiles(st.spark), ZOOM).select("x", "y", "z_index", "object_type", "id")
+
+
+@store_query(f"SELECT g.x, g.y, count(DISTINCT (s.object_type, s.id)) FILTER (s.id IS NOT NULL) AS objects, true AS is_png FROM {_TILE_SQL} LEFT JOIN (SELECT x, y, object_type, id FROM {_DRAWN} JOIN {_SHAPED} USING (object_type, id)) s USING (x, y) GROUP BY ALL")
+def render_tile(st):
+    pictures = raster.render_tiles(st, _tiles(st.spark), ZOOM)
+    return pictures.select("x", "y", "objects", (F.substring("png", 1, 8) == F.unhex(F.lit("89504E470D0A1A0A"))).alias("is_png"))
+
+
 def _filter(op: str, values: tuple[str, ...], sql: str) -> None:
     def run(ds: Dataset) -> DataFrame:
         return ds.ways.where(style.matches(F.col("tags"), op, "landuse", *values)).select("id")
@@ -421,6 +521,12 @@ def relation_rings(ds):
     return rings.join(points, "member_id").select(F.col("parent_id").alias("id"), "role", F.col("seq").alias("member_seq"), F.col("point").alias("seq"), "lat", "lon")
 
 
+@query("SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY member_seq, seq) AS INT) AS position, lat, lon FROM (SELECT m.parent_id AS id, m.seq AS member_seq, p.seq, p.lat, p.lon FROM relation_members m JOIN way_points p ON m.member_type = 2 AND m.member_id = p.way_id WHERE m.role = 'outer')")
+def relation_outlines(ds):
+    place = F.row_number().over(Window.partitionBy("id").orderBy("member_seq", "seq"))
+    return relation_rings(ds).where("role = 'outer'").select("id", place.alias("position"), "lat", "lon")
+
+
 # JSON styles
 
 STYLE = """{"layers": [
@@ -447,9 +553,30 @@ def style_class_match(ds):
     return _shown(ds, ["==", "class", "wood"], "landcover")
 
 
-@query(f"SELECT id FROM ways WHERE id NOT IN ({_TAGGED} ((key = 'natural' AND value = 'glacier') OR (key = 'glacier:type' AND value = 'shelf')))")
+def _with_ice(ds: Dataset) -> DataFrame:
+    """The ways, every seventh a glacier and every eleventh a shelf of ice."""
+    ice = F.array(*[F.when(F.col("id") % n == 0, osm.tag(k, v)) for n, k, v in ((7, "natural", "glacier"), (11, "glacier:type", "shelf"))])
+    return ds.ways.withColumn("tags", F.concat("tags", F.array_compact(ice)))
+
+
+@query("SELECT id FROM ways WHERE id % 7 <> 0 AND id % 11 <> 0")
 def style_subclass_match(ds):
-    return _shown(ds, ["!in", "subclass", "ice_shelf", "glacier"], "landcover")
+    return _with_ice(ds).where(layers.condition(["!in", "subclass", "ice_shelf", "glacier"], "landcover", osm.WAY, F.col("tags"))).select("id")
+
+
+@query("SELECT id FROM ways WHERE id % 7 = 0")
+def style_subclass_equals(ds):
+    return _with_ice(ds).where(layers.condition(["==", "subclass", "glacier"], "landcover", osm.WAY, F.col("tags"))).select("id")
+
+
+@values("SELECT object_type, tag_key FROM (VALUES ('natural'), ('landuse'), ('landcover'), ('highway'), ('railway'), ('place')) k(tag_key), (VALUES (1), (2), (3)) t(object_type)")
+def style_wanted_objects(spark):
+    return index.wanted(spark, layers.wanted_objects(_LAYERS, 8))
+
+
+@values("SELECT 255 AS r, 255 AS g, 255 AS b, 255 AS a")
+def style_background(spark):
+    return spark.range(1).select(layers.background(_LAYERS).alias("c")).select("c.*")
 
 
 @query("SELECT 2 AS object_type, id FROM ways")
