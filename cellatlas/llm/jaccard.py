@@ -40,10 +40,9 @@ whole sets are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
-import re
 import uuid
 from collections.abc import Iterable, Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -51,8 +50,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, collect_garbage, partitions, release, small_batches, stored, with_columns
+from .common import broadcast_if_small, bucketed, collect_garbage, partitions, release, small_batches, stored, trimmed, with_columns
 from .graph import components
+from .hashing import TOGETHER, mixed, word_hashes
 
 WORDS = 5
 #: The similarity as a fraction: numerator, denominator.
@@ -64,57 +64,8 @@ MAX_BLOOM_BITS = 27
 #: Comparisons with one key that are made in one task.
 SPLIT = 1024
 #: The rounds of single comparisons end when a smaller share of them finds a link.
-SETTLED = 0.02
-#: Bytes of text that are hashed together; longer words and texts take as many as they need.
-_TOGETHER = 1 << 17
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+SETTLED = 0.05
 _FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)) for i in range(16)]
-#: The base of the words' polynomial hashes, and its inverse modulo 2 ** 64.
-_BASE = 0xD1342543DE82EF95
-_SPACE = re.compile(rb"[\t-\r ]")
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * _M2
-    return (h ^ (h >> np.uint64(27))) * _M1
-
-
-def _byte_values() -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit value for each byte, the same for A-Z and a-z, and which bytes are white space."""
-    lower = np.arange(256, dtype=np.uint64)
-    lower[65:91] += np.uint64(32)
-    space = np.zeros(256, dtype=bool)
-    space[[9, 10, 11, 12, 13, 32]] = True
-    return _mix((lower + np.uint64(1)) * _FACTORS[3]), space
-
-
-_VALUES, _IS_SPACE = _byte_values()
-
-
-@lru_cache(maxsize=8)
-def _powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word of ``data`` and where it starts: sums of byte values times powers, from running totals."""
-    hashes, starts, at = [], [], 0
-    while at < len(data):
-        cut = _SPACE.search(data, at + _TOGETHER)
-        end = cut.end() if cut else len(data)
-        part = np.frombuffer(data, dtype=np.uint8, count=end - at, offset=at)
-        inside = np.concatenate([[False], ~_IS_SPACE[part], [False]]).astype(np.int8)
-        edges = np.diff(inside)
-        first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-        size = 1 << (len(part) + 1).bit_length()
-        total = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(_VALUES[part] * _powers(_BASE, size)[: len(part)], out=total[1:])
-        hashes.append(_mix((total[last] - total[first]) * _powers(pow(_BASE, -1, 1 << 64), size)[first]))
-        starts.append(first + at)
-        at = end
-    return (np.concatenate(hashes), np.concatenate(starts)) if hashes else (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
 
 
 def shingle_sets(texts: Iterable[str | None], n: int = WORDS) -> Iterator[np.ndarray]:
@@ -124,26 +75,25 @@ def shingle_sets(texts: Iterable[str | None], n: int = WORDS) -> Iterator[np.nda
     for t in texts:
         together.append((t or "").encode())
         size += len(together[-1]) + 1
-        if size > _TOGETHER:
+        if size > TOGETHER:
             yield from _shingled(together, n)
             together, size = [], 0
     yield from _shingled(together, n)
 
 
 def _shingled(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
-    h, starts = _words(b"\n".join(texts))
-    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
-    sizes = np.diff(np.searchsorted(starts, ends), prepend=0).tolist()
+    h, counts = word_hashes(texts, lower=True)
+    sizes = counts.tolist()
     full = np.full(max(len(h) - n + 1, 0), n, dtype=np.uint64)
     for i in range(n):
         full += h[i : i + len(full)] * _FACTORS[i]
-    full = _mix(full)
+    full = mixed(full)
     at = 0
     for size in sizes:
         if size >= n:
             own = np.sort(full[at : at + size - n + 1])
         elif size:
-            own = _mix(np.array([(size + sum(int(x) * int(f) for x, f in zip(h[at : at + size], _FACTORS))) & 0xFFFFFFFFFFFFFFFF], dtype=np.uint64))
+            own = mixed(np.array([(size + sum(int(x) * int(f) for x, f in zip(h[at : at + size], _FACTORS))) & 0xFFFFFFFFFFFFFFFF], dtype=np.uint64))
         else:
             own = np.empty(0, dtype=np.uint64)
         at += size
@@ -190,7 +140,7 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
         yield pd.DataFrame({"slice": list(sums), "counts": [x.tobytes() for x in sums.values()]})
 
     schema = "slice int, counts binary"
-    rows = texts.mapInPandas(count, schema).repartition(SLICES, "slice").mapInPandas(add, schema).collect()
+    rows = texts.mapInPandas(trimmed(count), schema).repartition(SLICES, "slice").mapInPandas(trimmed(add), schema).collect()
     out = np.zeros(1 << COUNT_BITS, dtype=np.uint64)
     for r in rows:
         out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], dtype=np.uint64)
@@ -250,15 +200,16 @@ def _likely(texts: DataFrame, needed: DataFrame) -> DataFrame:
                     rows.append(i)
             yield b.take(pa.array(rows, pa.int64()))
 
-    return texts.mapInArrow(run, "h long, text string")
+    return texts.mapInArrow(trimmed(run), "h long, text string")
 
 
 def _texts(rows: DataFrame, ids: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, text) of the keys, bucketed by key; any text of a key will do."""
     needed = stored(ids.join(keys, "key", "left_semi").groupBy("key").agg(F.min("h").alias("h")), "needed")
     found = _likely(rows.where("text IS NOT NULL").select("h", "text"), needed.select("h"))
-    out = bucketed(found.join(needed, "h").select("key", "text").dropDuplicates(["key"]), "texts", "key", partitions(rows.sparkSession))
+    out = bucketed(found.join(broadcast_if_small(needed), "h").select("key", "text").dropDuplicates(["key"]), "texts", "key", partitions(rows.sparkSession))
     release(needed)
+    collect_garbage(rows.sparkSession)
     return out
 
 
@@ -287,7 +238,7 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 common.append(int(np.count_nonzero(met[1:] == met[:-1])))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(common, pa.int64())], names=[*columns, "common"])
 
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(trimmed(run), schema)
 
 
 def _fits(n: Column, m: Column) -> Column:
@@ -310,16 +261,19 @@ def _postings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(token, key, n, left) of prefix shingles that two keys or more share, and (doc_id, h, key, n) of every row.
 
     left: how many shingles of the set the order has from this one on."""
+    spark = rows.sparkSession
     base = stored(_prefixes(rows, bucket_counts(rows.select("text"))), "prefixes")
     posts = base.select("key", "n", F.posexplode("prefix").alias("at", "token"))
     met = stored(posts.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("token"), "met")
+    collect_garbage(spark)
     ids = stored(base.select("doc_id", "h", F.when(F.col("n") > 0, F.col("key")).alias("key"), "n"), "ids")
     shared = stored(posts.join(met, "token").select("token", "key", "n", (F.col("n") - F.col("at")).alias("left")).distinct(), "shared")
     release(met, base)
+    collect_garbage(spark)
     several = shared.groupBy("token").agg(F.count(F.lit(1)).alias("keys")).where("keys > 1").select("token")
     out = stored(shared.join(several, "token").select("token", "key", "n", "left"), "postings")
     release(shared)
-    collect_garbage(rows.sparkSession)
+    collect_garbage(spark)
     return out, ids
 
 
@@ -348,22 +302,28 @@ def _groups(posts: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     settled.append(loose.select("key", F.col("key").alias("grp"), "n", F.col("n").alias("common")))
     members = stored(reduce(DataFrame.union, settled), "members")
     release(*done)
+    collect_garbage(posts.sparkSession)
     lists = posts.join(members.select("key", "grp"), "key").groupBy("token", "grp").agg(F.first("n").alias("n"), F.max("left").alias("left"))
     return members, stored(lists.withColumn("comp", F.col("grp")), "lists")
 
 
 def _ends(lists: DataFrame, seed: int) -> DataFrame:
-    """For every list with two components or more: a group of the one with most groups in it, and one of another with fewest."""
-    each = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("grp", F.lit(seed)).alias("h"), "grp", "n", "left")).alias("g"))
-    by = F.struct("c", F.xxhash64("comp", F.lit(seed)).alias("h"), "comp", "g")
-    return each.groupBy("token").agg(F.max(by).alias("most"), F.min(by).alias("least")).where("most.comp <> least.comp")
+    """For every list with two components or more: a group of the one with most groups in it, and one of another with fewest.
+
+    Among equals, the seed decides: ids are ordered by what an exclusive or with a number of the seed makes of them."""
+    turn = F.lit((seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
+    each = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.col("grp").bitwiseXOR(turn).alias("g"), "n", "left")).alias("g"))
+    by = F.struct("c", F.col("comp").bitwiseXOR(turn).alias("k"), "g.g", "g.n", "g.left")
+    ends = each.groupBy("token").agg(F.max(by).alias("most"), F.min(by).alias("least")).where("most.k <> least.k")
+    named = [F.struct(F.col(f"{e}.k").bitwiseXOR(turn).alias("comp"), F.col(f"{e}.g").bitwiseXOR(turn).alias("grp"), F.col(f"{e}.n").alias("n"), F.col(f"{e}.left").alias("left")).alias(e) for e in ("most", "least")]
+    return ends.select("token", *named)
 
 
 def _proposed(lists: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     """The lists that hold several components, and one pair (x, p, n, m, comp, comp2) at most for every group in them."""
     other = F.when(F.col("comp") == F.col("most.comp"), F.col("least")).otherwise(F.col("most"))
     met = lists.join(_ends(lists, seed), "token").select("token", "grp", "n", "left", "comp", other.alias("o"))
-    live = stored(met.select("token", "grp", "n", "left", "comp", F.col("o.g.grp").alias("grp2"), F.col("o.g.n").alias("n2"), F.col("o.g.left").alias("left2"), F.col("o.comp").alias("comp2")), "lists")
+    live = stored(met.select("token", "grp", "n", "left", "comp", F.col("o.grp").alias("grp2"), F.col("o.n").alias("n2"), F.col("o.left").alias("left2"), F.col("o.comp").alias("comp2")), "lists")
     able = live.where(_fits(F.col("n"), F.col("n2")) & _reaches(F.col("left"), F.col("left2"), F.col("n"), F.col("n2")))
     each = able.groupBy("grp", "grp2").agg(F.count(F.lit(1)).alias("c"), F.first(F.struct("n", F.col("n2").alias("m"), "comp", "comp2")).alias("o"))
     best = each.groupBy("grp").agg(F.max(F.struct("c", F.xxhash64("grp2", F.lit(seed)).alias("h"), F.col("grp2").alias("p"), "o")).alias("b"))
@@ -396,7 +356,7 @@ def _met(lists: DataFrame, tested: list[DataFrame]) -> DataFrame:
     return pairs
 
 
-def _expanded(tested: list[DataFrame], links: DataFrame, members: DataFrame) -> DataFrame:
+def _expanded(tested: list[DataFrame], merged: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs (x, p, n, m, comp, comp2) of members of compared groups, of different components, that can still be similar."""
     num, den = SIMILARITY
     many = members.groupBy("grp").agg(F.max(1 - F.col("common") / (2 * F.col("n") - F.col("common"))).alias("radius"), F.count(F.lit(1)).alias("size"))
@@ -405,7 +365,6 @@ def _expanded(tested: list[DataFrame], links: DataFrame, members: DataFrame) ->
     failed = failed.withColumn("d", 1 - F.col("common") / (F.col("n") + F.col("m") - F.col("common")))
     of = lambda c: many.select(F.col("grp").alias(c), F.col("radius").alias(f"r_{c}"), F.col("size").alias(f"s_{c}"))
     open_pairs = failed.join(of("x"), "x").join(of("p"), "p").where((F.col("s_x") + F.col("s_p") > 2) & (F.col("d") <= room + F.col("r_x") + F.col("r_p")))
-    merged = components(links)
     apart = _renamed(_renamed(open_pairs.select("x", "p", "n", "m", "comp", "comp2", "d"), merged), merged, "comp2").where("comp <> comp2")
     far = members.select("key", "grp", (1 - F.col("common") / (2 * F.col("n") - F.col("common"))).alias("far"))
     with_x = apart.join(far.toDF("kx", "x", "fx"), "x")
@@ -437,10 +396,11 @@ def _group_components(members: DataFrame, lists: DataFrame, texts: DataFrame) ->
     tested.append(found)
     links.append(_links(found))
     all_links = stored(reduce(DataFrame.union, links).distinct(), "links")
-    inside = stored(_expanded(tested, all_links, members), "pairs")
+    merged = components(all_links)
+    inside = stored(_expanded(tested, merged, members), "pairs")
     more = stored(_compared(inside, texts), "compared")
     out = components(all_links.union(_links(more)))
-    release(lists, rest, all_links, inside, more, *tested, *links[:-1])
+    release(lists, rest, all_links, merged, inside, more, *tested, *links[:-1])
     collect_garbage(spark)
     return out
 
