@@ -18,6 +18,8 @@ target 0. An empty table gives an empty result. Other columns of any name are ig
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,38 +95,69 @@ def repetitions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     inside = sized.select(F.col("source").alias("s"), F.col("size"), F.col("place"), bucket.alias("b")).join(
         cut.select("source", "bucket", "before", "rest"), F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("bucket"))
     )
-    same = inside.groupBy("source", "place", "before", "rest").agg(F.sum("size").alias("size"))
-    middle = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("place")) - F.col("size") / 2
-    last = same.withColumn("middle", middle).where(F.col("middle") <= F.col("rest")).groupBy("source").agg(F.max("place").alias("last"))
+    same = inside.groupBy("source", "place", "before", "rest").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    words_here = F.col("size") * F.col("rows")
+    start = F.col("before") + F.sum(words_here).over(Window.partitionBy("source").orderBy("place")) - words_here
+    # A row is taken once more if its middle word is within the rest: the first ``more`` of equal rows.
+    fit = F.floor((2 * (F.col("rest") - F.col("start")) + F.col("size")) / (2 * F.col("size")))
+    more = F.least(F.greatest(fit, F.lit(0)), F.col("rows")).cast("long")
+    taken = same.withColumn("start", start).where("size > 0").withColumn("more", more).where("more > 0")
+    last = taken.groupBy("source").agg(F.max(F.struct("place", "more", "rows")).alias("last"))
     cut = cut.join(last.select(F.col("source").alias("s"), "last"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    return sized, stored(cut.select("source", "source_size", "weight", "target", "whole", "bucket", "last"), "cuts")
+    split = F.coalesce(F.col("last.more") < F.col("last.rows"), F.lit(False))
+    return sized, stored(cut.select("source", "source_size", "weight", "target", "whole", "bucket", F.col("last.place").alias("last"), F.col("last.more").alias("more"), split.alias("split"), F.lit(max_epochs).alias("most")), "cuts")
 
 
-def _times(place: Column, plan: str = "p") -> Column:
-    """How often the mix takes a document: whole times, and once more before the cut."""
+def _times(place: Column, some: Column, plan: str = "p") -> Column:
+    """How often the mix takes a document: whole times, and once more before the cut if it has words."""
     b = F.substring(place, 1, _DIGITS)
     more = (b < F.col(f"{plan}.bucket")) | ((b == F.col(f"{plan}.bucket")) & (place <= F.col(f"{plan}.last")))
-    return F.col(f"{plan}.whole") + F.coalesce(more, F.lit(False)).cast("long")
+    return F.least(F.col(f"{plan}.whole") + F.coalesce(more & some, F.lit(False)).cast("long"), F.col(f"{plan}.most"))
+
+
+def _numbered(rows: DataFrame, source: str, times: str, plan: DataFrame) -> DataFrame:
+    """The rows at the cuts that split equal rows, ``times`` less one for those beyond the number that is taken once more."""
+    mark = uuid.uuid4().hex
+    part, at, before, s, more = (f"{x}_{mark}" for x in ("part", "at", "before", "s", "more"))
+    here = stored(rows.withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id()}), "split")
+    counts = here.groupBy(source, part).agg(F.count(F.lit(1)).alias("n"))
+    ahead = counts.select(F.col(source).alias(s), F.col(part).alias(f"q_{mark}"), (F.sum("n").over(Window.partitionBy(source).orderBy(part)) - F.col("n")).alias(before))
+    met = here.join(ahead, F.col(source).eqNullSafe(F.col(s)) & (F.col(part) == F.col(f"q_{mark}"))).drop(s, f"q_{mark}")
+    met = met.join(plan.select(F.col("source").alias(s), F.col("more").alias(more)), F.col(source).eqNullSafe(F.col(s)))
+    number = F.col(before) + F.row_number().over(Window.partitionBy(source, part).orderBy(at))
+    return met.withColumn(times, F.col(times) - (number > F.col(more)).cast("long")).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
+def _with_times(rows: DataFrame, plan: DataFrame, place: Column, some: Column, source: str, times: str) -> DataFrame:
+    """``rows`` with ``times``, how often the mix takes each; ``some``: it has words."""
+    mark = uuid.uuid4().hex
+    at, split, full = f"place_{mark}", f"split_{mark}", f"full_{mark}"
+    joined = rows.withColumns({at: place, full: some}).alias("d").join(plan.alias("p"), F.col(f"d.{source}").eqNullSafe(F.col("p.source")))
+    here = F.col("p.split") & (F.col(f"d.{at}") == F.col("p.last"))
+    # Whole times that are at their most already are the same for all equal rows.
+    here = here & (F.col("p.whole") < F.col("p.most"))
+    joined = joined.select(*[F.col(f"d.`{c}`") for c in rows.columns], _times(F.col(f"d.{at}"), F.col(f"d.{full}")).alias(times), F.coalesce(here, F.lit(False)).alias(split))
+    if not plan.where("split AND whole < most").limit(1).count():
+        return joined.drop(split)
+    return joined.where(~F.col(split)).drop(split).union(_numbered(joined.where(split).drop(split), source, times, plan))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, weight, target, repetitions, taken."""
     sized, plan = repetitions(docs, **options)
-    joined = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    times = _times(F.col("d.place"))
-    return joined.select(
-        "d.doc_id", "d.source", "d.size", "p.source_size", "p.weight", "p.target", times.alias("repetitions"), (times * F.col("d.size")).alias("taken")
-    )
+    each = _with_times(sized, plan, F.col("place"), F.col("size") > 0, "source", "repetitions").alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
+    return each.select("d.doc_id", "d.source", "d.size", "p.source_size", "p.weight", "p.target", "d.repetitions", (F.col("d.repetitions") * F.col("d.size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with their own columns and in no order."""
     _, plan = repetitions(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
-    keep = [F.col(f"d.`{c}`") for c in docs.columns]
-    place = _place(F.col(f"d.`{id_col}`"), F.col(f"d.`{text_col}`"), seed)
-    joined = docs.alias("d").join(plan.alias("p"), F.col(f"d.`{source_col}`").eqNullSafe(F.col("p.source")))
-    times = joined.select(*keep, _times(place).cast("int").alias("__times"))
-    return times.where("__times > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).drop("__times", "__copy")
+    mark = uuid.uuid4().hex
+    times, copy, source = f"times_{mark}", f"copy_{mark}", f"source_{mark}"
+    rows = docs.withColumn(source, F.col(f"`{source_col}`"))
+    rows = _with_times(rows, plan, _place(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), seed), words(F.col(f"`{text_col}`")) > 0, source, times)
+    repeated = rows.where(F.col(times) > 0).withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(times).cast("int"))))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = f"""
@@ -139,10 +172,9 @@ WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{W
  z AS (SELECT coalesce(sum(cap) FILTER (clamped), 0) AS used, coalesce(sum(w) FILTER (NOT clamped), 0) AS free, any_value(total) AS total FROM c),
  t AS (SELECT c.source, source_size, CASE WHEN clamped THEN CAST(cap AS DOUBLE) ELSE CAST(CAST(w * (z.total - z.used) AS BIGINT) AS DOUBLE) / CAST(z.free AS DOUBLE) END AS target, w FROM c, z),
  p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
- g AS (SELECT source, place, sum(size) AS size FROM d GROUP BY source, place),
- m AS (SELECT source, place, CAST(sum(size) OVER (PARTITION BY source ORDER BY place) AS DOUBLE) - CAST(size AS DOUBLE) / 2 AS middle FROM g)
-SELECT d.doc_id, d.source, d.size, p.source_size, CAST(p.w AS BIGINT) AS weight, p.target,
-       p.whole + CAST(m.middle <= greatest(p.target - p.whole * p.source_size, 0) AS BIGINT) AS repetitions,
-       (p.whole + CAST(m.middle <= greatest(p.target - p.whole * p.source_size, 0) AS BIGINT)) * d.size AS taken
-FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN m ON m.source IS NOT DISTINCT FROM d.source AND m.place = d.place
+ n AS (SELECT *, row_number() OVER (PARTITION BY source, place) AS number FROM d),
+ m AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY place, number ROWS UNBOUNDED PRECEDING) AS DOUBLE) - CAST(size AS DOUBLE) / 2 AS middle FROM n),
+ e AS (SELECT m.doc_id, m.source, m.size, p.source_size, CAST(p.w AS BIGINT) AS weight, p.target, least(p.whole + CAST(m.size > 0 AND m.middle <= greatest(p.target - p.whole * p.source_size, 0) AS BIGINT), {MAX_EPOCHS}) AS repetitions
+       FROM m JOIN p ON m.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, source, size, source_size, weight, target, repetitions, repetitions * size AS taken FROM e
 """

@@ -51,16 +51,6 @@ def test_jaccard_chain_against_brute_force(spark):
     assert got == {i: find(i) for i in sets}
 
 
-def test_bitmaps_never_rule_out_what_is_shared():
-    r = np.random.default_rng(5)
-    for n, m, both in ((0, 3, 0), (1, 1, 1), (70, 90, 60), (1000, 1000, 30), (1030, 1020, 900), (5000, 3800, 3700)):
-        pool = r.integers(0, 1 << 64, n + m, dtype=np.uint64)
-        a, b = np.unique(pool[:n]), np.unique(pool[n - both : n - both + m])
-        most = jaccard.most_common(jaccard.sketch(a), len(a), jaccard.sketch(b), len(b))
-        assert both <= most <= min(len(a), len(b))
-        assert most < 0.7 * n or both > 0.5 * n or n < 64
-
-
 def test_mixing(docs):
     rows = mixing.mix(docs).collect()
     assert len(rows) == docs.count() and all(r.taken <= 3 * r.size and r.target <= 3 * r.source_size for r in rows)
@@ -186,7 +176,7 @@ def test_quality_counts_against_brute_force(spark):
         for u, w in zip(["", *t.split()], t.split()):
             low = (before[w] - e[min(before[w], 3)]) / len(pairs) + unseen
             bits.append(-np.log2((pairs[u, w] - d[min(pairs[u, w], 3)] + left[u] * low) / total[u] if total[u] else low))
-        assert got[i] == pytest.approx(np.mean(bits) - quality.SPREAD / 30**0.5)
+        assert got[i] == pytest.approx(np.mean(bits))
 
 
 def test_neighbours(spark):
@@ -223,7 +213,7 @@ def test_neighbours_rounds_and_beam_follow_the_table(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BEAM", 10)
     x = np.random.default_rng(8).normal(size=(4000, 64))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    nodes = neighbours._nodes(neighbours._valid(df, "vec_id", "embedding"))[0]
+    nodes = neighbours._nodes(neighbours._valid(df, "vec_id", "embedding").drop("dim"))[0]
     nodes = nodes.persist()
     lists = {(r.node, r.other) for r in neighbours.build(nodes, 4000).collect()}
     nodes.unpersist()
