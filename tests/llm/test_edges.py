@@ -164,7 +164,11 @@ def test_language_against_naive_counts(spark):
     rows = [(i, t, lang, "s", 1) for i, (t, lang) in enumerate([("der Hund und die Katze", "de"), ("the dog and the cat", "en"), ("le chien et le chat", "fr")] * 30)]
     rows += [(900, "Katze the", "en", "s", 1), (901, "x" * 600_000 + " und die Katze", None, None, 1), (902, "?!", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n long")
-    grams = lambda t: [(f" {t.lower()} ")[i : i + o] for o in (1, 2, 3) for i in range(len(t) + 3 - o)]
+
+    def grams(t):
+        padded = f" {t.lower()} "
+        return [padded[i : i + o] for o in (1, 2, 3) for i in range(len(padded) + 1 - o)]
+
     seen, n = {}, Counter()
     for i, t, lang, *_ in rows:
         if zlib.crc32(str(i).encode()) % 5 and lang:
