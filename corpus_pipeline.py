@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cellatlas.llm import common, jaccard, mixing, quality, secrets, sentencepiece_codec
 
-
 #: Scratch tables behind the result of the stage before, which its reader has written by the time the next one begins.
 _left: set[str] = set()
 
@@ -53,7 +52,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 @_stage
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced by a mark."""
-    return secrets.redact(docs, secrets.train())
+    return secrets.redact(docs, secrets.train(), path_col="source")
 
 
 @_stage
