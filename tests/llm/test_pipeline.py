@@ -56,7 +56,7 @@ def test_run_against_brute_force(spark, monkeypatch):
     assert Counter(single) == Counter(r for r in good if r[0] in left)
 
     forest = secrets.train()
-    found = secrets.scan_texts(forest, [r[1] for r in single], [None] * len(single))
+    found = secrets.scan_texts(forest, [r[1] for r in single], [r[3] for r in single])
     assert Counter(clean) == Counter((r[0], secrets.redact_text(r[1], f), *r[2:]) for r, f in zip(single, found))
 
     con = duckdb.connect()
