@@ -1,48 +1,58 @@
 """Quality classifier: an interpolated modified Kneser-Ney bigram model of trusted text, joined by sharded counts.
 
 Trusted documents (label 1) outside the held-out fold train the model: the counts of all their words and word pairs, known
-by 64-bit hashes. A document's bits per word come from the counts of its pairs and words; words never met share what the
-lower order leaves them. Short texts vary more, so ``SPREAD``
-bits over the root of their length are taken off. Trusted documents of the held-out fold give each language its limit, the ``QUANTILE`` of
-their bits; documents above the limit of their language are rejected.
-
-Scale: texts are read once and never shuffled. Their words, numbered within a chunk and compressed, are kept in chunks of
-a bounded number of words. Each chunk asks for the counts of its distinct pairs and words only, packed by shard; model rows
-and requests of a shard meet in one streaming merge, and the answers meet the chunk in another, so a task holds one shard
-of the model and one chunk; shards grow in number with the words. Only sums of counts and one limit per language
-reach the driver. The ids of trusted documents are broadcast while there are at most ``MAX_BROADCAST`` of them and joined
-otherwise.
+by hashes of 16 bits more than the logarithm of the number of words, so that one lookup in 65,536 at most meets another
+word's counts, at any size. A document's bits per word come from the counts of its pairs and words; words never met share
+what the lower order leaves them; its perplexity is two to these bits. Short texts vary more, so they are allowed ``SPREAD``
+bits over the root of their length. Trusted documents of the held-out fold give each language its limit, a quantile of their
+bits less what their length allows; documents above the limit of their language are rejected. There is no lower limit: copies
+of what the model has learned from have few bits too.
+
+Scale: texts are read once and never shuffled. Their words, numbered by frequency within a chunk and compressed, are kept in
+chunks of a bounded number of words, bucketed by chunk. Each chunk asks for the counts of its distinct pairs and words only,
+packed by shard and in ``PASSES`` ranges one after the other; model rows and requests of a shard meet in one streaming pass,
+and the answers meet the chunk in a join that moves only answers, so a task holds one shard of the model and one chunk; shards grow in number with the words.
+Only sums of counts and one limit per language reach the driver. The ids of trusted documents are broadcast while
+they are measured to be small and joined otherwise.
 
 Edge cases: a null text, or one without words, has no bits and is kept. Contradictory labels of an id count as not
-trusted; a null id is never trusted. A null language is one of its own; a language with fewer than ``LEAST`` held-out
-trusted documents takes the limit of all together; without any, all is kept. Rows that repeat give a row each. An empty
-table gives an empty result. Other columns are ignored.
+trusted; a null id is never trusted. Ids of any type with a text form come out unchanged. A null language is one of its own; a
+language with fewer than ``LEAST`` held-out trusted documents takes the limit of all together; without any, all is kept, and
+without training documents there are no bits either. Rows that repeat give a row each. An empty table gives an empty
+result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import uuid
-import zlib
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, partitions, release, stored
+from .common import WORD, broadcast_if_small, bucketed, collect_garbage, held_out, partitions, release, small_batches, stored, trimmed
+from .hashing import TOGETHER, word_hashes
 
 START = np.uint64(0)
 CHUNK = 1 << 20
+#: Documents of a chunk at most.
+CHUNK_DOCS = 50_000
 #: Words of all texts for each shard.
 SHARD = 1 << 24
+#: Ranges of shards whose requests for pairs are made one after the other, so that only one range's are on disk.
+PASSES = 3
+#: Bits of a hash beyond the logarithm of the number of words.
+SPARE_BITS = 16
 QUANTILE = 0.995
-#: Bits, divided by the root of the number of words, that a short text may be above its limit: two standard errors.
+#: Bits, divided by the root of the number of words, that a short text may be beyond a limit: two standard errors.
 SPREAD = 12.0
 LEAST = 50
-MAX_BROADCAST = 2_000_000
 
 
 class Model(NamedTuple):
@@ -52,153 +62,190 @@ class Model(NamedTuple):
     unseen: float  # lower-order probability of a word never met
 
 
-class _Hashes(dict):
-    """Word to its 64-bit hash, filled as words are met."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        out = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") or 1
-        return out
+class Layout(NamedTuple):
+    bits: int  # of a key
+    shards: int
 
 
 def _trusted(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows with trust: 0 none, 1 trains, 2 sets the limits."""
     good = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
-    good = good.select(F.col("doc_id").alias("good"), F.when(held_out(F.col("doc_id")), 2).otherwise(1).alias("trust"))
-    few = good.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    joined = rows.join(F.broadcast(good) if few else good, rows["doc_id"] == good["good"], "left")
-    return joined.select("doc_id", "text", "lang", F.coalesce("trust", F.lit(0)).alias("trust"))
+    good = good.select(F.col("doc_id").cast("string").alias("good"), F.when(held_out(F.col("doc_id")), 2).otherwise(1).alias("trust"))
+    joined = rows.join(broadcast_if_small(good), rows["doc_id"] == good["good"], "left")
+    return joined.select("doc_id", "text", "lang", F.xxhash64("text").alias("h"), F.coalesce("trust", F.lit(0)).alias("trust"))
+
+
+def _packed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
-def _pack(a: np.ndarray) -> bytes:
-    return zlib.compress(a.tobytes(), 1)
+def _pack_planes(a: np.ndarray) -> bytes:
+    """Whole numbers byte by byte: the high bytes of small ones are zero."""
+    return _packed(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
 
 
-def _unpack(data: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), dtype=kind)
+def _unpack_planes(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(_unpacked(data), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted hashes: their differences byte by byte, the high bytes of which are mostly zero."""
-    return zlib.compress(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    """Differences of neighbours, which are small where the keys are sorted."""
+    return _pack_planes(np.diff(keys, prepend=np.uint64(0)))
 
 
 def _unpack_keys(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(_unpack_planes(data, np.uint64), dtype=np.uint64)
 
 
-def _chunks(rows: DataFrame, id_type: str) -> DataFrame:
-    schema = f"chunk string, doc_ids array<{id_type}>, langs array<string>, trust binary, sizes binary, words binary, tokens binary, n long"
+def _pack(values: np.ndarray) -> bytes:
+    """Rows of counts in the smallest type that holds them; the first byte is its size."""
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if values.size == 0 or values.max() <= np.iinfo(k).max)
+    return bytes((np.dtype(kind).itemsize,)) + _packed(values.astype(kind).tobytes())
+
+
+def _unpack(data: bytes, kinds: int) -> np.ndarray:
+    return np.frombuffer(_unpacked(data[1:]), dtype=f"u{data[0]}").reshape(kinds, -1).astype(np.int64)
+
+
+_CHUNK = "chunk string, doc_ids array<string>, langs array<string>, hs binary, trust binary, sizes binary, words binary, tokens binary, n long"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Hashes()
-        ids, langs, trust, sizes, tokens, n = [], [], [], [], [], 0
 
-        def chunk() -> pd.DataFrame:
-            own = [None if x is None or x != x else x for x in ids]
-            distinct, where = np.unique(np.concatenate(tokens), return_inverse=True)
-            row = [uuid.uuid4().hex, own, list(langs), np.array(trust, dtype=np.int8).tobytes(), np.array(sizes, dtype=np.int64).tobytes(), _pack(distinct), _pack(where.astype(np.uint32)), n]
-            return pd.DataFrame([row], columns=["chunk", "doc_ids", "langs", "trust", "sizes", "words", "tokens", "n"], dtype=object)
+def _chunks(rows: DataFrame) -> DataFrame:
+    def chunk(ids: list, langs: list, hs: list, trust: list, hashes: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, counts = np.concatenate(hashes), np.concatenate(sizes).astype(np.int64)
+        distinct, where, often = np.unique(tokens, return_inverse=True, return_counts=True)
+        order = np.lexsort((distinct, -often))
+        number = np.empty(len(order), dtype=np.uint32)
+        number[order] = np.arange(len(order), dtype=np.uint32)
+        row = [uuid.uuid4().hex[:20], ids, langs, np.array(hs, dtype=np.int64).tobytes(), np.array(trust, dtype=np.int8).tobytes(), counts.tobytes(), _pack_keys(distinct[order]), _pack_planes(number[where]), len(tokens)]
+        kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), *[pa.binary()] * 5, pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=[x.split()[0] for x in _CHUNK.split(", ")])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: tuple[list, ...] = ([], [], [], [], [], [])
+        n = 0
         for b in batches:
-            for i, t, lang, tr in zip(b["doc_id"].tolist(), b["text"], b["lang"], b["trust"]):
-                words = (t or "").split()
-                ids.append(i)
-                langs.append(lang)
-                trust.append(tr)
-                sizes.append(len(words))
-                tokens.append(np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words)))
-                n += len(words)
-                if n >= CHUNK or len(ids) >= 50_000:
-                    yield chunk()
-                    ids, langs, trust, sizes, tokens, n = [], [], [], [], [], 0
-        if ids:
-            yield chunk()
-
-    return rows.mapInPandas(run, schema)
-
-
-def _pairs(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word before each word, or the start of its document, and a hash of both."""
+            texts = [(t or "").encode() for t in b.column("text").to_pylist()]
+            rest = [b.column(c).to_pylist() for c in ("doc_id", "lang", "h", "trust")]
+            at = 0
+            while at < len(texts):
+                end, size = at, 0
+                while end < len(texts) and size < TOGETHER:
+                    size += len(texts[end])
+                    end += 1
+                hashes, counts = word_hashes(texts[at:end], lower=False)
+                for values, part in zip(own, rest):
+                    values.extend(part[at:end])
+                own[4].append(np.maximum(hashes, np.uint64(1)))
+                own[5].append(counts)
+                n += len(hashes)
+                at = end
+                if n >= CHUNK or len(own[0]) >= CHUNK_DOCS:
+                    yield chunk(*own)
+                    own, n = ([], [], [], [], [], []), 0
+        if own[0]:
+            yield chunk(*own)
+
+    return rows.mapInArrow(trimmed(run), _CHUNK)
+
+
+def _tokens(row: dict, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys of the distinct words, position of each token's word among them, number of tokens of each document)."""
+    words = _unpack_keys(row["words"]) >> np.uint64(64 - bits)
+    return words, _unpack_planes(row["tokens"], np.uint32), np.frombuffer(row["sizes"], dtype=np.int64)
+
+
+def _pairs(tokens: np.ndarray, sizes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each word, or the start of its document, and the key of both."""
     before = np.empty(len(tokens), dtype=np.uint64)
     before[1:] = tokens[:-1]
     starts = (np.cumsum(sizes) - sizes)[sizes > 0]
     before[starts] = START
     h = (before ^ (before >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + tokens * np.uint64(0xC2B2AE3D27D4EB4F)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return before, h ^ (h >> np.uint64(32))
+    return before, (h ^ (h >> np.uint64(32))) >> np.uint64(64 - bits)
 
 
-def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(shard, positions) of sorted distinct hashes."""
-    s = ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-    ends = np.searchsorted(s, np.arange(shards + 1, dtype=np.uint64))
-    for i in range(shards):
-        if ends[i] < ends[i + 1]:
-            yield i, np.arange(ends[i], ends[i + 1])
+def _by_shard(keys: np.ndarray, layout: Layout) -> Iterator[tuple[int, slice]]:
+    """(shard, where it is) in sorted distinct keys."""
+    edges = np.array([-(-(i << layout.bits) // layout.shards) for i in range(1, layout.shards)], dtype=np.uint64)
+    ends = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+    for i, (a, b) in enumerate(zip(ends, ends[1:])):
+        if a < b:
+            yield i, slice(a, b)
 
 
 def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and their sums of the rows of values."""
-    distinct, where = np.unique(keys, return_inverse=True)
-    out = np.zeros((len(values), len(distinct)), dtype=np.int64)
-    for i, row in enumerate(values):
-        np.add.at(out[i], where, row)
-    return distinct, out
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, dtype=np.int64)
+    return keys[first], np.add.reduceat(values[:, order], first, axis=1) if len(first) else values
 
 
 _MODEL = "shard int, keys binary, values binary"
 
 
-def _parted(keys: np.ndarray, values: np.ndarray, shards: int) -> pd.DataFrame:
-    rows = [(i, _pack_keys(keys[at]), _pack(values[:, at])) for i, at in _by_shard(keys, shards)]
+def _parted(keys: np.ndarray, values: np.ndarray, layout: Layout) -> pd.DataFrame:
+    rows = [(i, _pack_keys(keys[at]), _pack(values[:, at])) for i, at in _by_shard(keys, layout)]
     return pd.DataFrame(rows, columns=["shard", "keys", "values"])
 
 
-def _merged(parts: DataFrame, shards: int, kinds: int) -> DataFrame:
-    """One row for each shard, with the sums of ``kinds`` values for each key."""
+def _merged(parts: DataFrame, layout: Layout, kinds: int) -> DataFrame:
+    """One row for each shard, with the sums of ``kinds`` values for each key.
+
+    Parts wait until they are as many keys as the sum so far, so that a key is sorted a logarithmic number of times."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def total(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            return _summed(np.concatenate([k for k, _ in parts]), np.concatenate([v for _, v in parts], axis=1))
+
         for b in batches:
             for i, k, v in zip(b["shard"], b["keys"], b["values"]):
-                keys, values = _unpack_keys(k), _unpack(v, np.int64).reshape(kinds, -1)
-                if i in sums:
-                    keys, values = _summed(np.concatenate([sums[i][0], keys]), np.concatenate([sums[i][1], values], axis=1))
-                sums[i] = keys, values
-        for i, (keys, values) in sums.items():
+                own = waiting.setdefault(i, [])
+                own.append((_unpack_keys(k), _unpack(v, kinds)))
+                if len(own) > 1 and sum(len(x) for x, _ in own[1:]) >= len(own[0][0]):
+                    waiting[i] = [total(own)]
+        for i, own in waiting.items():
+            keys, values = total(own)
             yield pd.DataFrame({"shard": [i], "keys": [_pack_keys(keys)], "values": [_pack(values)]})
 
-    return parts.repartition(shards, "shard").mapInPandas(add, _MODEL)
+    return parts.repartition(layout.shards, "shard").mapInPandas(trimmed(add), _MODEL)
 
 
-def _counts(chunks: DataFrame, shards: int) -> DataFrame:
+def _counts(chunks: DataFrame, layout: Layout) -> DataFrame:
     """The pairs of the training documents with their counts, by shard."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for sizes, trust, words, tokens in zip(b["sizes"], b["trust"], b["words"], b["tokens"]):
-                n = np.frombuffer(sizes, dtype=np.int64)
-                use = np.frombuffer(trust, dtype=np.int8) == 1
-                w = _unpack(words, np.uint64)[_unpack(tokens, np.uint32)[np.repeat(use, n)]]
+            for row in b.to_dict("records"):
+                words, tokens, sizes = _tokens(row, layout.bits)
+                use = np.frombuffer(row["trust"], dtype=np.int8) == 1
+                w = words[tokens[np.repeat(use, sizes)]]
                 if len(w):
-                    keys, k = np.unique(_pairs(w, n[use])[1], return_counts=True)
-                    yield _parted(keys, k[None, :].astype(np.int64), shards)
+                    keys, k = np.unique(_pairs(w, sizes[use], layout.bits)[1], return_counts=True)
+                    yield _parted(keys, k[None, :].astype(np.int64), layout)
 
-    return _merged(chunks.select("trust", "sizes", "words", "tokens").mapInPandas(count, _MODEL), shards, 1)
+    return _merged(chunks.select("trust", "sizes", "words", "tokens").mapInPandas(trimmed(count), _MODEL), layout, 1)
 
 
 class _Chunk:
     """A chunk with the answers to it."""
 
-    def __init__(self, head: dict, got: list[tuple], shards: int):
-        self.head, self.shards, self.answered = head, shards, {(what, i): v for what, i, v in got}
-        self.sizes = np.frombuffer(head["sizes"], dtype=np.int64)
-        self.words = np.append(START, _unpack(head["words"], np.uint64))
-        tokens = self.words[1:][_unpack(head["tokens"], np.uint32)]
-        before, hashes = _pairs(tokens, self.sizes)
+    def __init__(self, row: dict, layout: Layout):
+        self.row, self.layout = row, layout
+        self.answered = {(a["what"], a["shard"]): a["values"] for a in row["answers"]}
+        distinct, tokens, self.sizes = _tokens(row, layout.bits)
+        self.words = np.unique(np.append(distinct, START))
+        tokens = distinct[tokens]
+        before, hashes = _pairs(tokens, self.sizes, layout.bits)
         pairs, first, self.where = np.unique(hashes, return_index=True, return_inverse=True)
         self.before, self.after = before[first], tokens[first]
         told = self._values("pairs", pairs, 1)[0]
@@ -206,8 +253,8 @@ class _Chunk:
 
     def _values(self, what: str, keys: np.ndarray, kinds: int) -> np.ndarray:
         out = np.zeros((kinds, len(keys)), dtype=np.int64)
-        for i, at in _by_shard(keys, self.shards):
-            out[:, at] = _unpack(self.answered[what, i], np.int64).reshape(kinds, -1)
+        for i, at in _by_shard(keys, self.layout):
+            out[:, at] = _unpack(self.answered[what, i], kinds)
         return out
 
     def of_words(self) -> tuple[np.ndarray, np.ndarray]:
@@ -216,40 +263,28 @@ class _Chunk:
         return stats[:, np.searchsorted(self.words, self.before)], stats[:, np.searchsorted(self.words, self.after)]
 
 
-def _met(batches: Iterator[pd.DataFrame], shards: int) -> Iterator[_Chunk]:
-    head, got = None, []
-    for b in batches:
-        for row in b.to_dict("records"):
-            if row["kind"] == 0:
-                if head is not None:
-                    yield _Chunk(head, got, shards)
-                head, got = row, []
-            else:
-                got.append((row["what"], row["shard"], row["values"]))
-    if head is not None:
-        yield _Chunk(head, got, shards)
+def _answered(chunks: DataFrame, answers: DataFrame) -> DataFrame:
+    """The chunks with all answers to each; the chunks stay where they are."""
+    own = answers.groupBy("chunk").agg(F.collect_list(F.struct("what", "shard", "values")).alias("answers"))
+    return chunks.join(own, "chunk")
 
 
-def _answered(chunks: DataFrame, answers: DataFrame, shards: int) -> DataFrame:
-    """A chunk comes first, then its answers."""
-    heads = chunks.withColumns({"kind": F.lit(0), "shard": F.lit(-1), "what": F.lit(None).cast("string"), "values": F.lit(None).cast("binary")})
-    both = heads.unionByName(answers.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    return both.repartition(shards, "chunk").sortWithinPartitions("chunk", "kind")
-
-
-def _words(chunks: DataFrame, answers: DataFrame, shards: int) -> DataFrame:
+def _words(chunks: DataFrame, answers: DataFrame, layout: Layout) -> DataFrame:
     """For each word, by shard: pairs that begin with it, its followers met once, twice, more often, and the words before it.
 
     Each pair counts in the one chunk that owns it, as only chunks know the words of a pair."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for c in _met(batches, shards):
-            n, u, w = c.counts[c.owned], c.before[c.owned], c.after[c.owned]
-            one, none = np.ones_like(n), np.zeros_like(n)
-            stats = np.stack([np.concatenate([x, y]) for x, y in ((n, none), (n == 1, none), (n == 2, none), (n > 2, none), (none, one))])
-            yield _parted(*_summed(np.concatenate([u, w]), stats), shards)
+        for b in batches:
+            for row in b.to_dict("records"):
+                c = _Chunk(row, layout)
+                n, u, w = c.counts[c.owned], c.before[c.owned], c.after[c.owned]
+                one, none = np.ones_like(n), np.zeros_like(n)
+                stats = np.stack([np.concatenate([x, y]) for x, y in ((n, none), (n == 1, none), (n == 2, none), (n > 2, none), (none, one))])
+                yield _parted(*_summed(np.concatenate([u, w]), stats), layout)
 
-    return _merged(_answered(chunks.select("chunk", "sizes", "words", "tokens"), answers, shards).mapInPandas(run, _MODEL), shards, 5)
+    met = _answered(chunks.select("chunk", "sizes", "words", "tokens"), answers)
+    return _merged(met.mapInPandas(trimmed(run), _MODEL), layout, 5)
 
 
 def _discounts(of: dict[int, int]) -> np.ndarray:
@@ -267,10 +302,10 @@ def _times(model: DataFrame, kind: int, kinds: int) -> dict[int, int]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for v in b["values"]:
-                n = _unpack(v, np.int64).reshape(kinds, -1)[kind]
+                n = _unpack(v, kinds)[kind]
                 yield pd.DataFrame({"i": range(-1, 6), "n": [int(n.sum()), *np.bincount(np.minimum(n, 5), minlength=6).tolist()]})
 
-    return dict(model.mapInPandas(run, "i int, n long").groupBy("i").agg(F.sum("n")).collect())
+    return dict(model.mapInPandas(trimmed(run), "i int, n long").groupBy("i").agg(F.sum("n")).collect())
 
 
 def _fit(counts: DataFrame, words: DataFrame) -> Model | None:
@@ -283,23 +318,24 @@ def _fit(counts: DataFrame, words: DataFrame) -> Model | None:
     return Model(_discounts(of), cut, before, left / before / (met + 1))
 
 
-def _requests(chunks: DataFrame, shards: int, what: str) -> DataFrame:
-    """(shard, chunk, keys): the distinct pairs or words of every chunk."""
+def _requests(chunks: DataFrame, layout: Layout, what: str, first: int, last: int) -> DataFrame:
+    """(shard, chunk, keys): the distinct pairs or words of every chunk, in the shards from ``first`` to before ``last``."""
+    low, high = (-(-(i << layout.bits) // layout.shards) for i in (first, last))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for chunk, sizes, words, tokens in zip(b["chunk"], b["sizes"], b["words"], b["tokens"]):
-                keys = np.append(START, _unpack(words, np.uint64))
-                if what == "pairs":
-                    keys = np.unique(_pairs(keys[1:][_unpack(tokens, np.uint32)], np.frombuffer(sizes, dtype=np.int64))[1])
-                rows = [(i, chunk, _pack_keys(keys[at])) for i, at in _by_shard(keys, shards)]
+            for row in b.to_dict("records"):
+                words, tokens, sizes = _tokens(row, layout.bits)
+                keys = _pairs(words[tokens], sizes, layout.bits)[1] if what == "pairs" else np.append(words, START)
+                keys = np.unique(keys[(keys >= np.uint64(low)) & (keys <= np.uint64(high - 1))])
+                rows = [(i, row["chunk"], _pack_keys(keys[at])) for i, at in _by_shard(keys, layout)]
                 yield pd.DataFrame(rows, columns=["shard", "chunk", "keys"], dtype=object)
 
-    return chunks.select("chunk", "sizes", "words", "tokens").mapInPandas(ask, "shard int, chunk string, keys binary")
+    return chunks.select("chunk", "sizes", "words", "tokens").mapInPandas(trimmed(ask), "shard int, chunk string, keys binary")
 
 
-def _answers(chunks: DataFrame, table: DataFrame, shards: int, what: str, kinds: int) -> DataFrame:
-    """(chunk, what, shard, values): in each shard the model's row comes first and the requests stream past it.
+def _answers(chunks: DataFrame, table: DataFrame, layout: Layout, what: str, kinds: int, shards: tuple[int, int] | None = None) -> DataFrame:
+    """(chunk, what, shard, values) for some of the shards, or all: in each shard the model's row comes first and the requests stream past it.
 
     Of a pair comes twice its count, and one more to the first chunk that asks: it owns the pair."""
 
@@ -309,7 +345,7 @@ def _answers(chunks: DataFrame, table: DataFrame, shards: int, what: str, kinds:
             rows = []
             for shard, kind, chunk, k, v in zip(b["shard"], b["kind"], b["chunk"], b["keys"], b["values"]):
                 if kind == 0:
-                    at, own, values = shard, _unpack_keys(k), _unpack(v, np.int64).reshape(kinds, -1)
+                    at, own, values = shard, _unpack_keys(k), _unpack(v, kinds)
                     values = 2 * values + 1 if what == "pairs" else values
                     continue
                 keys = _unpack_keys(k)
@@ -322,9 +358,10 @@ def _answers(chunks: DataFrame, table: DataFrame, shards: int, what: str, kinds:
                 rows.append((chunk, what, shard, _pack(found)))
             yield pd.DataFrame(rows, columns=["chunk", "what", "shard", "values"], dtype=object)
 
-    model = table.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("chunk"), "keys", "values")
-    both = model.union(_requests(chunks, shards, what).select("shard", F.lit(1), "chunk", "keys", F.lit(None).cast("binary")))
-    return both.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInPandas(answer, "chunk string, what string, shard int, values binary")
+    first, last = shards or (0, layout.shards)
+    model = table.where((F.col("shard") >= first) & (F.col("shard") < last)).select("shard", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("chunk"), "keys", "values")
+    both = model.union(_requests(chunks, layout, what, first, last).select("shard", F.lit(1), "chunk", "keys", F.lit(None).cast("binary")))
+    return both.repartition(layout.shards, "shard").sortWithinPartitions("shard", "kind").mapInPandas(trimmed(answer), "chunk string, what string, shard int, values binary")
 
 
 def _bits(model: Model, counts: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -337,56 +374,87 @@ def _bits(model: Model, counts: np.ndarray, before: np.ndarray, word: np.ndarray
     return -np.log2(np.where(before[0] > 0, high, lower))
 
 
-def _scores(chunks: DataFrame, answers: DataFrame, model: Model, shards: int, id_type: str) -> DataFrame:
-    """(doc_id, lang, trust, n_words, bits): a chunk's tokens come first, then its answers by shard."""
+def _scores(chunks: DataFrame, answers: DataFrame, model: Model, layout: Layout) -> DataFrame:
+    """(doc_id, lang, h, trust, n_words, bits) of every document of every chunk."""
     shared = chunks.sparkSession.sparkContext.broadcast(model)
-    schema = f"doc_id {id_type}, lang string, trust int, n_words long, bits double"
+    names = ["doc_id", "lang", "h", "trust", "n_words", "bits"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for c in _met(batches, shards):
-            sizes = c.sizes
-            each = _bits(m, c.counts, *c.of_words())[c.where]
-            ends = np.concatenate([[0.0], np.cumsum(each)])
-            stop = np.cumsum(sizes)
-            mean = (ends[stop] - ends[stop - sizes]) / np.maximum(sizes, 1)
-            bits = np.where(sizes > 0, mean - SPREAD / np.sqrt(np.maximum(sizes, 1)), np.nan)
-            out = pd.DataFrame({"doc_id": list(c.head["doc_ids"]), "lang": pd.Series(list(c.head["langs"]), dtype=object), "trust": np.frombuffer(c.head["trust"], dtype=np.int8).astype(np.int32), "n_words": sizes})
-            out["bits"] = [None if x != x else x for x in bits.tolist()]
-            yield out
-
-    return _answered(chunks.drop("n"), answers, shards).mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                c = _Chunk(row, layout)
+                ends = np.concatenate([[0.0], np.cumsum(_bits(shared.value, c.counts, *c.of_words())[c.where])])
+                stop = np.cumsum(c.sizes)
+                mean = (ends[stop] - ends[stop - c.sizes]) / np.maximum(c.sizes, 1)
+                trust = np.frombuffer(row["trust"], dtype=np.int8).astype(np.int32)
+                columns = [pa.array(row["doc_ids"], pa.string()), pa.array(row["langs"], pa.string()), pa.array(np.frombuffer(row["hs"], dtype=np.int64)), pa.array(trust), pa.array(c.sizes), pa.array(mean, mask=c.sizes == 0)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return _answered(chunks.drop("n"), answers).mapInArrow(trimmed(run), "doc_id string, lang string, h long, trust int, n_words long, bits double")
+
+
+def _limits(scores: DataFrame, quantile: float) -> DataFrame:
+    """The scores with ``limit``, that of each document's language, and ``allowance``."""
+    scores = scores.withColumn("allowance", F.lit(SPREAD) / F.sqrt("n_words"))
+    end = F.percentile_approx(F.col("bits") - F.col("allowance"), quantile, 10_000)
+    fair = scores.where("trust = 2 AND bits IS NOT NULL")
+    each = fair.groupBy(F.col("lang").alias("of")).agg(end.alias("own"), F.count(F.lit(1)).alias("fair")).where(f"fair >= {LEAST}")
+    joined = scores.join(each, F.col("lang").eqNullSafe(F.col("of")), "left")
+    return joined.withColumn("limit", F.coalesce("own", F.lit(fair.agg(end).first()[0]).cast("double")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
-    """(doc_id, lang, n_words, perplexity, bits, limit, kept) for every document; bits are those compared with limit."""
-    id_type = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = _trusted(rows, labels)
-    chunks = stored(_chunks(rows, id_type), "chunks")
-    shards = max(partitions(docs.sparkSession), (chunks.agg(F.sum("n")).first()[0] or 0) // SHARD)
-    counts = stored(_counts(chunks, shards), "counts")
-    told = stored(_answers(chunks, counts, shards, "pairs", 1), "told")
-    words = stored(_words(chunks, told, shards), "words")
-    model = _fit(counts, words)
+    """(doc_id, lang, n_words, perplexity, bits, allowance, limit, kept) for every document.
+
+    Kept are those with bits <= limit + allowance."""
+    found = _judged(docs, labels, id_col, text_col, lang_col, quantile)
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType)).drop("h")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float) -> DataFrame:
+    """The rows of :func:`classify`, ids as strings, with ``h``, a hash of the text."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(f"`{id_col}`").cast("string").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
+    with small_batches(spark):
+        chunks = bucketed(_chunks(_trusted(rows, labels)).repartition(partitions(spark), "chunk"), "chunks", "chunk", partitions(spark))
+    collect_garbage(spark)
+    n = chunks.agg(F.sum("n")).first()[0] or 0
+    layout = Layout(min(64, n.bit_length() + SPARE_BITS), max(partitions(spark), n // SHARD))
+    with small_batches(spark, 4):
+        counts = stored(_counts(chunks, layout), "counts")
+        collect_garbage(spark)
+        model = None
+        if counts.limit(1).count():
+            parts = []
+            for i in range(PASSES):
+                span = (i * layout.shards // PASSES, (i + 1) * layout.shards // PASSES)
+                parts.append(stored(_answers(chunks, counts, layout, "pairs", 1, span), "told"))
+                collect_garbage(spark)
+            told = reduce(DataFrame.union, parts)
+            words = stored(_words(chunks, told, layout), "words")
+            collect_garbage(spark)
+            model = _fit(counts, words)
+            answers = stored(told.union(_answers(chunks, words, layout, "words", 5)), "answers")
+            collect_garbage(spark)
+            release(counts, words, *parts)
+            scores = stored(_scores(chunks, answers, model, layout), "scores")
+            release(answers)
+            collect_garbage(spark)
     if model is None:
-        nothing = F.lit(None).cast("double")
-        return rows.select("doc_id", "lang", F.lit(None).cast("long").alias("n_words"), nothing.alias("perplexity"), nothing.alias("bits"), nothing.alias("limit"), F.lit(True).alias("kept"))
-    release(counts)
-    answers = told.union(_answers(chunks, words, shards, "words", 5))
-    scores = stored(_scores(chunks, answers, model, shards, id_type), "scores")
-    release(chunks, told, words)
-    fair = scores.where("trust = 2 AND bits IS NOT NULL")
-    accuracy = 10_000
-    limits = fair.groupBy("lang").agg(F.percentile_approx("bits", quantile, accuracy).alias("own"), F.count(F.lit(1)).alias("n")).where(f"n >= {LEAST}")
-    overall = fair.agg(F.percentile_approx("bits", quantile, accuracy)).first()[0]
-    joined = scores.join(limits.select(F.col("lang").alias("l"), "own"), F.col("lang").eqNullSafe(F.col("l")), "left")
-    joined = joined.withColumn("limit", F.coalesce("own", F.lit(overall).cast("double")))
-    return joined.select("doc_id", "lang", "n_words", F.pow(F.lit(2.0), "bits").alias("perplexity"), "bits", "limit", F.coalesce(F.col("bits") <= F.col("limit"), F.lit(True)).alias("kept"))
-
-
-def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps; a row goes if its id was rejected. Rows with a null id stay."""
-    found = classify(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col, **options)
-    gone = found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+        size = F.when(F.col("text").isNotNull(), F.regexp_count("text", F.lit(WORD))).otherwise(0).cast("long")
+        scores = rows.select("doc_id", "lang", F.xxhash64("text").alias("h"), F.lit(0).alias("trust"), size.alias("n_words"), F.lit(None).cast("double").alias("bits"))
+        release(counts)
+    release(chunks)
+    joined = _limits(scores, quantile)
+    kept = F.coalesce(F.col("bits") - F.col("allowance") <= F.col("limit"), F.lit(True))
+    return joined.select("doc_id", "h", "lang", "n_words", F.pow(F.lit(2.0), "bits").alias("perplexity"), "bits", "allowance", "limit", kept.alias("kept"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, each judged by its own text and language, with columns of any name."""
+    mark = uuid.uuid4().hex
+    rejected = _judged(docs, labels, id_col, text_col, lang_col, quantile).where("NOT kept").select("doc_id", "h", "lang").distinct()
+    gone = rejected.toDF(f"i_{mark}", f"h_{mark}", f"l_{mark}")
+    own = (F.col(f"`{id_col}`").cast("string"), F.xxhash64(F.col(f"`{text_col}`")), F.col(f"`{lang_col}`").cast("string"))
+    alike = [a.eqNullSafe(gone[b]) for a, b in zip(own, gone.columns)]
+    return docs.join(gone, alike[0] & alike[1] & alike[2], "left_anti")
