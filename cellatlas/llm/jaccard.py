@@ -13,8 +13,9 @@ The work does not grow with the square of a family of near copies, and nothing i
   so that a group is linked within itself and the similarity of each member to the group's key is known.
 * Then come rounds in which every group is compared with one other, of another component: the one that most of its lists
   propose, where a list proposes a group of the component that it holds most of (to this component itself, one that it holds
-  least of). Components merge between rounds, and lists that hold one component only drop out. The rounds end when under
-  ``SETTLED`` of the comparisons find a link.
+  least of). Components merge between rounds, and lists that hold one component only drop out. After ``ALL_LISTS`` rounds only
+  lists of ``LONG`` groups or more go on, as only they could make many pairs. The rounds end when few of the comparisons
+  (``SETTLED``, ``SETTLED_LONG``) find a link.
 * The last round compares all pairs of groups that are left: those that share a list, can be similar by size and position,
   and are in different components still. It has no limit, so the components are exact. Pairs of members beyond the
   groups' keys follow only where the triangle inequality of the Jaccard distance leaves room: d(x, y) >= d(p, q) - d(x, p) -
@@ -61,10 +62,14 @@ SIMILARITY = (75, 100)
 COUNT_BITS, SLICES = 20, 64
 #: Bits of the Bloom filter of texts that are compared, as a power of two: 16 for each at least, and these at most.
 MAX_BLOOM_BITS = 27
+#: Tokens before a shared one that tell whether a pair has met already.
+RECENT = 8
 #: Comparisons with one key that are made in one task.
 SPLIT = 1024
 #: The rounds of single comparisons end when a smaller share of them finds a link.
 SETTLED = 0.05
+#: After so many rounds only lists of so many groups go on, until a smaller share finds a link; the last round has all lists.
+ALL_LISTS, LONG, SETTLED_LONG = 2, 16, 0.005
 _FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)) for i in range(16)]
 
 
@@ -343,17 +348,31 @@ def _links(found: DataFrame) -> DataFrame:
     return found.where(_similar(F.col("common"), F.col("n"), F.col("m"))).select(F.col("comp").alias("a"), F.col("comp2").alias("b"))
 
 
+def _with_recent(lists: DataFrame) -> DataFrame:
+    """``lists`` with the ``RECENT`` tokens that come before each in its group, in the global order."""
+    own = lists.groupBy("grp", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("left", "token")), asc=False).alias("own"))
+    own = own.select("grp", "n", "comp", "own.token", F.posexplode("own").alias("at", "t"))
+    start = F.greatest(F.col("at") + 1 - RECENT, F.lit(1))
+    return own.select(F.col("t.token").alias("token"), "grp", "n", F.col("t.left").alias("left"), "comp", F.slice("token", start, F.col("at") + 1 - start).alias("recent"))
+
+
 def _met(lists: DataFrame, tested: list[DataFrame]) -> DataFrame:
-    """All pairs (x, p, n, m, comp, comp2) of groups of different components that can be similar and have not been compared."""
-    live = lists.join(_ends(lists, 0).select("token"), "token", "left_semi")
-    other = live.toDF("t2", "p", "m", "left2", "comp2")
+    """All pairs (x, p, n, m, comp, comp2) of groups of different components that can be similar and have not been compared.
+
+    In each list, the groups outside its largest component meet all others. A pair is made where it first shares a token;
+    of the lists that it shares later, those whose ``RECENT`` tokens before show this do not make it again."""
+    most = _ends(lists, 0).select("token", F.col("most.comp").alias("top"))
+    live = stored(_with_recent(lists.join(most.select("token"), "token", "left_semi")), "live")
+    others = live.join(most, "token").where(F.col("comp") != F.col("top")).select(F.col("token").alias("t2"), F.col("grp").alias("p"), F.col("n").alias("m"), F.col("left").alias("left2"), F.col("comp").alias("comp2"), F.col("recent").alias("recent2"), "top")
     able = _fits(F.col("n"), F.col("m")) & _reaches(F.col("left"), F.col("left2"), F.col("n"), F.col("m"))
-    met = live.join(other, (F.col("token") == F.col("t2")) & (F.col("grp") < F.col("p")) & (F.col("comp") != F.col("comp2")) & able)
-    pairs = met.select(F.col("grp").alias("x"), "p", "n", "m", "comp", "comp2").distinct()
-    if tested:
-        before = reduce(DataFrame.union, [t.select(F.least("x", "p").alias("u"), F.greatest("x", "p").alias("v")) for t in tested])
-        pairs = pairs.join(before, (F.col("x") == F.col("u")) & (F.col("p") == F.col("v")), "left_anti")
-    return pairs
+    once = (F.col("comp") == F.col("top")) | (F.col("grp") < F.col("p"))
+    met = live.join(others, (F.col("token") == F.col("t2")) & (F.col("comp") != F.col("comp2")) & once & able & ~F.arrays_overlap("recent", "recent2"))
+    swap = F.col("grp") > F.col("p")
+    pairs = met.select(*[F.when(swap, F.col(b)).otherwise(F.col(a)).alias(c) for a, b, c in (("grp", "p", "x"), ("p", "grp", "p"), ("n", "m", "n"), ("m", "n", "m"), ("comp", "comp2", "comp"), ("comp2", "comp", "comp2"))]).distinct()
+    before = reduce(DataFrame.union, [t.select(F.least("x", "p").alias("u"), F.greatest("x", "p").alias("v")) for t in tested])
+    out = stored(pairs.join(before, (F.col("x") == F.col("u")) & (F.col("p") == F.col("v")), "left_anti"), "pairs")
+    release(live)
+    return out
 
 
 def _expanded(tested: list[DataFrame], merged: DataFrame, members: DataFrame) -> DataFrame:
@@ -375,34 +394,53 @@ def _expanded(tested: list[DataFrame], merged: DataFrame, members: DataFrame) ->
 def _group_components(members: DataFrame, lists: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, label) of the groups that are linked with others."""
     spark, tested, seed = lists.sparkSession, [], 0
-    links = []
+    links, aside = [], []
     while True:
         seed += 1
         live, pairs = _proposed(lists, seed)
         found = stored(_compared(pairs, texts), "compared")
         made = stored(_links(found).distinct(), "links")
-        merged = components(made)
         tested.append(found)
         links.append(made)
         n_pairs, n_links = found.agg(F.count(F.lit(1)), F.count(F.when(_similar(F.col("common"), F.col("n"), F.col("m")), 1))).first()
+        going = n_links > (SETTLED_LONG if aside else SETTLED) * n_pairs or (seed <= ALL_LISTS and n_links > 0)
+        # Between rounds one step of joining will do; before the last one, components must be whole.
+        merged = components(made, most=1) if going else components(reduce(DataFrame.union, links))
         release(lists, pairs)
-        lists = stored(_renamed(live.select("token", "grp", "n", "left", "comp"), merged), "lists")
-        release(live, merged)
+        kept = live.select("token", "grp", "n", "left", "comp")
+        lists = stored(_renamed(reduce(DataFrame.union, [kept, *aside]) if not going else kept, merged), "lists")
+        release(live)
         collect_garbage(spark)
-        if n_links <= SETTLED * n_pairs:
+        if not going:
             break
-    rest = stored(_met(lists, tested), "pairs")
-    found = stored(_compared(rest, texts), "compared")
-    tested.append(found)
-    links.append(_links(found))
-    all_links = stored(reduce(DataFrame.union, links).distinct(), "links")
-    merged = components(all_links)
-    inside = stored(_expanded(tested, merged, members), "pairs")
-    more = stored(_compared(inside, texts), "compared")
-    out = components(all_links.union(_links(more)))
-    release(lists, rest, all_links, merged, inside, more, *tested, *links[:-1])
+        release(merged)
+        if seed == ALL_LISTS:
+            long = stored(lists.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") >= LONG).select("token"), "long")
+            aside = [stored(lists.join(long, "token", "left_anti"), "lists")]
+            going_on = stored(lists.join(long, "token", "left_semi"), "lists")
+            release(lists, long)
+            lists = going_on
+    rest = _met(lists, tested)
+    used = [lists, rest, *aside]
+    if rest.limit(1).count():
+        found = stored(_compared(rest, texts), "compared")
+        made = stored(_links(found).distinct(), "links")
+        tested.append(found)
+        links.append(made)
+        if made.limit(1).count():
+            release(merged)
+            merged = components(reduce(DataFrame.union, links))
+    if members.where("key <> grp").limit(1).count():
+        inside = stored(_expanded(tested, merged, members), "pairs")
+        used.append(inside)
+        if inside.limit(1).count():
+            more = stored(_compared(inside, texts), "compared")
+            used.append(more)
+            release(merged)
+            merged = components(reduce(DataFrame.union, links).union(_links(more)))
+    release(*used, *tested, *links)
     collect_garbage(spark)
-    return out
+    return merged
 
 
 def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
