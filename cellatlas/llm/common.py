@@ -42,7 +42,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cellatlas-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
+    with _moved_once(spark):
+        df.write.parquet(path)
     _scratch[path] = None
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch_path = path
@@ -52,16 +53,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """Like :func:`stored`, dealt into buckets by ``key``: joins on it do not move these rows again.
 
-    The rows should be dealt by the key already, or else every task writes a file for every bucket."""
+    The rows should be dealt by the key already, or be few to a task: every task writes a file for each bucket that it has rows of."""
     spark, mark = df.sparkSession, uuid.uuid4().hex
     path, table_name = f"{shared_dir(spark)}/cellatlas-{mark}-{name}", f"cellatlas_{mark}"
-    df.write.option("path", path).bucketBy(buckets, key).saveAsTable(table_name)
+    with _moved_once(spark):
+        df.write.option("path", path).bucketBy(buckets, key).saveAsTable(table_name)
     _scratch[path] = table_name
     back = spark.table(table_name)
     back._scratch_path = path
     return back
 
 
+@contextmanager
+def _moved_once(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of a write as soon as it ends, and not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, True)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def release(*frames: DataFrame) -> None:
     """Deletes the files behind frames made by :func:`stored` once nothing reads them any more."""
     for df in frames:

@@ -9,11 +9,13 @@ bits less what their length allows; documents above the limit of their language
 of what the model has learned from have few bits too.
 
 Scale: texts are read once and never shuffled. Their words, numbered by frequency within a chunk and compressed, are kept in
-chunks of a bounded number of words, bucketed by chunk. Each chunk asks for the counts of its distinct pairs and words only,
+chunks of a bounded number of words, bucketed by chunk where they are made: a chunk lies in one bucket. Which documents of a
+chunk are trusted is joined by ids alone. Each chunk asks for the counts of its distinct pairs and words only,
 packed by shard and in ``PASSES`` ranges one after the other; model rows and requests of a shard meet in one streaming pass,
 and the answers meet the chunk in a join that moves only answers, so a task holds one shard of the model and one chunk; shards grow in number with the words.
-Only sums of counts and one limit per language reach the driver. The ids of trusted documents are broadcast while
-they are measured to be small and joined otherwise.
+The documents are scored in ``PASSES`` parts of the chunks, so that only one part's answers are moved at a time.
+Only sums of counts and one limit per language reach the driver. The ids of trusted documents and those of rejected ones are
+broadcast while they are measured to be small and joined otherwise.
 
 Edge cases: a null text, or one without words, has no bits and is kept. Contradictory labels of an id count as not
 trusted; a null id is never trusted. Ids of any type with a text form come out unchanged. A null language is one of its own; a
@@ -45,7 +47,9 @@ CHUNK = 1 << 20
 CHUNK_DOCS = 50_000
 #: Words of all texts for each shard.
 SHARD = 1 << 24
-#: Ranges of shards whose requests for pairs are made one after the other, so that only one range's are on disk.
+#: Shards at least, where there are as many partitions; each chunk has a row for each of them, so more would only be smaller.
+SHARDS = 64
+#: Ranges of shards, and parts of the chunks, that are dealt with one after the other, so that only one's rows are on disk.
 PASSES = 3
 #: Bits of a hash beyond the logarithm of the number of words.
 SPARE_BITS = 16
@@ -67,12 +71,21 @@ class Layout(NamedTuple):
     shards: int
 
 
-def _trusted(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows with trust: 0 none, 1 trains, 2 sets the limits."""
+def _trust(chunks: DataFrame, labels: DataFrame) -> DataFrame:
+    """(chunk, trust) of the chunks with labelled documents: arrays of (at, trust), with trust 1 for training and 2 for the limits.
+
+    All documents that are not named have trust 0."""
     good = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
     good = good.select(F.col("doc_id").cast("string").alias("good"), F.when(held_out(F.col("doc_id")), 2).otherwise(1).alias("trust"))
-    joined = rows.join(broadcast_if_small(good), rows["doc_id"] == good["good"], "left")
-    return joined.select("doc_id", "text", "lang", F.xxhash64("text").alias("h"), F.coalesce("trust", F.lit(0)).alias("trust"))
+    ids = chunks.select("chunk", F.posexplode("doc_ids").alias("at", "doc_id"))
+    return ids.join(broadcast_if_small(good), F.col("doc_id") == F.col("good")).groupBy("chunk").agg(F.collect_list(F.struct("at", "trust")).alias("trust"))
+
+
+def _trust_of(row: dict, documents: int) -> np.ndarray:
+    out = np.zeros(documents, dtype=np.int8)
+    for x in row["trust"] if row["trust"] is not None else ():
+        out[x["at"]] = x["trust"]
+    return out
 
 
 def _packed(data: bytes) -> bytes:
@@ -112,26 +125,26 @@ def _unpack(data: bytes, kinds: int) -> np.ndarray:
     return np.frombuffer(_unpacked(data[1:]), dtype=f"u{data[0]}").reshape(kinds, -1).astype(np.int64)
 
 
-_CHUNK = "chunk string, doc_ids array<string>, langs array<string>, hs binary, trust binary, sizes binary, words binary, tokens binary, n long"
+_CHUNK = "chunk string, doc_ids array<string>, langs array<string>, hs binary, sizes binary, words binary, tokens binary, n long"
 
 
 def _chunks(rows: DataFrame) -> DataFrame:
-    def chunk(ids: list, langs: list, hs: list, trust: list, hashes: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+    def chunk(ids: list, langs: list, hs: list, hashes: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
         tokens, counts = np.concatenate(hashes), np.concatenate(sizes).astype(np.int64)
         distinct, where, often = np.unique(tokens, return_inverse=True, return_counts=True)
         order = np.lexsort((distinct, -often))
         number = np.empty(len(order), dtype=np.uint32)
         number[order] = np.arange(len(order), dtype=np.uint32)
-        row = [uuid.uuid4().hex[:20], ids, langs, np.array(hs, dtype=np.int64).tobytes(), np.array(trust, dtype=np.int8).tobytes(), counts.tobytes(), _pack_keys(distinct[order]), _pack_planes(number[where]), len(tokens)]
-        kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), *[pa.binary()] * 5, pa.int64()]
+        row = [uuid.uuid4().hex[:20], ids, langs, np.array(hs, dtype=np.int64).tobytes(), counts.tobytes(), _pack_keys(distinct[order]), _pack_planes(number[where]), len(tokens)]
+        kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), *[pa.binary()] * 4, pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=[x.split()[0] for x in _CHUNK.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: tuple[list, ...] = ([], [], [], [], [], [])
+        own: tuple[list, ...] = ([], [], [], [], [])
         n = 0
         for b in batches:
             texts = [(t or "").encode() for t in b.column("text").to_pylist()]
-            rest = [b.column(c).to_pylist() for c in ("doc_id", "lang", "h", "trust")]
+            rest = [b.column(c).to_pylist() for c in ("doc_id", "lang", "h")]
             at = 0
             while at < len(texts):
                 end, size = at, 0
@@ -141,23 +154,26 @@ def _chunks(rows: DataFrame) -> DataFrame:
                 hashes, counts = word_hashes(texts[at:end], lower=False)
                 for values, part in zip(own, rest):
                     values.extend(part[at:end])
-                own[4].append(np.maximum(hashes, np.uint64(1)))
-                own[5].append(counts)
+                own[3].append(np.maximum(hashes, np.uint64(1)))
+                own[4].append(counts)
                 n += len(hashes)
                 at = end
                 if n >= CHUNK or len(own[0]) >= CHUNK_DOCS:
                     yield chunk(*own)
-                    own, n = ([], [], [], [], [], []), 0
+                    own, n = ([], [], [], [], []), 0
         if own[0]:
             yield chunk(*own)
 
     return rows.mapInArrow(trimmed(run), _CHUNK)
 
 
+def _words_of(row: dict, bits: int) -> np.ndarray:
+    return _unpack_keys(row["words"]) >> np.uint64(64 - bits)
+
+
 def _tokens(row: dict, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys of the distinct words, position of each token's word among them, number of tokens of each document)."""
-    words = _unpack_keys(row["words"]) >> np.uint64(64 - bits)
-    return words, _unpack_planes(row["tokens"], np.uint32), np.frombuffer(row["sizes"], dtype=np.int64)
+    return _words_of(row, bits), _unpack_planes(row["tokens"], np.uint32), np.frombuffer(row["sizes"], dtype=np.int64)
 
 
 def _pairs(tokens: np.ndarray, sizes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,20 +236,21 @@ def _merged(parts: DataFrame, layout: Layout, kinds: int) -> DataFrame:
     return parts.repartition(layout.shards, "shard").mapInPandas(trimmed(add), _MODEL)
 
 
-def _counts(chunks: DataFrame, layout: Layout) -> DataFrame:
+def _counts(chunks: DataFrame, trust: DataFrame, layout: Layout) -> DataFrame:
     """The pairs of the training documents with their counts, by shard."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.to_dict("records"):
                 words, tokens, sizes = _tokens(row, layout.bits)
-                use = np.frombuffer(row["trust"], dtype=np.int8) == 1
+                use = _trust_of(row, len(sizes)) == 1
                 w = words[tokens[np.repeat(use, sizes)]]
                 if len(w):
                     keys, k = np.unique(_pairs(w, sizes[use], layout.bits)[1], return_counts=True)
                     yield _parted(keys, k[None, :].astype(np.int64), layout)
 
-    return _merged(chunks.select("trust", "sizes", "words", "tokens").mapInPandas(trimmed(count), _MODEL), layout, 1)
+    known = chunks.select("chunk", "sizes", "words", "tokens").join(trust, "chunk").select("trust", "sizes", "words", "tokens")
+    return _merged(known.mapInPandas(trimmed(count), _MODEL), layout, 1)
 
 
 class _Chunk:
@@ -325,17 +342,21 @@ def _requests(chunks: DataFrame, layout: Layout, what: str, first: int, last: in
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.to_dict("records"):
-                words, tokens, sizes = _tokens(row, layout.bits)
-                keys = _pairs(words[tokens], sizes, layout.bits)[1] if what == "pairs" else np.append(words, START)
+                if what == "pairs":
+                    words, tokens, sizes = _tokens(row, layout.bits)
+                    keys = _pairs(words[tokens], sizes, layout.bits)[1]
+                else:
+                    keys = np.append(_words_of(row, layout.bits), START)
                 keys = np.unique(keys[(keys >= np.uint64(low)) & (keys <= np.uint64(high - 1))])
                 rows = [(i, row["chunk"], _pack_keys(keys[at])) for i, at in _by_shard(keys, layout)]
                 yield pd.DataFrame(rows, columns=["shard", "chunk", "keys"], dtype=object)
 
-    return chunks.select("chunk", "sizes", "words", "tokens").mapInPandas(trimmed(ask), "shard int, chunk string, keys binary")
+    columns = ("chunk", "sizes", "words", "tokens") if what == "pairs" else ("chunk", "words")
+    return chunks.select(*columns).mapInPandas(trimmed(ask), "shard int, chunk string, keys binary")
 
 
-def _answers(chunks: DataFrame, table: DataFrame, layout: Layout, what: str, kinds: int, shards: tuple[int, int] | None = None) -> DataFrame:
-    """(chunk, what, shard, values) for some of the shards, or all: in each shard the model's row comes first and the requests stream past it.
+def _answers(chunks: DataFrame, table: DataFrame, layout: Layout, what: str, kinds: int, shards: tuple[int, int]) -> DataFrame:
+    """(chunk, what, shard, values) for some of the shards: in each shard the model's row comes first and the requests stream past it.
 
     Of a pair comes twice its count, and one more to the first chunk that asks: it owns the pair."""
 
@@ -358,7 +379,7 @@ def _answers(chunks: DataFrame, table: DataFrame, layout: Layout, what: str, kin
                 rows.append((chunk, what, shard, _pack(found)))
             yield pd.DataFrame(rows, columns=["chunk", "what", "shard", "values"], dtype=object)
 
-    first, last = shards or (0, layout.shards)
+    first, last = shards
     model = table.where((F.col("shard") >= first) & (F.col("shard") < last)).select("shard", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("chunk"), "keys", "values")
     both = model.union(_requests(chunks, layout, what, first, last).select("shard", F.lit(1), "chunk", "keys", F.lit(None).cast("binary")))
     return both.repartition(layout.shards, "shard").sortWithinPartitions("shard", "kind").mapInPandas(trimmed(answer), "chunk string, what string, shard int, values binary")
@@ -374,8 +395,8 @@ def _bits(model: Model, counts: np.ndarray, before: np.ndarray, word: np.ndarray
     return -np.log2(np.where(before[0] > 0, high, lower))
 
 
-def _scores(chunks: DataFrame, answers: DataFrame, model: Model, layout: Layout) -> DataFrame:
-    """(doc_id, lang, h, trust, n_words, bits) of every document of every chunk."""
+def _scores(chunks: DataFrame, trust: DataFrame, answers: DataFrame, model: Model, layout: Layout, part: int) -> DataFrame:
+    """(doc_id, lang, h, trust, n_words, bits) of every document of every chunk of one of ``PASSES`` parts."""
     shared = chunks.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", "lang", "h", "trust", "n_words", "bits"]
 
@@ -386,11 +407,13 @@ def _scores(chunks: DataFrame, answers: DataFrame, model: Model, layout: Layout)
                 ends = np.concatenate([[0.0], np.cumsum(_bits(shared.value, c.counts, *c.of_words())[c.where])])
                 stop = np.cumsum(c.sizes)
                 mean = (ends[stop] - ends[stop - c.sizes]) / np.maximum(c.sizes, 1)
-                trust = np.frombuffer(row["trust"], dtype=np.int8).astype(np.int32)
+                trust = _trust_of(row, len(c.sizes)).astype(np.int32)
                 columns = [pa.array(row["doc_ids"], pa.string()), pa.array(row["langs"], pa.string()), pa.array(np.frombuffer(row["hs"], dtype=np.int64)), pa.array(trust), pa.array(c.sizes), pa.array(mean, mask=c.sizes == 0)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return _answered(chunks.drop("n"), answers).mapInArrow(trimmed(run), "doc_id string, lang string, h long, trust int, n_words long, bits double")
+    own = F.pmod(F.xxhash64("chunk"), F.lit(PASSES)) == part
+    known = _answered(chunks.drop("n").where(own), answers.where(own)).join(trust.where(own), "chunk", "left")
+    return known.mapInArrow(trimmed(run), "doc_id string, lang string, h long, trust int, n_words long, bits double")
 
 
 def _limits(scores: DataFrame, quantile: float) -> DataFrame:
@@ -416,35 +439,39 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("string").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     with small_batches(spark):
-        chunks = bucketed(_chunks(_trusted(rows, labels)).repartition(partitions(spark), "chunk"), "chunks", "chunk", partitions(spark))
-    collect_garbage(spark)
+        chunks = bucketed(_chunks(rows.withColumn("h", F.xxhash64("text"))), "chunks", "chunk", partitions(spark))
+    trust = stored(_trust(chunks, labels), "trust")
     n = chunks.agg(F.sum("n")).first()[0] or 0
-    layout = Layout(min(64, n.bit_length() + SPARE_BITS), max(partitions(spark), n // SHARD))
+    layout = Layout(min(64, n.bit_length() + SPARE_BITS), max(min(partitions(spark), SHARDS), n // SHARD))
+    spans = [(i * layout.shards // PASSES, (i + 1) * layout.shards // PASSES) for i in range(PASSES)]
     with small_batches(spark, 4):
-        counts = stored(_counts(chunks, layout), "counts")
+        counts = stored(_counts(chunks, trust, layout), "counts")
         collect_garbage(spark)
         model = None
         if counts.limit(1).count():
-            parts = []
-            for i in range(PASSES):
-                span = (i * layout.shards // PASSES, (i + 1) * layout.shards // PASSES)
-                parts.append(stored(_answers(chunks, counts, layout, "pairs", 1, span), "told"))
+            told = []
+            for span in spans:
+                told.append(stored(_answers(chunks, counts, layout, "pairs", 1, span), "told"))
                 collect_garbage(spark)
-            told = reduce(DataFrame.union, parts)
-            words = stored(_words(chunks, told, layout), "words")
+            words = stored(_words(chunks, reduce(DataFrame.union, told), layout), "words")
             collect_garbage(spark)
             model = _fit(counts, words)
-            answers = stored(told.union(_answers(chunks, words, layout, "words", 5)), "answers")
-            collect_garbage(spark)
-            release(counts, words, *parts)
-            scores = stored(_scores(chunks, answers, model, layout), "scores")
-            release(answers)
-            collect_garbage(spark)
+            release(counts)
+            for span in spans:
+                told.append(stored(_answers(chunks, words, layout, "words", 5, span), "told"))
+                collect_garbage(spark)
+            release(words)
+            answers, parts = reduce(DataFrame.union, told), []
+            for i in range(PASSES):
+                parts.append(stored(_scores(chunks, trust, answers, model, layout, i), "scores"))
+                collect_garbage(spark)
+            scores = reduce(DataFrame.union, parts)
+            release(*told)
     if model is None:
         size = F.when(F.col("text").isNotNull(), F.regexp_count("text", F.lit(WORD))).otherwise(0).cast("long")
         scores = rows.select("doc_id", "lang", F.xxhash64("text").alias("h"), F.lit(0).alias("trust"), size.alias("n_words"), F.lit(None).cast("double").alias("bits"))
         release(counts)
-    release(chunks)
+    release(chunks, trust)
     joined = _limits(scores, quantile)
     kept = F.coalesce(F.col("bits") - F.col("allowance") <= F.col("limit"), F.lit(True))
     return joined.select("doc_id", "h", "lang", "n_words", F.pow(F.lit(2.0), "bits").alias("perplexity"), "bits", "allowance", "limit", kept.alias("kept"))
@@ -456,5 +483,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     rejected = _judged(docs, labels, id_col, text_col, lang_col, quantile).where("NOT kept").select("doc_id", "h", "lang").distinct()
     gone = rejected.toDF(f"i_{mark}", f"h_{mark}", f"l_{mark}")
     own = (F.col(f"`{id_col}`").cast("string"), F.xxhash64(F.col(f"`{text_col}`")), F.col(f"`{lang_col}`").cast("string"))
-    alike = [a.eqNullSafe(gone[b]) for a, b in zip(own, gone.columns)]
-    return docs.join(gone, alike[0] & alike[1] & alike[2], "left_anti")
+    alike = [a.eqNullSafe(F.col(b)) for a, b in zip(own, gone.columns)]
+    return docs.join(broadcast_if_small(gone), alike[0] & alike[1] & alike[2], "left_anti")

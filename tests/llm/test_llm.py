@@ -1,11 +1,14 @@
 import datetime as dt
+import os
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cellatlas.llm import jaccard, langid, mixing, neighbours, ogg, quality, secrets, sentencepiece_codec, toxicity, urlfilter
+from cellatlas.llm import common, jaccard, langid, mixing, neighbours, ogg, quality, secrets, sentencepiece_codec, toxicity, urlfilter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -231,3 +234,27 @@ def test_neighbours_in_tight_clusters(spark, spread, n):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     found = neighbours.nearest(df, df.where("vec_id % 25 = 0")).collect()
     assert recall({(g.query_id, g.vec_id) for g in found}, x, range(0, n, 25)) >= 0.99
+
+
+def test_quality_moves_no_texts(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(common, "MAX_BROADCAST", 0)  # as with very many trusted documents
+    monkeypatch.setattr(quality, "bucketed", lambda df, *a: made.append(df) or common.bucketed(df, *a))
+    docs = spark.createDataFrame([(i, "a b c d e f" if i % 2 else "x y z", "en", "s", 0) for i in range(40)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    rows = quality.classify(docs, labels).collect()
+    assert len(rows) == 40 and all(r.bits is not None for r in rows)
+    assert "Exchange" not in made[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {f for top in manager.localDirsString() for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    before = files()
+    back = common.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "few")
+    for _ in range(50):  # Spark deletes them in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert back.count() == 7 and not files() - before
+    common.release(back)
