@@ -43,7 +43,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cellatlas-{uuid.uuid4().hex}-{name}"
     with _moved_once(spark):
-        df.write.parquet(path)
+        df.select("*").write.parquet(path)
     _scratch[path] = None
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch_path = path
@@ -57,7 +57,7 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     spark, mark = df.sparkSession, uuid.uuid4().hex
     path, table_name = f"{shared_dir(spark)}/cellatlas-{mark}-{name}", f"cellatlas_{mark}"
     with _moved_once(spark):
-        df.write.option("path", path).bucketBy(buckets, key).saveAsTable(table_name)
+        df.select("*").write.option("path", path).bucketBy(buckets, key).saveAsTable(table_name)
     _scratch[path] = table_name
     back = spark.table(table_name)
     back._scratch_path = path
@@ -66,7 +66,9 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
 
 @contextmanager
 def _moved_once(spark: SparkSession) -> Iterator[None]:
-    """Spark deletes the shuffle files of a write as soon as it ends, and not when the driver happens to collect its garbage."""
+    """Spark deletes the shuffle files of a write as soon as it ends, and not when the driver happens to collect its garbage.
+
+    This holds for frames that are made inside."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(name, None)
     spark.conf.set(name, True)

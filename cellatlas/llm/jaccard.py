@@ -13,11 +13,12 @@ The work does not grow with the square of a family of near copies, and nothing i
   so that a group is linked within itself and the similarity of each member to the group's key is known.
 * Then come rounds in which every group is compared with one other, of another component: the one that most of its lists
   propose, where a list proposes a group of the component that it holds most of (to this component itself, one that it holds
-  least of). Components merge between rounds, and lists that hold one component only drop out. After ``ALL_LISTS`` rounds only
-  lists of ``LONG`` groups or more go on, as only they could make many pairs. The rounds end when few of the comparisons
-  (``SETTLED``, ``SETTLED_LONG``) find a link.
-* The last round compares all pairs of groups that are left: those that share a list, can be similar by size and position,
-  and are in different components still. It has no limit, so the components are exact. Pairs of members beyond the
+  least of). Components merge between rounds, and lists that hold one component only drop out. The rounds end when few of
+  the comparisons (``SETTLED``) find a link.
+* The last round takes all pairs of groups that are left: those that share a list, can be similar by size and position,
+  and are in different components still. It has no limit, so the components are exact. Where two sketches of ``SKETCH`` bits (a
+  bit tells whether an odd number of shingles fall on it) differ in d bits, the sets differ in d shingles at least: pairs that are too far
+  apart by this, their groups' radii allowed for, are dropped in the join itself. The others are compared. Pairs of members beyond the
   groups' keys follow only where the triangle inequality of the Jaccard distance leaves room: d(x, y) >= d(p, q) - d(x, p) -
   d(y, q).
 
@@ -67,9 +68,9 @@ RECENT = 8
 #: Comparisons with one key that are made in one task.
 SPLIT = 1024
 #: The rounds of single comparisons end when a smaller share of them finds a link.
-SETTLED = 0.05
-#: After so many rounds only lists of so many groups go on, until a smaller share finds a link; the last round has all lists.
-ALL_LISTS, LONG, SETTLED_LONG = 2, 16, 0.005
+SETTLED = 0.15
+#: Bits of the sketch of a set.
+SKETCH = 1024
 _FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)) for i in range(16)]
 
 
@@ -356,22 +357,54 @@ def _with_recent(lists: DataFrame) -> DataFrame:
     return own.select(F.col("t.token").alias("token"), "grp", "n", F.col("t.left").alias("left"), "comp", F.slice("token", start, F.col("at") + 1 - start).alias("recent"))
 
 
-def _met(lists: DataFrame, tested: list[DataFrame]) -> DataFrame:
+def _sketch(shingles: np.ndarray) -> bytes:
+    """Which of ``SKETCH`` bits an odd number of the shingles fall on."""
+    return np.packbits((np.bincount((shingles % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+
+
+def _sketches(groups: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(grp, radius, s0, s1, ...) of the groups: the distance of the farthest member, and the sketch of the group's key as longs."""
+    words = SKETCH // 64
+    names = ["grp", *(f"s{i}" for i in range(words))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = np.frombuffer(b"".join(map(_sketch, shingle_sets(b.column("text").to_pylist()))), dtype=np.int64).reshape(-1, words)
+            yield pa.RecordBatch.from_arrays([b.column("key"), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(words))], names=names)
+
+    own = texts.join(groups.select(F.col("grp").alias("key")), "key", "left_semi").mapInArrow(trimmed(run), ", ".join(f"{c} long" for c in names))
+    far = members.groupBy("grp").agg(F.max(1 - F.col("common") / (2 * F.col("n") - F.col("common"))).alias("radius"))
+    return stored(own.join(far, "grp").select("grp", "radius", *names[1:]), "sketches")
+
+
+def _near_enough(n: Column, m: Column, radii: Column, other: str) -> Column:
+    """Whether members of two groups can be similar by the sketches ``s0``, ... and those with ``other`` behind their names."""
+    num, den = SIMILARITY
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}{other}"))) for i in range(SKETCH // 64)])
+    common = (n + m - apart) / 2  # at most
+    return 1 - common / (n + m - common) <= 1 - num / den + 1e-9 + radii
+
+
+def _met(lists: DataFrame, tested: list[DataFrame], members: DataFrame, texts: DataFrame) -> DataFrame:
     """All pairs (x, p, n, m, comp, comp2) of groups of different components that can be similar and have not been compared.
 
     In each list, the groups outside its largest component meet all others. A pair is made where it first shares a token;
     of the lists that it shares later, those whose ``RECENT`` tokens before show this do not make it again."""
-    most = _ends(lists, 0).select("token", F.col("most.comp").alias("top"))
-    live = stored(_with_recent(lists.join(most.select("token"), "token", "left_semi")), "live")
-    others = live.join(most, "token").where(F.col("comp") != F.col("top")).select(F.col("token").alias("t2"), F.col("grp").alias("p"), F.col("n").alias("m"), F.col("left").alias("left2"), F.col("comp").alias("comp2"), F.col("recent").alias("recent2"), "top")
+    most = stored(_ends(lists, 0).select("token", F.col("most.comp").alias("top")), "most")
+    several = stored(lists.join(most, "token", "left_semi"), "lists")
+    sketches = _sketches(several.select("grp").distinct(), members, texts)
+    live = stored(_with_recent(several).join(sketches, "grp"), "live")
+    words = [f"s{i}" for i in range(SKETCH // 64)]
+    others = live.join(most, "token").where(F.col("comp") != F.col("top")).select(F.col("token").alias("t2"), F.col("grp").alias("p"), F.col("n").alias("m"), F.col("left").alias("left2"), F.col("comp").alias("comp2"), F.col("recent").alias("recent2"), "top", F.col("radius").alias("radius2"), *[F.col(w).alias(f"{w}_2") for w in words])
     able = _fits(F.col("n"), F.col("m")) & _reaches(F.col("left"), F.col("left2"), F.col("n"), F.col("m"))
     once = (F.col("comp") == F.col("top")) | (F.col("grp") < F.col("p"))
-    met = live.join(others, (F.col("token") == F.col("t2")) & (F.col("comp") != F.col("comp2")) & once & able & ~F.arrays_overlap("recent", "recent2"))
+    near = _near_enough(F.col("n"), F.col("m"), F.col("radius") + F.col("radius2"), "_2")
+    met = live.join(others, (F.col("token") == F.col("t2")) & (F.col("comp") != F.col("comp2")) & once & able & near & ~F.arrays_overlap("recent", "recent2"))
     swap = F.col("grp") > F.col("p")
     pairs = met.select(*[F.when(swap, F.col(b)).otherwise(F.col(a)).alias(c) for a, b, c in (("grp", "p", "x"), ("p", "grp", "p"), ("n", "m", "n"), ("m", "n", "m"), ("comp", "comp2", "comp"), ("comp2", "comp", "comp2"))]).distinct()
     before = reduce(DataFrame.union, [t.select(F.least("x", "p").alias("u"), F.greatest("x", "p").alias("v")) for t in tested])
     out = stored(pairs.join(before, (F.col("x") == F.col("u")) & (F.col("p") == F.col("v")), "left_anti"), "pairs")
-    release(live)
+    release(live, most, several, sketches)
     return out
 
 
@@ -394,7 +427,7 @@ def _expanded(tested: list[DataFrame], merged: DataFrame, members: DataFrame) ->
 def _group_components(members: DataFrame, lists: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, label) of the groups that are linked with others."""
     spark, tested, seed = lists.sparkSession, [], 0
-    links, aside = [], []
+    links = []
     while True:
         seed += 1
         live, pairs = _proposed(lists, seed)
@@ -403,25 +436,18 @@ def _group_components(members: DataFrame, lists: DataFrame, texts: DataFrame) ->
         tested.append(found)
         links.append(made)
         n_pairs, n_links = found.agg(F.count(F.lit(1)), F.count(F.when(_similar(F.col("common"), F.col("n"), F.col("m")), 1))).first()
-        going = n_links > (SETTLED_LONG if aside else SETTLED) * n_pairs or (seed <= ALL_LISTS and n_links > 0)
+        going = n_links > SETTLED * n_pairs
         # Between rounds one step of joining will do; before the last one, components must be whole.
         merged = components(made, most=1) if going else components(reduce(DataFrame.union, links))
         release(lists, pairs)
-        kept = live.select("token", "grp", "n", "left", "comp")
-        lists = stored(_renamed(reduce(DataFrame.union, [kept, *aside]) if not going else kept, merged), "lists")
+        lists = stored(_renamed(live.select("token", "grp", "n", "left", "comp"), merged), "lists")
         release(live)
         collect_garbage(spark)
         if not going:
             break
         release(merged)
-        if seed == ALL_LISTS:
-            long = stored(lists.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") >= LONG).select("token"), "long")
-            aside = [stored(lists.join(long, "token", "left_anti"), "lists")]
-            going_on = stored(lists.join(long, "token", "left_semi"), "lists")
-            release(lists, long)
-            lists = going_on
-    rest = _met(lists, tested)
-    used = [lists, rest, *aside]
+    rest = _met(lists, tested, members, texts)
+    used = [lists, rest]
     if rest.limit(1).count():
         found = stored(_compared(rest, texts), "compared")
         made = stored(_links(found).distinct(), "links")

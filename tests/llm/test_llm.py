@@ -256,5 +256,35 @@ def test_stored_leaves_no_shuffle_files(spark):
         if not files() - before:
             break
         time.sleep(0.1)
-    assert back.count() == 7 and not files() - before
+    assert not files() - before
+    assert back.count() == 7
     common.release(back)
+
+
+def test_last_round_drops_pairs_that_sketches_tell_apart(spark, monkeypatch):
+    """A family below the threshold: 60 sets of 400 words , most pairs of which are far below it."""
+    rng, met = np.random.default_rng(5), []
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for k in range(60):
+        words, at = list(base), int(rng.integers(0, 380))
+        for i in range(16):
+            words[(at + 23 * i) % 400] = f"v{k}x{i}"
+        texts.append(" ".join(words))
+    sets = [set(s.tolist()) for s in jaccard.shingle_sets(texts)]
+    flips = lambda a, b: bin(int.from_bytes(jaccard._sketch(a), "big") ^ int.from_bytes(jaccard._sketch(b), "big")).count("1")
+    arrays = [np.array(sorted(s), dtype=np.uint64) for s in sets]
+    assert all(flips(arrays[0], b) <= len(sets[0] ^ t) for b, t in zip(arrays, sets))
+    monkeypatch.setattr(jaccard, "_met", lambda *a, f=jaccard._met: met.append((out := f(*a)).count()) or out)
+    monkeypatch.setattr(jaccard, "SETTLED", 2.0)  # one round of single comparisons
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.component_id for r in jaccard.similar_components(docs).collect()}
+    parent = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = parent[i], parent[j]
+                parent = [min(a, b) if c in (a, b) else c for c in parent]
+    assert got == dict(enumerate(parent))
+    far = sum(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < 0.6 for i in range(60) for j in range(i))
+    assert far > 1000 and met[0] < 60 * 59 / 2 - far
