@@ -179,3 +179,15 @@ def test_stored_dataset_by_address(spark, small):
     with pytest.raises(ValueError):
         osm.open_dataset(spark, "what:ever")
     assert {r.id for r in small.dataset.nodes.where(F.col("lat_cell").between(75, 85)).collect()} == {1, 2}
+
+
+def test_no_task_gathers_a_tile(spark, small):
+    """Shapes come to the painter as a sorted stream, and an object between two layers of a relation is painted too."""
+    plan = raster.render_tiles(small, spark.createDataFrame([(127, 127)], "x int, y int"), 8)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInPandas" in plan
+    base = {"role": "outer", "seq": 0, "line_width": 1.0, "line": None, "dash": None, "lats": [-1.0, 1.0, 1.0, -1.0], "lons": [-1.0, -1.0, 1.0, 1.0]}
+    red, blue = (255, 0, 0, 255), (0, 0, 255, 255)
+    relation = [base | {"z_index": z, "object_type": 3, "id": 1, "fill": c} for z, c in ((0, red), (9, red))]
+    way = base | {"z_index": 10, "object_type": 2, "id": 2, "role": "", "fill": blue}
+    assert tuple(raster.picture_of([*relation, way], (-1, 1, -1, 1), (9, 9, 9, 255))[100, 100].tolist()) == blue[:3]
+    assert tuple(raster.picture_of(relation, (-1, 1, -1, 1), (9, 9, 9, 255))[100, 100].tolist()) == red[:3]
