@@ -90,6 +90,15 @@ def collect_garbage(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def release_memory(spark: SparkSession) -> None:
+    """Executors give the heap that finished work has left back to the machine; they keep it otherwise, though most of it is free.
+
+    One small task for each core: where all are idle, every executor gets some."""
+    collect_garbage(spark)
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def scratch_paths() -> set[str]:
     return set(_scratch)
 
@@ -98,7 +107,7 @@ def release_paths(spark: SparkSession, paths: set[str]) -> None:
     """Deletes these scratch tables; for callers that have stored what was built on them."""
     for path in paths:
         _delete(spark, path)
-    collect_garbage(spark)
+    release_memory(spark)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

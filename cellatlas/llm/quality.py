@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_if_small, bucketed, collect_garbage, held_out, partitions, release, small_batches, stored, trimmed
+from .common import WORD, broadcast_if_small, bucketed, held_out, partitions, release, release_memory, small_batches, stored, trimmed
 from .hashing import TOGETHER, word_hashes
 
 START = np.uint64(0)
@@ -446,25 +446,25 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang
     spans = [(i * layout.shards // PASSES, (i + 1) * layout.shards // PASSES) for i in range(PASSES)]
     with small_batches(spark, 4):
         counts = stored(_counts(chunks, trust, layout), "counts")
-        collect_garbage(spark)
+        release_memory(spark)
         model = None
         if counts.limit(1).count():
             told = []
             for span in spans:
                 told.append(stored(_answers(chunks, counts, layout, "pairs", 1, span), "told"))
-                collect_garbage(spark)
+                release_memory(spark)
             words = stored(_words(chunks, reduce(DataFrame.union, told), layout), "words")
-            collect_garbage(spark)
+            release_memory(spark)
             model = _fit(counts, words)
             release(counts)
             for span in spans:
                 told.append(stored(_answers(chunks, words, layout, "words", 5, span), "told"))
-                collect_garbage(spark)
+                release_memory(spark)
             release(words)
             answers, parts = reduce(DataFrame.union, told), []
             for i in range(PASSES):
                 parts.append(stored(_scores(chunks, trust, answers, model, layout, i), "scores"))
-                collect_garbage(spark)
+                release_memory(spark)
             scores = reduce(DataFrame.union, parts)
             release(*told)
     if model is None:

@@ -288,6 +288,19 @@ def test_quality_moves_no_texts(spark, monkeypatch):
     assert "Exchange" not in made[0]._jdf.queryExecution().executedPlan().toString()
 
 
+def test_quality_has_executors_collect_garbage(spark, monkeypatch):
+    """Beside the driver's own collections, which the same process does here, tasks collect garbage where the executors are."""
+    for module in (common, quality):
+        monkeypatch.setattr(module, "collect_garbage", lambda spark: None, raising=False)
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if b.getName() in ("G1 Old Generation", "MarkSweepCompact", "PS MarkSweep"))
+    docs = spark.createDataFrame([(i, "a b c d e f" if i % 2 else "x y z", "en", "s", 0) for i in range(40)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    before = full()
+    assert quality.classify(docs, labels).count() == 40
+    assert full() >= before + 10
+
+
 def test_stored_leaves_no_shuffle_files(spark):
     manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
     files = lambda: {f for top in manager.localDirsString() for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
