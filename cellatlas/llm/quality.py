@@ -115,6 +115,23 @@ def _unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(_unpack_planes(data, np.uint64), dtype=np.uint64)
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted, each once. ``np.unique`` puts them in a hash table first, which takes 60 times as long as this."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, where each comes first, number of each key among them), by a sort that need not be stable."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(keys) else np.empty(0, dtype=bool)
+    starts = np.flatnonzero(new)
+    where = np.empty(len(keys), dtype=np.int64)
+    where[order] = np.cumsum(new) - 1
+    return ordered[starts], np.minimum.reduceat(order, starts) if len(starts) else starts, where
+
+
 def _pack(values: np.ndarray) -> bytes:
     """Rows of counts in the smallest type that holds them; the first byte is its size."""
     kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if values.size == 0 or values.max() <= np.iinfo(k).max)
@@ -131,8 +148,8 @@ _CHUNK = "chunk string, doc_ids array<string>, langs array<string>, hs binary, s
 def _chunks(rows: DataFrame) -> DataFrame:
     def chunk(ids: list, langs: list, hs: list, hashes: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
         tokens, counts = np.concatenate(hashes), np.concatenate(sizes).astype(np.int64)
-        distinct, where, often = np.unique(tokens, return_inverse=True, return_counts=True)
-        order = np.lexsort((distinct, -often))
+        distinct, _, where = _numbered(tokens)
+        order = np.lexsort((distinct, -np.bincount(where, minlength=len(distinct))))
         number = np.empty(len(order), dtype=np.uint32)
         number[order] = np.arange(len(order), dtype=np.uint32)
         row = [uuid.uuid4().hex[:20], ids, langs, np.array(hs, dtype=np.int64).tobytes(), counts.tobytes(), _pack_keys(distinct[order]), _pack_planes(number[where]), len(tokens)]
@@ -198,7 +215,7 @@ def _by_shard(keys: np.ndarray, layout: Layout) -> Iterator[tuple[int, slice]]:
 
 def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and their sums of the rows of values."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, dtype=np.int64)
     return keys[first], np.add.reduceat(values[:, order], first, axis=1) if len(first) else values
@@ -260,11 +277,12 @@ class _Chunk:
         self.row, self.layout = row, layout
         self.answered = {(a["what"], a["shard"]): a["values"] for a in row["answers"]}
         distinct, tokens, self.sizes = _tokens(row, layout.bits)
-        self.words = np.unique(np.append(distinct, START))
-        tokens = distinct[tokens]
-        before, hashes = _pairs(tokens, self.sizes, layout.bits)
-        pairs, first, self.where = np.unique(hashes, return_index=True, return_inverse=True)
-        self.before, self.after = before[first], tokens[first]
+        pairs, first, self.where = _numbered(_pairs(distinct[tokens], self.sizes, layout.bits)[1])
+        self.words, _, place = _numbered(np.append(distinct, START))
+        start = np.zeros(len(tokens), dtype=bool)
+        start[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = True
+        #: Where the words of each pair stand among all words.
+        self.before, self.after = np.where(start[first], place[-1], place[tokens[first - 1]]), place[tokens[first]]
         told = self._values("pairs", pairs, 1)[0]
         self.counts, self.owned = told >> 1, (told & 1) == 1
 
@@ -277,7 +295,7 @@ class _Chunk:
     def of_words(self) -> tuple[np.ndarray, np.ndarray]:
         """What the model has of the first and of the second word of each pair."""
         stats = self._values("words", self.words, 5)
-        return stats[:, np.searchsorted(self.words, self.before)], stats[:, np.searchsorted(self.words, self.after)]
+        return stats[:, self.before], stats[:, self.after]
 
 
 def _answered(chunks: DataFrame, answers: DataFrame) -> DataFrame:
@@ -296,9 +314,10 @@ def _words(chunks: DataFrame, answers: DataFrame, layout: Layout) -> DataFrame:
             for row in b.to_dict("records"):
                 c = _Chunk(row, layout)
                 n, u, w = c.counts[c.owned], c.before[c.owned], c.after[c.owned]
-                one, none = np.ones_like(n), np.zeros_like(n)
-                stats = np.stack([np.concatenate([x, y]) for x, y in ((n, none), (n == 1, none), (n == 2, none), (n > 2, none), (none, one))])
-                yield _parted(*_summed(np.concatenate([u, w]), stats), layout)
+                added = [np.bincount(u, x, len(c.words)) for x in (n, n == 1, n == 2, n > 2)]  # whole numbers far below 2 ** 53
+                stats = np.stack([*added, np.bincount(w, minlength=len(c.words))]).astype(np.int64)
+                met = stats.any(axis=0)
+                yield _parted(c.words[met], stats[:, met], layout)
 
     met = _answered(chunks.select("chunk", "sizes", "words", "tokens"), answers)
     return _merged(met.mapInPandas(trimmed(run), _MODEL), layout, 5)
@@ -335,6 +354,16 @@ def _fit(counts: DataFrame, words: DataFrame) -> Model | None:
     return Model(_discounts(of), cut, before, left / before / (met + 1))
 
 
+def _asked(row: dict, bits: int, what: str, low: int, high: int) -> np.ndarray:
+    """The distinct pairs or words of a chunk from ``low`` to before ``high``, in order."""
+    if what == "pairs":
+        words, tokens, sizes = _tokens(row, bits)
+        keys = _pairs(words[tokens], sizes, bits)[1]
+    else:
+        keys = np.append(_words_of(row, bits), START)
+    return _distinct(keys[(keys >= np.uint64(low)) & (keys <= np.uint64(high - 1))])
+
+
 def _requests(chunks: DataFrame, layout: Layout, what: str, first: int, last: int) -> DataFrame:
     """(shard, chunk, keys): the distinct pairs or words of every chunk, in the shards from ``first`` to before ``last``."""
     low, high = (-(-(i << layout.bits) // layout.shards) for i in (first, last))
@@ -342,12 +371,7 @@ def _requests(chunks: DataFrame, layout: Layout, what: str, first: int, last: in
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.to_dict("records"):
-                if what == "pairs":
-                    words, tokens, sizes = _tokens(row, layout.bits)
-                    keys = _pairs(words[tokens], sizes, layout.bits)[1]
-                else:
-                    keys = np.append(_words_of(row, layout.bits), START)
-                keys = np.unique(keys[(keys >= np.uint64(low)) & (keys <= np.uint64(high - 1))])
+                keys = _asked(row, layout.bits, what, low, high)
                 rows = [(i, row["chunk"], _pack_keys(keys[at])) for i, at in _by_shard(keys, layout)]
                 yield pd.DataFrame(rows, columns=["shard", "chunk", "keys"], dtype=object)
 
@@ -373,9 +397,11 @@ def _answers(chunks: DataFrame, table: DataFrame, layout: Layout, what: str, kin
                 found = np.zeros((kinds, len(keys)), dtype=np.int64)
                 if at == shard:
                     i = np.minimum(np.searchsorted(own, keys), len(own) - 1)
-                    found = np.where(own[i] == keys, values[:, i], 0)
+                    met = own[i] == keys
+                    i = i[met]
+                    found[:, met] = values[:, i]
                     if what == "pairs":
-                        values[0, i[own[i] == keys]] &= ~1
+                        values[0, i] &= ~1
                 rows.append((chunk, what, shard, _pack(found)))
             yield pd.DataFrame(rows, columns=["chunk", "what", "shard", "values"], dtype=object)
 
