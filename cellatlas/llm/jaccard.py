@@ -28,7 +28,7 @@ just the pairs whose common passage makes them similar, so such lists don't give
 The order needs only counts of shingles in a fixed number of hash buckets over all documents; the result is exact for any order.
 
 Scale: counting sends 4 MB a task. The prefixes are a quarter of the shingles, counted with map-side sums and joined by
-their key (Spark splits skewed lists). The texts of keys that share a prefix shingle are stored once, bucketed by key, and
+their key (Spark splits skewed lists), in ``PASSES`` parts one after the other. The texts of keys that share a prefix shingle are stored once, bucketed by key, and
 a comparison moves the text of one side, and of the other once for ``SPLIT`` comparisons with it. A Bloom filter of at most
 2 ** ``MAX_BLOOM_BITS`` bits picks these texts before they are shuffled; beyond that size a join does. Every iteration cuts
 its lineage with a table in the shared folder.
@@ -61,6 +61,8 @@ WORDS = 5
 SIMILARITY = (75, 100)
 #: Hash buckets in which shingles are counted to order them, as a power of two, and the slices that tasks exchange.
 COUNT_BITS, SLICES = 20, 64
+#: Parts of the shingles that are looked for in other prefixes one after the other, so that only one's rows are moved at a time.
+PASSES = 2
 #: Bits of the Bloom filter of texts that are compared, as a power of two: 16 for each at least, and these at most.
 MAX_BLOOM_BITS = 27
 #: Tokens before a shared one that tell whether a pair has met already.
@@ -269,16 +271,20 @@ def _postings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     left: how many shingles of the set the order has from this one on."""
     spark = rows.sparkSession
     base = stored(_prefixes(rows, bucket_counts(rows.select("text"))), "prefixes")
-    posts = base.select("key", "n", F.posexplode("prefix").alias("at", "token"))
-    met = stored(posts.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("token"), "met")
-    collect_garbage(spark)
     ids = stored(base.select("doc_id", "h", F.when(F.col("n") > 0, F.col("key")).alias("key"), "n"), "ids")
-    shared = stored(posts.join(met, "token").select("token", "key", "n", (F.col("n") - F.col("at")).alias("left")).distinct(), "shared")
-    release(met, base)
-    collect_garbage(spark)
+    parts = []
+    for i in range(PASSES):
+        posts = base.select("key", "n", F.posexplode("prefix").alias("at", "token")).where(F.pmod("token", F.lit(PASSES)) == i)
+        met = stored(posts.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("token"), "met")
+        collect_garbage(spark)
+        parts.append(stored(posts.join(met, "token").select("token", "key", "n", (F.col("n") - F.col("at")).alias("left")).distinct(), "shared"))
+        release(met)
+        collect_garbage(spark)
+    release(base)
+    shared = reduce(DataFrame.union, parts)
     several = shared.groupBy("token").agg(F.count(F.lit(1)).alias("keys")).where("keys > 1").select("token")
     out = stored(shared.join(several, "token").select("token", "key", "n", "left"), "postings")
-    release(shared)
+    release(*parts)
     collect_garbage(spark)
     return out, ids
 
@@ -509,9 +515,9 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     release(each)
     rows = docs.withColumn(h, F.xxhash64(F.col(t)))
     same = lambda other: F.col(i).eqNullSafe(other[f"i_{mark}"]) & F.col(h).eqNullSafe(other[f"t_{mark}"])
-    kept = rows.join(marked, same(marked), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = rows.join(broadcast_if_small(marked), same(marked), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     twice = marked.where(f"c_{mark}")
     if not twice.limit(1).count():
         return kept
-    one = rows.join(twice, same(twice), "left_semi").groupBy(F.col(i).alias(f"i_{mark}"), F.col(h).alias(f"t_{mark}")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    one = rows.join(broadcast_if_small(twice), same(twice), "left_semi").groupBy(F.col(i).alias(f"i_{mark}"), F.col(h).alias(f"t_{mark}")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
     return kept.union(one.select("row.*"))

@@ -337,6 +337,35 @@ def test_stored_leaves_no_shuffle_files(spark):
     common.release(back)
 
 
+def test_near_copies_stay_without_moving_texts(spark, monkeypatch):
+    """The rows that go are broadcast by their measured size, also where Spark's own estimate of it would shuffle all texts."""
+    monkeypatch.setattr(common, "MAX_BROADCAST", 1 << 20)
+    docs = spark.createDataFrame([(i, " ".join(words(i // 2, 30)), "en", "s", 0) for i in range(40)], DOCS)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = jaccard.one_of_each(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 40, 2))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_shared_shingles_are_found_in_parts(spark, monkeypatch):
+    """No write of shared shingles moves the shingles of all prefixes at once, and the lists are the same in any number of parts."""
+    rows = spark.createDataFrame([(i, " ".join([*words(i // 4, 40), f"w{i}", *words(90, 12)])) for i in range(60)], "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    found, sizes = [], {}
+    for n in (1, 3):
+        sizes[n] = []
+        monkeypatch.setattr(jaccard, "PASSES", n, raising=False)
+        monkeypatch.setattr(jaccard, "stored", lambda df, name, own=sizes[n]: (own.append(df.count()) if name == "shared" else None) or common.stored(df, name))
+        posts, _ = jaccard._postings(rows)
+        found.append(sorted(tuple(r) for r in posts.collect()))
+    assert found[0] == found[1] and len(found[0]) > 0
+    assert len(sizes[3]) == 3 and sum(sizes[3]) == sizes[1][0] and max(sizes[3]) < 0.6 * sizes[1][0]
+
+
 def test_last_round_drops_pairs_that_sketches_tell_apart(spark, monkeypatch):
     """A family below the threshold: 60 sets of 400 words , most pairs of which are far below it."""
     rng, met = np.random.default_rng(5), []
