@@ -444,7 +444,8 @@ def _scores(chunks: DataFrame, trust: DataFrame, answers: DataFrame, model: Mode
 
 def _limits(scores: DataFrame, quantile: float) -> DataFrame:
     """The scores with ``limit``, that of each document's language, and ``allowance``."""
-    scores = scores.withColumn("allowance", F.lit(SPREAD) / F.sqrt("n_words"))
+    # Null without words: a division by zero is an error in ANSI mode, and may run for rows that no limit is compared with.
+    scores = scores.withColumn("allowance", F.when(F.col("n_words") > 0, F.lit(SPREAD) / F.sqrt("n_words")))
     end = F.percentile_approx(F.col("bits") - F.col("allowance"), quantile, 10_000)
     fair = scores.where("trust = 2 AND bits IS NOT NULL")
     each = fair.groupBy(F.col("lang").alias("of")).agg(end.alias("own"), F.count(F.lit(1)).alias("fair")).where(f"fair >= {LEAST}")

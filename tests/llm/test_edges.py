@@ -339,3 +339,14 @@ def test_quality_limits_and_held_out_rows(spark):
     changed = labels.where(f"doc_id NOT IN ({', '.join(map(str, held))})")
     again = quality.classify(docs, changed).toPandas()
     pd.testing.assert_series_equal(rows.sort_values("doc_id").bits.reset_index(drop=True), again.sort_values("doc_id").bits.reset_index(drop=True))
+
+
+def test_quality_keeps_texts_without_words_beside_a_model(spark):
+    """All columns are read here: a count alone leaves out those whose arithmetic may fail."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    bare = spark.createDataFrame([(10**6, "", "en", "x", 0), (10**6 + 1, None, "en", "x", 0), (10**6 + 2, " \n ", None, None, 3)], docs.schema)
+    rows = {r.doc_id: r for r in quality.classify(docs.union(bare), labels).collect()}
+    assert len(rows) == docs.count() + 3 and rows[0].bits is not None
+    assert all((rows[i].n_words, rows[i].bits, rows[i].allowance, rows[i].kept) == (0, None, None, True) for i in range(10**6, 10**6 + 3))
+    good = {r.doc_id: r.text for r in quality.keep_good(docs.union(bare), labels).collect()}
+    assert [good[i] for i in range(10**6, 10**6 + 3)] == ["", None, " \n "]
