@@ -191,3 +191,67 @@ def test_no_task_gathers_a_tile(spark, small):
     way = base | {"z_index": 10, "object_type": 2, "id": 2, "role": "", "fill": blue}
     assert tuple(raster.picture_of([*relation, way], (-1, 1, -1, 1), (9, 9, 9, 255))[100, 100].tolist()) == blue[:3]
     assert tuple(raster.picture_of(relation, (-1, 1, -1, 1), (9, 9, 9, 255))[100, 100].tolist()) == red[:3]
+
+
+def plainly_painted(shapes, edges, background, size=256):
+    """Every object in turn over the whole picture, from the lowest up."""
+    min_lat, max_lat, min_lon, max_lon = edges
+    picture = np.empty((size, size, 3), dtype=np.uint8)
+    picture[:] = background[:3]
+    y, x = np.mgrid[:size, :size] + 0.5
+
+    def line(xs, ys, width):
+        out, r = np.zeros((size, size), dtype=bool), max(width, 1.0) / 2
+        for ax, ay, bx, by in zip(xs[:-1], ys[:-1], xs[1:], ys[1:]):
+            length = (bx - ax) ** 2 + (by - ay) ** 2
+            t = np.clip(((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / length, 0, 1) if length else 0.0
+            out |= (x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (by - ay)) ** 2 <= r * r
+        return out
+
+    def way(xs, ys, width, colour, dash, fill):
+        if fill is not None and len(xs) > 2:
+            raster.paint(picture, raster.inside(xs, ys), fill)
+        for dx, dy in [] if colour is None else raster.dashes(xs, ys, dash) if dash else [(xs, ys)]:
+            raster.paint(picture, line(dx, dy, width), colour)
+
+    for group in raster._objects(sorted(shapes, key=raster._drawing_order)):
+        s = group[0]
+        lines = [((np.asarray(g["lons"]) - min_lon) / (max_lon - min_lon) * size, (1 - (np.asarray(g["lats"]) - min_lat) / (max_lat - min_lat)) * size) for g in group]
+        if s["object_type"] == NODE:
+            raster.paint(picture, (abs(x - 0.5 - np.floor(lines[0][0][0])) <= 2) & (abs(y - 0.5 - np.floor(lines[0][1][0])) <= 2), s["line"])
+        elif s["object_type"] == WAY:
+            way(*lines[0], s["line_width"], s["line"], s["dash"], s["fill"])
+        else:
+            outer = [p for p, g in zip(lines, group) if g["role"] == "outer"]
+            if outer:
+                way(*map(np.concatenate, zip(*outer)), s["line_width"], s["line"], s["dash"], s["fill"])
+                for p, g in zip(lines, group):
+                    if g["role"] == "inner":
+                        way(*p, 1.0, background, None, background)
+    return picture
+
+
+@pytest.mark.parametrize("shares", [(255,), (255, 127, 0, 30), (90,)])
+def test_painting_from_the_top_down_gives_the_same_picture(shares):
+    r = np.random.default_rng(len(shares))
+    shapes = []
+    for i in range(150):
+        colours = [(*(int(c) for c in r.integers(0, 256, 3)), int(r.choice(shares))) if r.random() < 0.6 else None for _ in range(2)]
+        kind = int(r.choice([NODE, WAY, RELATION]))
+        look = {"z_index": int(r.integers(1, 4)), "object_type": kind, "id": i, "line_width": float(r.choice([0.5, 1.0, 3.0, 7.5])), "line": colours[0] or (1, 2, 3, 255), "dash": [20.0, 5.0] if r.random() < 0.2 else None, "fill": colours[1]}
+        for seq in range(int(r.integers(1, 5)) if kind == RELATION else 1):
+            n = 1 if kind == NODE else int(r.integers(1, 6))
+            scale = r.choice([0.2, 1.0, 4.0])
+            lats, lons = (r.normal(size=(2, n)) * scale).round(2).tolist()
+            shapes.append(look | {"role": ["outer", "inner"][int(r.integers(2))] if kind == RELATION else "", "seq": seq, "lats": lats, "lons": lons})
+    edges, ground = (-1, 1, -1, 1), (200, 220, 240, shares[-1])
+    assert (raster.picture_of(shapes, edges, ground) == plainly_painted(shapes, edges, ground)).all()
+
+
+def test_what_is_covered_is_not_painted(monkeypatch):
+    """Objects under an opaque one cost no painting, however many they are."""
+    made, inside = [], raster.inside
+    monkeypatch.setattr(raster, "inside", lambda *a: made.append(1) or inside(*a))
+    base = {"object_type": WAY, "role": "", "seq": 0, "line_width": 1.0, "line": None, "dash": None, "fill": (9, 8, 7, 255), "lats": [-2.0, 2.0, 2.0, -2.0], "lons": [-2.0, -2.0, 2.0, 2.0]}
+    picture = raster.picture_of([base | {"z_index": 1, "id": i} for i in range(500)] + [base | {"z_index": 2, "id": 1, "fill": (1, 2, 3, 255)}], (-1, 1, -1, 1), (0, 0, 0, 255))
+    assert (picture == (1, 2, 3)).all() and len(made) == 1
